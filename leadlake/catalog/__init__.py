@@ -1 +1,9 @@
 """Queries over registry tables that Spark derives from the given tables."""
+
+
+def registered():
+    """(queries, oracle SQL) of all query modules."""
+    from leadlake.catalog import entry
+    from leadlake.catalog import cleaning_queries, load_queries, search_queries  # noqa: F401
+
+    return entry.QUERIES, entry.ORACLES

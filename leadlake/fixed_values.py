@@ -19,8 +19,11 @@ SCORING_EMPTY_TOKENS = (
 )
 
 # --- fixed values: patterns ---------------------------------------------------
-# Unicode white space, spelled out because Java's \s is ASCII only.
-SPACE = r"[\s\p{Z}\x1c-\x1f\x{85}]"
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 HAN = r"[\x{4e00}-\x{9fff}]"
 MULTI_SPLIT = r"[,，;；、\s\p{Z}|]+"
 SCORING_SPLIT = r"[;；,，、|/\s\p{Z}]+"

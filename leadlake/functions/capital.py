@@ -16,7 +16,7 @@ from leadlake.fixed_values import (
     STATE_OWNED,
     STATE_OWNED_PARSER_ONLY,
 )
-from leadlake.functions.text import any_word, clean, is_empty, lookup, strip
+from leadlake.functions.text import any_word, clean, is_empty, let, lookup, strip
 
 AMOUNT = "decimal(24,6)"
 RATE = "decimal(12,6)"
@@ -24,25 +24,21 @@ MONEY = "decimal(20,2)"
 LIMIT_WAN = 500_000_000
 
 
-def _bare(raw: Column) -> Column:
-    return F.replace(strip(F.coalesce(raw, F.lit(""))), F.lit(","), F.lit(""))
-
-
-def _amount(raw: Column) -> Column:
-    return F.regexp_extract(_bare(raw), CAPITAL, 1).try_cast(AMOUNT)
-
-
-def _unit(raw: Column) -> Column:
-    return F.regexp_extract(_bare(raw), CAPITAL, 2)
-
-
-def _currency(raw: Column) -> Column:
-    found = F.regexp_extract(_bare(raw), CAPITAL, 3)
-    return F.when(_bare(raw).rlike(CAPITAL), F.when(found == "", "人民币").otherwise(found))
+def _parts(raw: Column) -> Column:
+    """struct(amount, unit, currency, rate); currency is NULL where nothing is stated."""
+    bare = F.replace(strip(F.coalesce(raw, F.lit(""))), F.lit(","), F.lit(""))
+    found = F.regexp_extract(bare, CAPITAL, 3)
+    currency = F.when(bare.rlike(CAPITAL), F.when(found == "", "人民币").otherwise(found))
+    return F.struct(
+        F.regexp_extract(bare, CAPITAL, 1).try_cast(AMOUNT).alias("amount"),
+        F.regexp_extract(bare, CAPITAL, 2).alias("unit"),
+        currency.alias("currency"),
+        F.coalesce(lookup(FX, currency, RATE), F.lit("1").cast(RATE)).alias("rate"),
+    )
 
 
-def _rate(raw: Column) -> Column:
-    return F.coalesce(lookup(FX, _currency(raw), RATE), F.lit("1").cast(RATE))
+def _rate(text: str) -> Column:
+    return F.lit(text).cast(RATE)
 
 
 def _limited(wan: Column) -> Column:
@@ -53,26 +49,26 @@ def _state_owned(name: Column, words=STATE_OWNED) -> Column:
     return F.coalesce(any_word(name, words), F.lit(False))
 
 
-def capital_currency(raw: Column) -> Column:
-    return F.when(~is_empty(raw), _currency(raw))
-
-
-def capital_wan(raw: Column, name: Column) -> Column:
-    """Capital in 10 000 CNY. A '万' amount too big to be true is read as yuan."""
-    converted = _amount(raw) * _rate(raw)
+def _wan(p: Column, name: Column) -> Column:
+    """Capital of parsed parts. A '万' amount too big to be true is read as yuan."""
     owned = _state_owned(name, STATE_OWNED + STATE_OWNED_PARSER_ONLY)
+    converted = p["amount"] * p["rate"]
     too_big = (converted >= 100_000_000) | ((converted >= 10_000_000) & ~owned)
-    unit = _unit(raw)
     factor = (
-        F.when(unit == "亿", F.lit("10000").cast(RATE))
-        .when((unit == "万") & ~too_big, F.lit("1").cast(RATE))
-        .otherwise(F.lit("0.0001").cast(RATE))
+        F.when(p["unit"] == "亿", _rate("10000"))
+        .when((p["unit"] == "万") & ~too_big, _rate("1"))
+        .otherwise(_rate("0.0001"))
     )
-    return F.when(~is_empty(raw), _limited(converted * factor))
+    return _limited(converted * factor)
 
 
-def _wan_as_yuan(raw: Column) -> Column:
-    return _limited(_amount(raw) * _rate(raw) * F.lit("0.0001").cast(RATE))
+def capital_currency(raw: Column) -> Column:
+    return F.when(~is_empty(raw), _parts(raw)["currency"])
+
+
+def capital_wan(raw: Column, name: Column) -> Column:
+    """Capital in units of 10 000 CNY."""
+    return F.when(~is_empty(raw), let(_parts(raw), lambda p: _wan(p, name)))
 
 
 def needs_repair(raw: Column, wan: Column) -> Column:
@@ -86,48 +82,75 @@ def repair_decision(raw: Column, wan: Column, name: Column, scale: Column) -> Co
     The repair may shrink a value or blank it, never enlarge it. Later rules
     win over earlier ones, so they are tested first.
     """
-    owned = _state_owned(name)
-    size = strip(F.coalesce(scale, F.lit("")))
-    small = size.isin("小型", "微型")
-    affiliated = F.coalesce(any_word(name, AFFILIATED_BODIES), F.lit(False))
-    yuan = _wan_as_yuan(raw)
-    stated_huge = (_unit(raw) == "万") & (_amount(raw) >= 1_000_000)
-    reason = (
-        F.when(yuan.isNull(), "parse_capital")
-        .when(~owned & affiliated & stated_huge, "branch_as_yuan")
-        .when((wan >= 1_000_000) & ~owned & ((size == "微型") | affiliated), "micro_or_branch")
-        .when((wan >= 10_000_000) & (~owned | small), "ge1000yi_non_soe")
-        .otherwise("parse_capital")
-    )
-    parsed = capital_wan(raw, name)
-    new = F.when(reason == "parse_capital", parsed).otherwise(yuan)
-    currency = F.when(reason == "parse_capital", capital_currency(raw)).otherwise(_currency(raw))
-    unchanged = (
-        (F.abs(wan - new) < 0.02)
-        | (new > wan + F.lit("0.02").cast(MONEY))
-        | (owned & (new < wan * F.lit("0.5").cast(RATE)) & ~small)
-    )
-    blanked = F.struct(
-        F.lit(None).cast(MONEY).alias("capital_wan"),
-        currency.alias("capital_currency"),
-        F.lit("nullify").alias("reason"),
-    )
-    changed = F.struct(
-        new.alias("capital_wan"), currency.alias("capital_currency"), reason.alias("reason")
-    )
-    return (
-        F.when(new.isNull() & (wan >= 1_000_000) & ~owned, blanked)
-        .when(new.isNotNull() & ~F.coalesce(unchanged, F.lit(False)), changed)
+    given = F.struct(
+        F.when(~is_empty(raw), _parts(raw)).alias("parsed"), _parts(raw).alias("p"),
+        _state_owned(name).alias("owned"), strip(F.coalesce(scale, F.lit(""))).alias("size"),
+        F.coalesce(any_word(name, AFFILIATED_BODIES), F.lit(False)).alias("affiliated"),
     )
 
+    def ruled(g: Column) -> Column:
+        p, size = g["p"], g["size"]
+        yuan = _limited(p["amount"] * p["rate"] * _rate("0.0001"))
+        stated_huge = (p["unit"] == "万") & (p["amount"] >= 1_000_000)
+        private = ~g["owned"]
+        reason = (
+            F.when(yuan.isNull(), "parse_capital")
+            .when(private & g["affiliated"] & stated_huge, "branch_as_yuan")
+            .when((wan >= 1_000_000) & private & ((size == "微型") | g["affiliated"]), "micro_or_branch")
+            .when((wan >= 10_000_000) & (private | _small(size)), "ge1000yi_non_soe")
+            .otherwise("parse_capital")
+        )
+        return F.struct(
+            reason.alias("reason"), yuan.alias("yuan"), _wan(g["parsed"], name).alias("wan"),
+            g["parsed"]["currency"].alias("currency"), p["currency"].alias("yuan_currency"),
+            g["owned"].alias("owned"), _small(size).alias("small"),
+        )
+
+    def chosen(r: Column) -> Column:
+        as_parsed = r["reason"] == "parse_capital"
+        return F.struct(
+            F.when(as_parsed, r["wan"]).otherwise(r["yuan"]).alias("capital_wan"),
+            F.when(as_parsed, r["currency"]).otherwise(r["yuan_currency"]).alias("capital_currency"),
+            r["reason"].alias("reason"), r["owned"].alias("owned"), r["small"].alias("small"),
+        )
+
+    def decided(c: Column) -> Column:
+        new = c["capital_wan"]
+        unchanged = (
+            (F.abs(wan - new) < 0.02)
+            | (new > wan + F.lit("0.02").cast(MONEY))
+            | (c["owned"] & (new < wan * _rate("0.5")) & ~c["small"])
+        )
+        blanked = new.isNull() & (wan >= 1_000_000) & ~c["owned"]
+        keep = blanked | (new.isNotNull() & ~F.coalesce(unchanged, F.lit(False)))
+        return F.when(
+            keep,
+            F.struct(
+                new.alias("capital_wan"), c["capital_currency"].alias("capital_currency"),
+                F.when(blanked, "nullify").otherwise(c["reason"]).alias("reason"),
+            ),
+        )
+
+    return let(let(let(given, ruled), chosen), decided)
+
+
+def _small(size: Column) -> Column:
+    return size.isin("小型", "微型")
+
 
 def stated_wan(raw: Column) -> Column:
     """Capital in 10 000 CNY exactly as stated, for profiles of raw data."""
     rates = {k: FX[k] for k in SCORING_CURRENCIES}
-    rate = F.coalesce(lookup(rates, _currency(raw), RATE), F.lit("1").cast(RATE))
-    unit = _unit(raw)
-    factor = F.when(unit == "亿", "10000").when(unit == "万", "1").otherwise("0.0001").cast(RATE)
-    return F.when(~is_empty(_bare(raw)), _amount(raw) * rate * factor)
+
+    def wan(p: Column) -> Column:
+        rate = F.coalesce(lookup(rates, p["currency"], RATE), _rate("1"))
+        factor = (
+            F.when(p["unit"] == "亿", _rate("10000")).when(p["unit"] == "万", _rate("1"))
+            .otherwise(_rate("0.0001"))
+        )
+        return p["amount"] * rate * factor
+
+    return F.when(~is_empty(raw), let(_parts(raw), wan))
 
 
 def scoring_capital(raw: Column) -> Column:
@@ -138,4 +161,4 @@ def scoring_capital(raw: Column) -> Column:
     rates = {k: FX[k] for k in SCORING_CURRENCIES}
     rate = lookup(rates, F.regexp_extract(text, SCORING_CAPITAL, 3), RATE)
     amount = F.regexp_extract(text, SCORING_CAPITAL, 1).try_cast(AMOUNT)
-    return (amount * factor * F.coalesce(rate, F.lit("1").cast(RATE))).cast("decimal(32,4)")
+    return (amount * factor * F.coalesce(rate, _rate("1"))).cast("decimal(32,4)")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadlake.fixed_values import DATE_TEXT, SCORING_EMPTY_TOKENS, VALID_TO
-from leadlake.functions.text import clean, is_empty, strip
+from leadlake.functions.text import clean, is_empty, let, strip
 
 SERIAL_ZERO = "1899-12-30"
 WIDE_DIGITS = "０１２３４５６７８９"
@@ -34,11 +34,11 @@ def parse_date(raw: Column) -> Column:
 
     Days that do not exist (30 February) give NULL.
     """
-    text = _plain_digits(strip(raw))
-    return F.when(
-        ~is_empty(raw),
-        F.coalesce(_date_by_pattern(text, DATE_TEXT), _serial_date(text, 20000, 60000)),
+    found = let(
+        _plain_digits(strip(raw)),
+        lambda t: F.coalesce(_date_by_pattern(t, DATE_TEXT), _serial_date(t, 20000, 60000)),
     )
+    return F.when(~is_empty(raw), found)
 
 
 def parse_valid_to(raw: Column) -> Column:

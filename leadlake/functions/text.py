@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadlake.fixed_values import EMPTY_TOKENS, MULTI_SPLIT, SPACE
+from leadlake.fixed_values import EMPTY_TOKENS, MULTI_SPLIT, WHITE_SPACE
 
 EMPTY_ARRAY = "array<string>"
 
@@ -16,7 +16,12 @@ def empty_strings() -> Column:
 
 def strip(c: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(WHITE_SPACE))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def is_empty(c: Column, tokens=EMPTY_TOKENS) -> Column:

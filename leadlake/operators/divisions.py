@@ -111,29 +111,44 @@ def _lookup_keys(city: Column, district: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda k: k.isNotNull()))
 
 
+PLACE = ("province", "city", "district")
+PLACE_KEY = [f"{c}_key" for c in PLACE]
+
+
+def with_place_keys(companies: DataFrame) -> DataFrame:
+    return companies.withColumns({f"{c}_key": region.text(F.col(c)) for c in PLACE})
+
+
 def street_candidates(companies: DataFrame, divisions: DataFrame) -> DataFrame:
-    """One row per (province, city, district) of the companies: the prefix
-    pattern of its addresses and its street names in order of preference.
+    """One row per (province, city, district) of the companies: the patterns of
+    its addresses and its street names in order of preference.
 
     The lists are built once per district; their length is the number of
     streets of the district, not a function of the companies.
     """
-    places = companies.select(
-        *[region.text(F.col(c)).alias(f"{c}_key") for c in ("province", "city", "district")]
-    ).distinct()
-    keyed = places.withColumn("place", F.struct("province_key", "city_key", "district_key")).select(
-        "place", F.posexplode(_lookup_keys(F.col("city_key"), F.col("district_key"))).alias("pos", "key")
-    ).select("place", "pos", "key.*")
+    places = with_place_keys(companies.select(*PLACE)).select(*PLACE_KEY).distinct()
+    keyed = places.select(
+        *[F.col(c).alias(f"own_{c}") for c in PLACE_KEY],
+        F.posexplode(_lookup_keys(F.col("city_key"), F.col("district_key"))).alias("pos", "key"),
+    ).select(*[f"own_{c}" for c in PLACE_KEY], "pos", "key.*")
     listed = keyed.join(street_index(divisions), STREET_KEY)
     item = F.struct("pos", "phase", "kind", "size", "first", "pattern", "official")
-    bundled = listed.groupBy("place").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return bundled.select(
-        "place.*",
-        street.prefix_pattern(
-            F.col("place.province_key"), F.col("place.city_key"), F.col("place.district_key")
-        ).alias("prefix"),
-        F.transform("items", lambda i: F.struct(i["pattern"].alias("pattern"), i["official"].alias("official")))
-        .alias("streets"),
+    bundled = listed.groupBy(*[f"own_{c}" for c in PLACE_KEY]).agg(
+        F.array_sort(F.collect_list(item)).alias("items")
+    )
+    bundled = bundled.select(
+        *[F.col(f"own_{c}").alias(c) for c in PLACE_KEY],
+        F.transform(
+            "items", lambda i: F.struct(i["pattern"].alias("pattern"), i["official"].alias("official"))
+        ).alias("streets"),
+    )
+    names = [F.col(c) for c in PLACE_KEY]
+    return places.join(bundled, PLACE_KEY, "left").withColumns(
+        {
+            "prefix": street.prefix_pattern(*names),
+            "repeated": street.repeated_region_pattern(*names),
+            "regions": street.region_spellings(*names),
+        }
     )
 
 
@@ -143,29 +158,18 @@ def match_streets(companies: DataFrame, divisions: DataFrame, scan: bool = False
     With ``scan``, addresses without a listed street are read by pattern.
     Companies are joined once and never multiplied or regrouped.
     """
-    places = ("province", "city", "district")
-    keys = [f"{c}_key" for c in places]
-    keyed = companies
-    for c in places:
-        keyed = keyed.withColumn(f"{c}_key", region.text(F.col(c)))
-    joined = keyed.join(street_candidates(companies, divisions), keys, "left")
-    own = street.prefix_pattern(F.col("province"), F.col("city"), F.col("district"))
-    prefix = F.coalesce(F.col("prefix"), own) if scan else F.coalesce(F.col("prefix"), F.lit("^$"))
-    bodies = joined.withColumn("__cut", street.without_prefix(F.col("address"), prefix)).withColumn(
-        "__body", street.without_zone(F.col("__cut"))
-    )
+    joined = with_place_keys(companies).join(street_candidates(companies, divisions), PLACE_KEY)
+    cut = street.without_prefix(F.col("address"), F.col("prefix"))
+    bodies = joined.withColumn("__body", street.without_zone(cut))
     named = F.filter("streets", lambda s: F.col("__body").contains(s["pattern"]))
     hits = F.filter(named, lambda s: street.street_hit(F.col("__body"), s["pattern"]))
-    found = F.coalesce(F.try_element_at(hits, F.lit(1))["official"], F.lit(""))
-    out = bodies.withColumn("matched_street", found)
+    found = F.try_element_at(hits, F.lit(1))["official"]
+    options = [found]
     if scan:
-        scanned = street.scanned_street(
-            F.col("__body"), F.col("province_key"), F.col("city_key"), F.col("district_key")
-        )
-        out = out.withColumn(
-            "matched_street", F.when(F.col("matched_street") == "", scanned).otherwise(F.col("matched_street"))
-        )
-    return out.drop(*keys, "prefix", "streets", "__cut", "__body")
+        options.append(street.scanned_street(F.col("__body"), F.col("repeated"), F.col("regions")))
+    return bodies.withColumn("matched_street", F.coalesce(*options, F.lit(""))).drop(
+        *PLACE_KEY, "prefix", "repeated", "regions", "streets", "__body"
+    )
 
 
 def backfill_streets(

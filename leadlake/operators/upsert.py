@@ -211,7 +211,7 @@ def territory_rules(changes: DataFrame, arrival=("loaded_at",)) -> DataFrame:
     return keep_last(changes, TERRITORY_KEY, arrival)
 
 
-def slice_without_changes(before: DataFrame, after: DataFrame, protected: Sequence[str], key=CODE) -> DataFrame:
+def changed_cells(before: DataFrame, after: DataFrame, protected: Sequence[str], key=CODE) -> DataFrame:
     """Violations of 'enrichment never changes a filled cell': (key, field, before, after)."""
     cells = F.explode(
         F.array(

@@ -63,15 +63,18 @@ def _field(rows: DataFrame, name: str) -> Column:
     return F.col(name) if name in rows.columns else F.lit(None).cast("string")
 
 
-def company_columns(rows: DataFrame, normalised: bool, strict_staff: bool) -> dict[str, Column]:
+def company_columns(
+    rows: DataFrame, normalised: bool, strict_staff: bool, by_folder: bool = False
+) -> dict[str, Column]:
     """Target columns computed from the fields of a source.
 
-    ``normalised`` maps status and province spellings; ``strict_staff`` accepts
-    staff counts made of digits only, and caps them.
+    ``normalised`` maps status and province spellings, ``by_folder`` lets the
+    source folder name a missing province, ``strict_staff`` accepts staff counts
+    made of digits only, and caps them.
     """
     f = {n: _field(rows, n) for n in ("capital", "capital_paid", "established", "approved")}
     name = byte_truncate(clean(_field(rows, "name")), 300)
-    folder = F.col("src_group") if "src_group" in rows.columns else None
+    folder = F.col("src_group") if by_folder and "src_group" in rows.columns else None
     status, province = clean(_field(rows, "status")), clean(_field(rows, "province"))
     if normalised:
         status = region.status(_field(rows, "status"))
@@ -104,12 +107,14 @@ def company_columns(rows: DataFrame, normalised: bool, strict_staff: bool) -> di
     return out
 
 
-def _contact_rows(rows: DataFrame, items: Column, **constants) -> DataFrame:
+def _contact_rows(
+    rows: DataFrame, items: Column, arrival: list[str], source: str, collected_at: Column
+) -> DataFrame:
     """One row per contact item; ``pos`` keeps the order inside the row."""
-    exploded = rows.select(CODE, "company_name", F.posexplode(items).alias("pos", "item"))
+    exploded = rows.select(CODE, "company_name", *arrival, F.posexplode(items).alias("pos", "item"))
     return exploded.select(
-        CODE, "item.*", "company_name", "pos",
-        *[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in constants.items()],
+        CODE, "item.*", F.lit(source).alias("source"), "company_name",
+        collected_at.alias("collected_at"), "pos", *arrival,
     )
 
 
@@ -137,7 +142,7 @@ def clean_registry(rows: DataFrame, as_of: Column) -> DataFrame:
     fields = [c for c in rows.columns if c not in ("src_group", "src_file", "row_no")]
     kept = [c for c in ("src_group", "src_file", "row_no") if c in rows.columns]
     named = rows.filter(~is_empty(F.col("name")))
-    columns = company_columns(rows, normalised=True, strict_staff=True)
+    columns = company_columns(rows, normalised=True, strict_staff=True, by_folder=True)
     cleaned = named.select(
         identity.entity_code(F.col("credit"), columns["company_name"]).alias(CODE),
         *[c.alias(n) for n, c in columns.items()],
@@ -178,8 +183,7 @@ def registry_contacts(cleaned: DataFrame, arrival: list[str], source: str, colle
         _items(F.col("landlines"), "landline", True),
         _items(F.col("emails"), "email", True),
     )
-    keyed = _contact_rows(cleaned, items, source=source, collected_at=collected_at,
-                          **{a: F.col(a) for a in arrival})
+    keyed = _contact_rows(cleaned, items, arrival, source, collected_at)
     return _unique_contacts(keyed, arrival, first_wins=True)
 
 
@@ -298,8 +302,7 @@ def enrichment_contacts(
         _email_items(_field(source, "email"), _field(source, "email2")),
     )
     usable = F.filter(items, lambda x: x["contact_value"].isNotNull())
-    keyed = _contact_rows(source, usable, source=name, collected_at=collected_at,
-                          **{a: F.col(a) for a in arrival})
+    keyed = _contact_rows(source, usable, arrival, name, collected_at)
     return _unique_contacts(keyed, arrival, first_wins=False)
 
 
