@@ -4,6 +4,13 @@
 def registered():
     """(queries, oracle SQL) of all query modules."""
     from leadlake.catalog import entry
-    from leadlake.catalog import cleaning_queries, load_queries, search_queries  # noqa: F401
+    from leadlake.catalog import (  # noqa: F401
+        cleaning_queries,
+        geo_queries,
+        lead_queries,
+        load_queries,
+        profile_queries,
+        search_queries,
+    )
 
     return entry.QUERIES, entry.ORACLES

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from leadlake.catalog import vocabulary as v
 from leadlake.functions import dates, region
 from leadlake.functions.capital import capital_currency, capital_wan
+from leadlake.functions.text import lookup, word_array
 from leadlake.schemas import Tables
 
 
@@ -21,8 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pick(words, index: Column) -> Column:
-    """Word number ``index`` (from 0) of a fixed list."""
-    return F.element_at(F.array(*[F.lit(w) for w in words]), (index + 1).cast("int"))
+    """Word number ``index`` (from 0) of a fixed list; a missing word is NULL."""
+    word = F.element_at(word_array(["" if w is None else w for w in words]), (index + 1).cast("int"))
+    return F.nullif(word, F.lit("")) if None in words else word
 
 
 def as_of() -> Column:
@@ -159,7 +161,7 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(v.PROVINCES, n).alias("province"), pick(v.CITIES, n).alias("city"),
         district(k, n).alias("district"),
         F.when(k % 3 != 0, pick(v.STREETS, k % 6)).alias("street"),
-        F.element_at(F.create_map(*[F.lit(x) for p in v.SEGMENTS.items() for x in p]), segment).alias("industry_l1"),
+        lookup(v.SEGMENTS, segment).alias("industry_l1"),
         segment.alias("industry_l2"), F.col("n_name").alias("industry_l3"),
         zero("insured_count").cast("int").alias("insured_count"),
         address(k, n).alias("address"),
@@ -221,7 +223,7 @@ def contact_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "view": "contacted", "click": "interested", "purchase": "blocked", "signup": "rejected",
         "error": "bogus",
     }
-    mapped = F.element_at(F.create_map(*[F.lit(x) for p in states.items() for x in p]), F.col("event_type"))
+    mapped = lookup(states, F.col("event_type"))
     return table(spark, sf_dir, "events").select(
         company_code(F.col("user_id")).alias("credit_code"),
         F.concat(F.lit("u"), text(F.col("event_id") % 3)).alias("user_id"), mapped.alias("status"),

@@ -25,6 +25,7 @@ from leadlake.catalog.domain import territory as territory_table
 from leadlake.catalog.domain_sql import code, cvalue, mobile, name, pick as pick_sql
 from leadlake.catalog.entry import query
 from leadlake.functions.identity import entity_code
+from leadlake.functions.text import lookup
 from leadlake.operators import profile, upsert
 from leadlake.operators.ranking import keep_best, keep_last
 from leadlake.plans import load
@@ -352,7 +353,7 @@ def edit_batch(spark, sf_dir):
 def company_edits(spark, sf_dir):
     e = F.col("event_id")
     fields = {"view": "website", "click": "street", "signup": "scope", "purchase": "capital_wan", "error": "fill_score"}
-    mapped = F.element_at(F.create_map(*[F.lit(x) for p in fields.items() for x in p]), F.col("event_type"))
+    mapped = lookup(fields, F.col("event_type"))
     return table(spark, sf_dir, "events").select(
         company_code(F.col("user_id")).alias("credit_code"), mapped.alias("field"),
         F.when(F.col("event_type") == "purchase", (e % 100000).cast("string"))
@@ -362,7 +363,7 @@ def company_edits(spark, sf_dir):
 def contact_changes(spark, sf_dir):
     e = F.col("event_id")
     kinds = {"view": "mobile", "click": " Email ", "signup": "landline", "purchase": "fax", "error": "mobile"}
-    mapped = F.element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.col("event_type"))
+    mapped = lookup(kinds, F.col("event_type"))
     value = (
         F.when(F.col("event_type") == "view", F.concat(F.lit("+86 138-"), F.lpad((e % 5000).cast("string"), 8, "0")))
         .when(F.col("event_type") == "click", F.concat(F.lit("U"), (e % 400).cast("string"), F.lit("@Mail.cn")))

@@ -36,14 +36,14 @@ def previewed(items):
     SELECT c.credit_code, company_name, legal_person, CAST(capital_wan AS DOUBLE) AS capital_wan, province, city,
            mobile_count, coalesce(preview, '') AS preview
     FROM (SELECT * FROM companies WHERE status = '存续' AND has_mobile = 1 AND company_age <= 20 AND insured_count >= 3
-          ORDER BY capital_wan DESC NULLS LAST, credit_code LIMIT 50 OFFSET 50) AS c
+          ORDER BY capital_wan DESC NULLS LAST, credit_code LIMIT 50) AS c
          LEFT JOIN previews AS p ON c.credit_code = p.credit_code""",
     ("companies", "contacts"),
 )
 def search_page(spark, sf_dir):
     f = CompanyFilter(has_mobile=1, age=(None, 20), insured=(3, None))
     tables = Tables(d.companies(spark, sf_dir), d.contacts(spark, sf_dir))
-    items = search.search(tables, f, number=2, size=50)["items"]
+    items = search.search(tables, f, number=1, size=50)["items"]
     return items.select(
         "credit_code", "company_name", "legal_person", "capital_wan", "province", "city",
         "mobile_count", previewed(items),

@@ -64,10 +64,7 @@ def city_names(city: Column, district: Column) -> Column:
     For placeholder cities the real (county-level) city is the district.
     """
     c, d = text(city), text(district)
-    entries = []
-    for name, aliases in CITY_ALIASES.items():
-        entries += [F.lit(name), F.array(*[F.lit(a) for a in aliases])]
-    aliases = F.try_element_at(F.create_map(*entries), c)
+    aliases = F.split(lookup({k: "|".join(a) for k, a in CITY_ALIASES.items()}, c), r"\|")
     named = F.filter(F.array(d, c), lambda x: x != "")
     own = F.when(c == "", empty_strings()).otherwise(F.array(c))
     return F.when(is_placeholder_city(c), F.array_distinct(named)).otherwise(
@@ -75,6 +72,22 @@ def city_names(city: Column, district: Column) -> Column:
     )
 
 
+def known_as(city: Column, district: Column) -> Column:
+    """Every name by which a record may refer to a division's city.
+
+    The reverse of ``city_names``; a division below a placeholder city is known
+    by its district.
+    """
+    c, d = text(city), text(district)
+    names: dict[str, list[str]] = {}
+    for name, aliases in CITY_ALIASES.items():
+        for alias in aliases:
+            names.setdefault(alias, [alias]).append(name)
+    referred = lookup({k: "|".join(dict.fromkeys(n)) for k, n in names.items()}, c)
+    own = F.coalesce(F.split(referred, r"\|"), F.array(c))
+    return F.when(is_placeholder_city(c), F.array_distinct(F.array(d, c))).otherwise(own)
+
+
 def short_name(c: Column) -> Column:
     """Region name without its administrative suffix."""
     return F.regexp_replace(text(c), f"(?<=.)(?:{'|'.join(REGION_SUFFIXES)})$", "")

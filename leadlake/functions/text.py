@@ -26,13 +26,13 @@ def let(value: Column, body) -> Column:
 
 def is_empty(c: Column, tokens=EMPTY_TOKENS) -> Column:
     """True for NULL, blank and sentinel text; never NULL itself."""
-    return F.coalesce(F.lower(strip(c)).isin(*tokens), F.lit(True))
+    return F.coalesce(F.array_contains(word_array(tokens), F.lower(strip(c))), F.lit(True))
 
 
 def clean(c: Column, tokens=EMPTY_TOKENS) -> Column:
     """Trimmed text, or NULL where the text only says that there is no value."""
     s = strip(c)
-    return F.when(~F.lower(s).isin(*tokens), s)
+    return F.when(~F.array_contains(word_array(tokens), F.lower(s)), s)
 
 
 def blank(c: Column) -> Column:
@@ -66,10 +66,16 @@ def filled_count(columns) -> Column:
     return total
 
 
+def word_array(words) -> Column:
+    """A fixed list as one literal, which the optimizer folds into an array."""
+    return F.split(F.lit("\x1f".join(words)), "\x1f")
+
+
 def lookup(mapping: dict, key: Column, value_type: str = "string") -> Column:
-    """Value of a small literal map, NULL for an unknown key."""
-    entries = [F.lit(x) for pair in mapping.items() for x in pair]
-    return F.try_element_at(F.create_map(*entries), key).cast(value_type)
+    """Value of a small fixed map, NULL for an unknown key."""
+    entries = "\x1e".join(f"{k}\x1f{v}" for k, v in mapping.items())
+    table = F.str_to_map(F.lit(entries), F.lit("\x1e"), F.lit("\x1f"))
+    return F.try_element_at(table, key).cast(value_type)
 
 
 def bucket_label(n: Column, edges) -> Column:

@@ -23,7 +23,7 @@ CODE = "credit_code"
 def by_city_name(divisions: DataFrame, level: str) -> DataFrame:
     """Divisions of a level, one row per name of their city (column city_key)."""
     return divisions.filter(F.col("level") == level).withColumn(
-        "city_key", F.explode(region.city_names(F.col("city"), F.col("district")))
+        "city_key", F.explode(region.known_as(F.col("city"), F.col("district")))
     )
 
 
@@ -45,7 +45,9 @@ def same_city(companies: DataFrame, divisions: DataFrame, level: str, on: list[s
 
 def _list_keys(divisions: DataFrame) -> DataFrame:
     """Street names under each (city, district) key they can be looked up by."""
-    rows = by_city_name(divisions.filter(filled("street")), "street")
+    rows = divisions.filter((F.col("level") == "street") & filled("street")).withColumn(
+        "city_key", F.explode(region.city_names(F.col("city"), F.col("district")))
+    )
     city, district = region.text(F.col("city_key")), region.text(F.col("district"))
     empty = F.lit("")
     as_city = (city == district) | F.col("city").contains("直辖")
