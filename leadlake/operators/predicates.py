@@ -286,20 +286,28 @@ def clean_street_names(companies: DataFrame) -> DataFrame:
     )
 
 
-def lead_predicate(
-    text: str = "", equal: dict | None = None, contains: dict | None = None, min_score: int | None = None
-) -> Column:
+def filter_leads(
+    pool: DataFrame, text: str = "", equal: dict | None = None, contains: dict | None = None,
+    min_score: int | None = None,
+) -> DataFrame:
     """Filter of the scored-lead pool: one text over six columns, exact region
-    fields, substring tag fields, and a score floor."""
+    fields, substring tag fields, and a score floor. Lists count as 'A | B' text."""
+    types = dict(pool.dtypes)
+
+    def has(column: str, part: str) -> Column:
+        c = F.col(column)
+        written = F.array_join(c, " | ") if types[column].startswith("array") else c
+        return F.coalesce(written.contains(part), F.lit(False))
+
     checks = []
     if text:
         columns = ("company_name", "legal_person", "credit_code", "chain_industries", "address", "scope")
-        checks.append(any_of([F.coalesce(F.col(c).contains(text), F.lit(False)) for c in columns]))
+        checks.append(any_of([has(c, text) for c in columns]))
     checks += [F.col(c) == v for c, v in (equal or {}).items() if v]
-    checks += [F.col(c).contains(v) for c, v in (contains or {}).items() if v]
+    checks += [has(c, v) for c, v in (contains or {}).items() if v]
     if min_score is not None:
         checks.append(F.col("lead_score") >= min_score)
-    return all_of(checks)
+    return pool.filter(all_of(checks))
 
 
 def name_sample(companies: DataFrame, low: int, high: int, unlike: str, like: str) -> DataFrame:
