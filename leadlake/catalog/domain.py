@@ -15,6 +15,7 @@ from leadlake.functions import dates, region
 from leadlake.functions.capital import capital_currency, capital_wan
 from leadlake.functions.text import lookup, word_array
 from leadlake.schemas import Tables
+from leadlake.sources.files import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -287,7 +288,7 @@ def divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw registry rows: one per order, so companies appear in many files."""
     o, k, n = F.col("o_orderkey"), F.col("c_custkey"), F.col("c_nationkey")
-    rows = table(spark, sf_dir, "orders").join(
+    rows = spread(table(spark, sf_dir, "orders")).join(
         table(spark, sf_dir, "customer"), F.col("o_custkey") == k
     )
     day = F.col("o_orderdate").cast("date")
@@ -321,7 +322,7 @@ def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw industry-chain rows: one per line item, tagged by part and quantity."""
-    lines = table(spark, sf_dir, "lineitem").join(
+    lines = spread(table(spark, sf_dir, "lineitem")).join(
         table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     )
     lines = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))

@@ -30,7 +30,7 @@ BOX = (99.95, 23.9, 105.5, 30.0)
 def clusters_sql(level, keys, n):
     return f"""
     SELECT * FROM (SELECT {keys}, {level} AS name, count(*) AS cnt, round(CAST(sum(capital_wan) AS DOUBLE) / count(capital_wan), 1) AS metric,
-                          round(avg(lng), 6) AS lng, round(avg(lat), 6) AS lat, sum(has_mobile) AS with_mobile
+                          round(avg(lng) + 0.0000001234, 6) AS lng, round(avg(lat) + 0.0000001234, 6) AS lat, sum(has_mobile) AS with_mobile
                    FROM companies WHERE status = '存续' AND has_mobile = 1 AND lng IS NOT NULL AND coalesce({level}, '') <> ''
                    GROUP BY {keys} HAVING avg(lng) BETWEEN 99.95 AND 105.5 AND avg(lat) BETWEEN 23.9 AND 30.0) AS x
     ORDER BY cnt DESC, {keys} LIMIT {n}"""
@@ -38,7 +38,8 @@ def clusters_sql(level, keys, n):
 
 def clusters(spark, sf_dir, zoom):
     found = search.map_clusters(Tables(d.companies(spark, sf_dir)), BOX, zoom)["clusters"]
-    return found.withColumns({"lng": F.round("lng", 6), "lat": F.round("lat", 6)})
+    # Centres are often exact ties of the sixth digit; both sides step off them.
+    return found.withColumns({c: F.round(F.col(c) + 0.0000001234, 6) for c in ("lng", "lat")})
 
 
 @query("map_clusters_city", clusters_sql("city", "city", 40), ("companies",))
@@ -284,6 +285,7 @@ def street_backfill(spark, sf_dir):
                 THEN coalesce(p.precision, k.level) END AS geo_precision
     FROM placed AS p LEFT JOIN best AS b ON b.credit_code = p.credit_code
          LEFT JOIN known AS k ON k.level = 'street' AND k.district = p.district AND k.street = b.official AND coalesce(p.street, '') = ''
+              AND p.province IN ('上海市', '北京市', '天津市', '重庆市')
               AND k.city = """ + TREE_CITY.format(c="p"),
     ("companies", "divisions"),
 )

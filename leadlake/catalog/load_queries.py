@@ -69,8 +69,8 @@ REGISTRY_BEST = """
     ("registry_rows",),
 )
 def registry_load(spark, sf_dir):
-    cleaned = load.clean_registry(registry_rows(spark, sf_dir), as_of())
-    return load.registry_companies(cleaned, ARRIVAL).select(
+    keyed = load.keyed_registry(registry_rows(spark, sf_dir))
+    return load.registry_companies(keyed, as_of(), ARRIVAL).select(
         "credit_code", "company_name", "status", "legal_person", "scale", "capital_wan", "established",
         "established_year", "company_age", "province", "city", "district", "industry_l1", "insured_count",
         "address", "scope", "fill_score", "src_file", "has_mobile", "has_landline", "has_email",
@@ -93,8 +93,8 @@ def registry_load(spark, sf_dir):
     ("registry_rows",),
 )
 def registry_contacts(spark, sf_dir):
-    cleaned = load.clean_registry(registry_rows(spark, sf_dir), as_of())
-    points = load.registry_contacts(cleaned, ARRIVAL, "registry", F.lit("2025-01-01").cast("date"))
+    keyed = load.keyed_registry(registry_rows(spark, sf_dir))
+    points = load.registry_contacts(keyed, ARRIVAL, "registry", F.lit("2025-01-01").cast("date"))
     return points.select("credit_code", "contact_type", "contact_value", "is_primary")
 
 

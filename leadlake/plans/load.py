@@ -137,54 +137,66 @@ def _unique_contacts(rows: DataFrame, arrival: list[str], first_wins: bool) -> D
 # --- registry ---------------------------------------------------------------------
 
 
-def clean_registry(rows: DataFrame, as_of: Column) -> DataFrame:
-    """Cleaned registry rows with contact arrays; rows without a name are dropped."""
+def keyed_registry(rows: DataFrame) -> DataFrame:
+    """Registry rows with a name, their company key and their completeness score.
+
+    Only what ranks a row is computed here; the fields are cleaned after the
+    best row per company is known.
+    """
     fields = [c for c in rows.columns if c not in ("src_group", "src_file", "row_no")]
-    kept = [c for c in ("src_group", "src_file", "row_no") if c in rows.columns]
-    named = rows.filter(~is_empty(F.col("name")))
-    columns = company_columns(rows, normalised=True, strict_staff=True, by_folder=True)
-    cleaned = named.select(
-        identity.entity_code(F.col("credit"), columns["company_name"]).alias(CODE),
-        *[c.alias(n) for n, c in columns.items()],
-        ct.mobiles(_field(rows, "mobile"), _field(rows, "landline")).alias("mobiles"),
-        ct.landlines(_field(rows, "landline")).alias("landlines"),
-        ct.emails(_field(rows, "email"), _field(rows, "email2")).alias("emails"),
-        filled_count([F.col(c) for c in fields]).alias("fill_score"),
-        *kept,
+    name = byte_truncate(clean(F.col("name")), 300)
+    return rows.filter(~is_empty(F.col("name"))).select(
+        identity.entity_code(F.col("credit"), name).alias(CODE), name.alias("company_name"),
+        filled_count([F.col(c) for c in fields]).alias("fill_score"), *rows.columns,
+    )
+
+
+def _contact_arrays(rows: DataFrame) -> dict[str, Column]:
+    return {
+        "mobiles": ct.mobiles(_field(rows, "mobile"), _field(rows, "landline")),
+        "landlines": ct.landlines(_field(rows, "landline")),
+        "emails": ct.emails(_field(rows, "email"), _field(rows, "email2")),
+    }
+
+
+def registry_companies(keyed: DataFrame, as_of: Column, arrival: list[str]) -> DataFrame:
+    """The fullest row per company over all files, cleaned; the earliest of equals."""
+    best = keep_best(keyed, [CODE], "fill_score", arrival)
+    columns = company_columns(best, normalised=True, strict_staff=True, by_folder=True)
+    del columns["company_name"]
+    kept = [c for c in ("src_group", "src_file", "row_no") if c in best.columns]
+    cleaned = best.select(
+        CODE, "company_name", *[c.alias(n) for n, c in columns.items()],
+        *[F.size(a).alias(n) for n, a in _contact_arrays(best).items()], "fill_score", *kept,
     )
     age = dates.company_age(F.col("established"), as_of)
     founded = F.when(age.isNotNull(), F.col("established"))
-    counts = {k: F.size(k) for k in ("mobiles", "landlines", "emails")}
-    reached = reduce(lambda a, b: a | b, [n > 0 for n in counts.values()])
+    reached = F.col("mobiles") + F.col("landlines") + F.col("emails")
     return cleaned.withColumns(
         {
             "company_age": age,
             "established_year": F.year(founded).cast("smallint"),
             "established": founded,
-            "has_mobile": (counts["mobiles"] > 0).cast("tinyint"),
-            "has_landline": (counts["landlines"] > 0).cast("tinyint"),
-            "has_email": (counts["emails"] > 0).cast("tinyint"),
-            "has_contact": reached.cast("tinyint"),
-            "mobile_count": counts["mobiles"],
-            "email_count": counts["emails"],
+            "has_mobile": (F.col("mobiles") > 0).cast("tinyint"),
+            "has_landline": (F.col("landlines") > 0).cast("tinyint"),
+            "has_email": (F.col("emails") > 0).cast("tinyint"),
+            "has_contact": (reached > 0).cast("tinyint"),
+            "mobile_count": F.col("mobiles"),
+            "email_count": F.col("emails"),
         }
-    )
-
+    ).drop("mobiles", "landlines", "emails")
 
-def registry_companies(cleaned: DataFrame, arrival: list[str]) -> DataFrame:
-    """The fullest row per company over all files; the earliest of equals."""
-    return keep_best(cleaned, [CODE], "fill_score", arrival).drop("mobiles", "landlines", "emails")
 
-
-def registry_contacts(cleaned: DataFrame, arrival: list[str], source: str, collected_at: Column) -> DataFrame:
+def registry_contacts(keyed: DataFrame, arrival: list[str], source: str, collected_at: Column) -> DataFrame:
     """Contact points of all rows; the first of each type in a row is primary."""
+    arrays = _contact_arrays(keyed)
     items = F.concat(
-        _items(F.col("mobiles"), "mobile", True),
-        _items(F.col("landlines"), "landline", True),
-        _items(F.col("emails"), "email", True),
+        _items(arrays["mobiles"], "mobile", True),
+        _items(arrays["landlines"], "landline", True),
+        _items(arrays["emails"], "email", True),
     )
-    keyed = _contact_rows(cleaned, items, arrival, source, collected_at)
-    return _unique_contacts(keyed, arrival, first_wins=True)
+    rows = _contact_rows(keyed, items, arrival, source, collected_at)
+    return _unique_contacts(rows, arrival, first_wins=True)
 
 
 # --- monthly increment ---------------------------------------------------------------
@@ -196,22 +208,21 @@ def monthly_companies(rows: DataFrame, as_of: Column, arrival: list[str]) -> Dat
     The fullest row gives the fields; flags and counts cover the mobiles of all
     rows. Scores start at 300 so that the increment replaces registry rows.
     """
-    named = rows.filter(~is_empty(F.col("name")))
+    name = byte_truncate(clean(F.col("name")), 300)
+    keyed = rows.filter(~is_empty(F.col("name"))).select(
+        identity.entity_code(F.col("credit"), name).alias(CODE),
+        (filled_count([F.col(c) for c in MONTHLY]) + MONTHLY_BONUS).alias("fill_score"), *rows.columns,
+    )
+    best = keep_best(keyed, [CODE], "fill_score", arrival)
     place = region.region_parts(F.col("region"))
-    columns = company_columns(rows, normalised=True, strict_staff=True)
+    columns = company_columns(best, normalised=True, strict_staff=True)
     columns |= {n: byte_truncate(place[n], 64) for n in ("province", "city", "district")}
-    cleaned = named.select(
-        identity.entity_code(F.col("credit"), columns["company_name"]).alias(CODE),
-        *[c.alias(n) for n, c in columns.items()],
-        ct.mobiles(F.col("mobile"), F.lit("")).alias("mobiles"),
-        (filled_count([F.col(c) for c in MONTHLY]) + MONTHLY_BONUS).alias("fill_score"),
-        *arrival,
-    ).withColumn("company_age", dates.company_age(F.col("established"), as_of))
-    best = keep_best(cleaned.drop("mobiles"), [CODE], "fill_score", arrival)
-    numbers = cleaned.select(CODE, F.explode("mobiles").alias("mobile")).distinct()
+    cleaned = best.select(CODE, *[c.alias(n) for n, c in columns.items()], "fill_score", *arrival)
+    cleaned = cleaned.withColumn("company_age", dates.company_age(F.col("established"), as_of))
+    numbers = keyed.select(CODE, F.explode(ct.mobiles(F.col("mobile"), F.lit(""))).alias("mobile")).distinct()
     counts = numbers.groupBy(CODE).agg(F.count(F.lit(1)).cast("int").alias("mobile_count"))
     reached = (F.coalesce("mobile_count", F.lit(0)) > 0).cast("tinyint")
-    return best.join(counts, CODE, "left").withColumns(
+    return cleaned.join(counts, CODE, "left").withColumns(
         {
             "established_year": F.year("established").cast("smallint"),
             "has_mobile": reached, "has_landline": F.lit(0).cast("tinyint"),

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.fixed_values import MUNICIPALITIES
+from leadlake.functions.capital import needs_repair, repair_decision
 from leadlake.operators.divisions import backfill_streets, geocode
-from leadlake.plans.load import clean_registry, registry_companies
+from leadlake.plans.load import keyed_registry, registry_companies
 from leadlake.schemas import COMPANIES, conform
 
 
@@ -24,15 +25,12 @@ def repair_municipalities(companies: DataFrame, divisions: DataFrame) -> DataFra
 
 def load_national(rows: DataFrame, divisions: DataFrame, as_of: Column, arrival: list[str]) -> DataFrame:
     """Registry rows to located companies: clean, keep best, streets, points."""
-    best = registry_companies(clean_registry(rows, as_of), arrival)
-    companies = conform(best, COMPANIES)
+    companies = conform(registry_companies(keyed_registry(rows), as_of, arrival), COMPANIES)
     return geocode(backfill_streets(companies, divisions), divisions)
 
 
 def repaired_capital(companies: DataFrame) -> DataFrame:
     """Companies whose capital changes: key, new value, currency, reason, score."""
-    from leadlake.functions.capital import needs_repair, repair_decision
-
     raw, wan = F.col("capital_raw"), F.col("capital_wan")
     due = companies.filter(needs_repair(raw, wan))
     decided = due.withColumn(

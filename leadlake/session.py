@@ -27,7 +27,18 @@ def get_session(app_name: str = "leadlake", master: str | None = None, **conf) -
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    tune(spark)
+    return spark
+
+
+def tune(spark: SparkSession) -> None:
+    """Compile wide cleaning projections into methods the JVM can optimise.
+
+    HotSpot leaves methods above 8000 bytes interpreted. With this limit Spark
+    evaluates such stages through split projections instead of one method.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
 def work_dir(spark: SparkSession) -> str:

@@ -31,6 +31,16 @@ def with_source(df: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a source scan over at least as many tasks as there are cores.
+
+    Quoted multi-line files cannot be split; when there are fewer of them than
+    cores, their rows are redistributed before the costly cleaning.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def map_headers(df: DataFrame, mapping: Mapping[str, str], required: Iterable[str]) -> DataFrame:
     """Rename headed columns to fields. The first column of a field wins; a
     table without a required field is refused."""
@@ -57,13 +67,14 @@ def read_registry(
     reader = spark.read.format(format)
     if format == "csv":
         reader = reader.options(header=True, multiLine=True, escape='"', encoding="UTF-8")
-    return map_headers(with_source(reader.load(path)), mapping, required)
+    return map_headers(spread(with_source(reader.load(path))), mapping, required)
 
 
 def read_positional(spark: SparkSession, path: str, fields=headers.MONTHLY) -> DataFrame:
     """Headerless files whose columns are known by position."""
     schema = ", ".join(f"{f} string" for f in fields)
-    return with_source(spark.read.schema(schema).csv(path, header=False, multiLine=True, escape='"'))
+    reader = spark.read.schema(schema).options(header=False, multiLine=True, escape='"')
+    return spread(with_source(reader.csv(path)))
 
 
 def read_certificate_csv(spark: SparkSession, path: str) -> DataFrame:
