@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.fixed_values import HIGH_TECH_HONOR, HIGH_TECH_TYPE
+from leadlake.fixed_values import HIGH_TECH_HONOR, HIGH_TECH_TYPE, POSITIONS
 from leadlake.functions import contacts as ct
 from leadlake.functions import dates, identity, region, tags
 from leadlake.functions.capital import capital_currency, capital_wan
@@ -377,7 +377,7 @@ def merge_tags(existing: DataFrame, rows: DataFrame, arrival: list[str]) -> Data
         CODE,
         {
             "industries": tags.INDUSTRY_LIMIT, "nodes": tags.NODE_LIMIT,
-            "new_honors": tags.HONOR_LIMIT, "positions": None,
+            "new_honors": tags.HONOR_LIMIT, "positions": len(POSITIONS),
         },
     )
     rank = tags.relatedness_rank(F.col("relatedness"))
