@@ -10,8 +10,9 @@ from leadlake.catalog.domain_sql import code, cvalue, pick
 from leadlake.catalog.entry import query
 from leadlake.operators import profile, setops
 from leadlake.operators.ranking import exact_percentiles
-from leadlake.operators.search_index import build_postings, match_all, match_any
+from leadlake.operators.search_index import build_postings, match_all, match_any, write_postings
 from leadlake.session import work_dir
+from leadlake.sources.files import spread
 from leadlake.streaming import increments
 
 RAW = profile.Dataset(
@@ -296,6 +297,14 @@ WORDS_CTE = """
     queries AS (SELECT page_id AS query_id, list_distinct(regexp_extract_all(lower(substr(url, 8, 20)), '[a-z0-9]+')) AS ws FROM pages)"""
 
 
+def stored_postings(spark, sf_dir):
+    """The postings of all documents, written to the shared folder and read back."""
+    path = f"{work_dir(spark)}/postings"
+    index = build_postings(spread(d.table(spark, sf_dir, "documents")), "doc_id", "text")
+    write_postings(index, path, spark.sparkContext.defaultParallelism)
+    return spark.read.parquet(path)
+
+
 def page_queries(spark, sf_dir):
     return d.table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("query_id"), F.substring("url", 8, 20).alias("query")
@@ -309,7 +318,7 @@ def page_queries(spark, sf_dir):
     SELECT token, count(*) AS n FROM (SELECT unnest(ws) AS token FROM words) AS x GROUP BY token""",
 )
 def postings(spark, sf_dir):
-    index = build_postings(d.table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = build_postings(spread(d.table(spark, sf_dir, "documents")), "doc_id", "text")
     return index.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -321,8 +330,7 @@ def postings(spark, sf_dir):
     SELECT query_id, doc_id, count(*) AS hits FROM terms JOIN idx USING (token) GROUP BY query_id, doc_id""",
 )
 def token_any(spark, sf_dir):
-    index = build_postings(d.table(spark, sf_dir, "documents"), "doc_id", "text")
-    return match_any(index, page_queries(spark, sf_dir), "doc_id")
+    return match_any(stored_postings(spark, sf_dir), page_queries(spark, sf_dir), "doc_id")
 
 
 @query(
@@ -339,7 +347,7 @@ def token_all(spark, sf_dir):
     queries = d.table(spark, sf_dir, "labels").join(docs, "doc_id").select(
         F.col("doc_id").alias("query_id"), F.substring("text", 1, 12).alias("query")
     )
-    return match_all(build_postings(docs, "doc_id", "text"), queries, "doc_id")
+    return match_all(stored_postings(spark, sf_dir), queries, "doc_id")
 
 
 # --- streams -------------------------------------------------------------------------

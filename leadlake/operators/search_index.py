@@ -29,25 +29,41 @@ def write_postings(postings: DataFrame, path: str, partitions: int) -> None:
     ).parquet(path)
 
 
-def _hits(postings: DataFrame, queries: DataFrame, key: str) -> DataFrame:
-    """(query_id, key, hits, wanted): tokens of each query found per row.
-
-    Counted in two steps; the first runs before the shuffle.
-    """
-    terms = queries.select(
-        "query_id", F.explode(tokens.tokens(F.col("query"))).alias("token"),
-        F.size(tokens.tokens(F.col("query"))).alias("wanted"),
+def _terms(queries: DataFrame) -> DataFrame:
+    """(query_id, token, wanted): the distinct tokens of every query and their number."""
+    found = queries.select("query_id", tokens.tokens(F.col("query")).alias("__tokens"))
+    return found.select(
+        "query_id", F.explode("__tokens").alias("token"), F.size("__tokens").alias("wanted")
     )
-    matched = postings.join(terms, "token")
-    return matched.groupBy("query_id", key, "wanted").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def match_all(postings: DataFrame, queries: DataFrame, key: str) -> DataFrame:
-    """(query_id, key) where the row has every token of the query."""
-    hits = _hits(postings, queries, key)
-    return hits.filter(F.col("hits") == F.col("wanted")).select("query_id", key)
+    """(query_id, key) where the row has every token of the query.
+
+    Rows are found by the rarest token of a query only; its other tokens are
+    then looked up by (token, row). Common words never meet all their rows.
+    """
+    terms = _terms(queries)
+    sizes = postings.join(terms.select("token").distinct(), "token", "left_semi").groupBy("token").agg(
+        F.count(F.lit(1)).alias("__rows")
+    )
+    sized = terms.join(sizes, "token", "left").fillna(0, subset=["__rows"])
+    rarest = sized.groupBy("query_id", "wanted").agg(
+        F.min(F.struct("__rows", "token"))["token"].alias("token")
+    )
+    candidates = postings.join(rarest, "token").withColumnRenamed("token", "__rarest")
+    others = candidates.join(terms.drop("wanted"), "query_id").filter(F.col("token") != F.col("__rarest"))
+    confirmed = others.join(postings, ["token", key], "left_semi")
+    complete = confirmed.groupBy("query_id", key, "wanted").agg(F.count(F.lit(1)).alias("__hits"))
+    complete = complete.filter(F.col("__hits") == F.col("wanted") - 1)
+    single = candidates.filter(F.col("wanted") == 1)
+    return complete.select("query_id", key).unionByName(single.select("query_id", key))
 
 
 def match_any(postings: DataFrame, queries: DataFrame, key: str) -> DataFrame:
-    """(query_id, key, hits) where the row has at least one token of the query."""
-    return _hits(postings, queries, key).select("query_id", key, "hits")
+    """(query_id, key, hits) where the row has at least one token of the query.
+
+    Every such pair is a result row. Hits are counted before the shuffle.
+    """
+    matched = postings.join(_terms(queries), "token")
+    return matched.groupBy("query_id", key).agg(F.count(F.lit(1)).alias("hits"))

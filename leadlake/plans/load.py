@@ -368,10 +368,11 @@ def merge_tags(existing: DataFrame, rows: DataFrame, arrival: list[str]) -> Data
     lists = distinct_lists(
         value_rows(
             both, CODE,
-            {
-                "industries": F.col("industries"), "nodes": F.col("nodes"), "new_honors": F.col("honors"),
-                "positions": tags.positions(F.coalesce("position", F.lit(""))),
-            },
+            [
+                ("industries", F.col("industries"), 0), ("nodes", F.col("nodes"), 0),
+                ("new_honors", F.col("honors"), 0),
+                ("positions", tags.positions(F.coalesce("position", F.lit(""))), 0),
+            ],
             turn,
         ),
         CODE,
