@@ -8,10 +8,11 @@ from leadlake.catalog import domain as d
 from leadlake.catalog import vocabulary as v
 from leadlake.catalog.domain_sql import words
 from leadlake.catalog.entry import query
-from leadlake.fixed_values import INDUSTRY_SECTIONS, PROVINCES
+from leadlake.fixed_values import CITY_CENTRES, INDUSTRY_SECTIONS, PROVINCE_CENTRES, PROVINCES
+from leadlake.functions.geo import region_centre
 from leadlake.operators import aggregates as agg
 from leadlake.operators import predicates as pred
-from leadlake.operators.divisions import streets_with_counts
+from leadlake.operators.divisions import street_top, streets_with_counts
 from leadlake.operators.predicates import CompanyFilter
 from leadlake.operators.ranking import after_key, top_per_key
 from leadlake.plans import search
@@ -563,3 +564,47 @@ def top_contacts(spark, sf_dir):
 def name_sample(spark, sf_dir):
     found = pred.name_sample(d.companies(spark, sf_dir), 14, 16, "%贸易%", "^(恒信|华美)")
     return found.select("credit_code", "company_name")
+
+
+@query(
+    "contact_types",
+    "SELECT contact_type AS k, count(*) AS n FROM contacts GROUP BY contact_type",
+    ("contacts",),
+)
+def contact_types(spark, sf_dir):
+    return agg.value_counts(d.contacts(spark, sf_dir), "contact_type")
+
+
+@query(
+    "street_top",
+    "SELECT street AS k, count(*) AS n FROM companies WHERE street <> '' GROUP BY street ORDER BY n DESC, k LIMIT 15",
+    ("companies",),
+)
+def street_top_query(spark, sf_dir):
+    return street_top(d.companies(spark, sf_dir))
+
+
+@query(
+    "tagged_codes",
+    "SELECT credit_code, tag_fit FROM tags WHERE len(chain_industries) > 0 AND credit_code LIKE '9%' AND credit_code LIKE '%0'",
+    ("tags",),
+)
+def tagged_codes(spark, sf_dir):
+    return pred.tagged_codes(d.tags(spark, sf_dir), "9", "0").select("credit_code", "tag_fit")
+
+
+def _values(points):
+    return ", ".join(f"('{k}', CAST({p[0]} AS DOUBLE), CAST({p[1]} AS DOUBLE))" for k, p in points.items())
+
+
+@query(
+    "region_centres",
+    f"""
+    WITH cities(city, lat, lng) AS (VALUES {_values(CITY_CENTRES)}), provinces(province, lat, lng) AS (VALUES {_values(PROVINCE_CENTRES)})
+    SELECT c.credit_code, coalesce(x.lat, p.lat) AS lat, coalesce(x.lng, p.lng) AS lng
+    FROM companies AS c LEFT JOIN cities AS x ON x.city = c.city LEFT JOIN provinces AS p ON p.province = c.province""",
+    ("companies",),
+)
+def region_centres(spark, sf_dir):
+    centre = region_centre(F.col("city"), F.col("province"))
+    return d.companies(spark, sf_dir).select("credit_code", centre.alias("p")).select("credit_code", "p.*")

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadlake.fixed_values import EARTH_RADIUS_M, METRES_PER_DEGREE
+from leadlake.fixed_values import (
+    CITY_CENTRES,
+    EARTH_RADIUS_M,
+    METRES_PER_DEGREE,
+    PROVINCE_CENTRES,
+    short_region,
+)
+from leadlake.functions.text import lookup
 
 
 def haversine_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
@@ -37,3 +44,19 @@ def jittered(code: Column, lng: Column, lat: Column, metres: float = 120.0) -> C
 def in_box(lng: Column, lat: Column, box) -> Column:
     """box = (min_lng, min_lat, max_lng, max_lat), edges included."""
     return lng.between(box[0], box[2]) & lat.between(box[1], box[3])
+
+
+def region_centre(city: Column, province: Column) -> Column:
+    """struct(lat, lng) of a known city (with or without '市'), else of the province."""
+    full = F.concat(F.replace(city, F.lit("市"), F.lit("")), F.lit("市"))
+    by_province = PROVINCE_CENTRES | {short_region(k): p for k, p in PROVINCE_CENTRES.items()}
+
+    def coordinate(i: int) -> Column:
+        cities = {k: str(p[i]) for k, p in CITY_CENTRES.items()}
+        provinces = {k: str(p[i]) for k, p in by_province.items()}
+        return F.coalesce(
+            lookup(cities, city, "double"), lookup(cities, full, "double"),
+            lookup(provinces, province, "double"),
+        )
+
+    return F.struct(coordinate(0).alias("lat"), coordinate(1).alias("lng"))

@@ -41,6 +41,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def new_files(spark: SparkSession, path: str, ledger: DataFrame) -> DataFrame:
+    """(file_key, path) of files not in the ledger of loaded ones.
+
+    The key is folder, name and size, so a changed file counts as new. The batch
+    counterpart of the file stream, for loads that keep their own ledger.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    parts = F.split("path", "/")
+    key = F.concat_ws("__", F.element_at(parts, -2), F.element_at(parts, -1), F.col("length").cast("string"))
+    return found.select(key.alias("file_key"), "path").join(ledger.select("file_key"), "file_key", "left_anti")
+
+
 def map_headers(df: DataFrame, mapping: Mapping[str, str], required: Iterable[str]) -> DataFrame:
     """Rename headed columns to fields. The first column of a field wins; a
     table without a required field is refused."""

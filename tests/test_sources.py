@@ -109,3 +109,15 @@ def test_resumed_stream_reads_every_file_once(spark, tmp_path):
     assert run() == {1: "b", 2: "again", 3: "d"}
     increments.compact(spark, out, str(tmp_path / "compact"), ["k"], "seq", ["v"], 2)
     assert increments.read_upserted(spark, str(tmp_path / "compact"), ["k"], "seq", ["v"]).count() == 3
+
+
+def test_only_new_files_are_listed(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("x", encoding="utf-8")
+    none = spark.createDataFrame([], "file_key string")
+    first = files.new_files(spark, str(tmp_path), none)
+    ledger = spark.createDataFrame([(r["file_key"],) for r in first.collect()], "file_key string")
+    assert ledger.count() == 2
+    (tmp_path / "a.csv").write_text("xy", encoding="utf-8")
+    left = files.new_files(spark, str(tmp_path), ledger).collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in left] == ["a.csv"]
