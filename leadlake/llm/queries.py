@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlake.llm import chat, exact_dedup, mixing, sharding
+from leadlake.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    minhash,
+    mixing,
+    sharding,
+    token_binary,
+    warc,
+)
 from leadlake.llm.common import table
 from leadlake.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -42,6 +53,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op3_exact_dedup", r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content
@@ -68,6 +84,70 @@ def op4_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_token_binary")
+def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.read_tokens(token_binary.write_tokens(table(spark, sf_dir, "documents")))
+
+
+@query("op6_warc", r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (
+  SELECT page_id, h, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS newest FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN newest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN newest <> page_id THEN newest END AS refers_to
+FROM g
+""")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = warc.read_chunks(warc.write_archives(table(spark, sf_dir, "pages")))
+    return chunks.filter("last").select(
+        "page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("sha1_so_far").alias("payload_digest"), "record_type", "refers_to",
+    )
+
+
+@query("op7_minhash", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)])
+                             WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(l.b, d.doc_id)) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id
+""")
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op8_line_dedup", r"""
+WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, ls, unnest(range(len(ls) - 2)) AS place FROM l WHERE len(ls) >= 3),
+r AS (
+  SELECT doc_id, place, row_number() OVER (
+    PARTITION BY ls[place + 1] || chr(10) || ls[place + 2] || chr(10) || ls[place + 3] ORDER BY doc_id, place) AS occurrence
+  FROM w),
+covered AS (SELECT DISTINCT doc_id, place + unnest([1, 2, 3]) AS number FROM r WHERE occurrence > 1),
+every_line AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS number, unnest(ls) AS line FROM l),
+kept AS (
+  SELECT e.doc_id, count(*) AS n_lines, count(c.number) AS n_removed,
+         coalesce(string_agg(CASE WHEN c.number IS NULL THEN line END, chr(10) ORDER BY e.number), '') AS kept
+  FROM every_line e LEFT JOIN covered c ON c.doc_id = e.doc_id AND c.number = e.number GROUP BY e.doc_id)
+SELECT k.doc_id, n_lines, n_removed, CASE WHEN n_removed = 0 THEN l.text ELSE kept END AS text
+FROM kept k JOIN l ON l.doc_id = k.doc_id
+""")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 PROBE = "\\### Assistant: </turn> ok"
 
 
@@ -105,3 +185,30 @@ def op9_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"), "valid",
     )
+
+
+@query("op10_decontaminate", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM benchmark),
+dp AS (SELECT doc_id, t, unnest(range(1, len(t) - 6)) AS p FROM d WHERE len(t) >= 8),
+bp AS (SELECT item_id, t, unnest(range(1, len(t) - 6)) AS p FROM b WHERE len(t) >= 8),
+dk AS (
+  SELECT doc_id, t, p, concat_ws(' ', 'a', t[p], t[p + 1], t[p + 2], t[p + 4], t[p + 6], t[p + 7]) AS k FROM dp
+  UNION ALL
+  SELECT doc_id, t, p, concat_ws(' ', 'b', t[p], t[p + 1], t[p + 3], t[p + 6], t[p + 7], t[p + 8]) FROM dp WHERE p + 8 <= len(t)),
+bk AS (
+  SELECT item_id, t, p, concat_ws(' ', 'a', t[p], t[p + 1], t[p + 2], t[p + 4], t[p + 6], t[p + 7]) AS k FROM bp
+  UNION ALL
+  SELECT item_id, t, p, concat_ws(' ', 'b', t[p], t[p + 1], t[p + 3], t[p + 6], t[p + 7], t[p + 8]) FROM bp WHERE p + 8 <= len(t)),
+hits AS (
+  SELECT doc_id, item_id, dk.t AS dt, bk.t AS bt, dk.p AS dp, bk.p AS ip, unnest(range(-5, 1)) AS begin FROM dk JOIN bk ON dk.k = bk.k),
+matched AS (
+  SELECT doc_id, item_id, least(11, len(bt)) AS needed,
+         len([1 FOR i IN range(begin, begin + 13)
+              IF ip + i >= 1 AND dp + i >= 1 AND ip + i <= len(bt) AND dp + i <= len(dt) AND bt[ip + i] = dt[dp + i]]) AS same
+  FROM hits)
+SELECT doc_id, item_id, max(same) AS equal_tokens FROM matched WHERE same >= needed GROUP BY doc_id, item_id
+""")
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "equal_tokens")
