@@ -43,10 +43,12 @@ def tokens(text: Column) -> Column:
 
 
 def seeded(rows: DataFrame) -> DataFrame:
-    """A row (key, at) for each mask at each position of the array ``tokens`` where the mask fits."""
-    begun = rows.filter(F.size("tokens") >= SHORTEST).select(
-        "*", F.explode(F.sequence(F.lit(0), F.size("tokens") - SHORTEST)).alias("at"),
-    )
+    """A row (key, at) for each mask at each position of the array ``tokens`` where the mask fits.
+
+    Callers go on with few columns: rows with the whole array each would grow with
+    the square of a text.
+    """
+    begun = rows.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("tokens") - SHORTEST, F.lit(0)))).alias("at"))
     keys = [
         F.when(
             F.col("at") + mask[-1] < F.size("tokens"),
@@ -63,12 +65,8 @@ def around(at: Column) -> Column:
 
 
 def most_equal() -> Column:
-    """The most equal tokens in one of the windows of ``tokens`` and ``item_tokens`` around a hit."""
-    same = [
-        F.coalesce((F.get("tokens", F.col("at") + i) == F.col("item_tokens")[i + FLANK]).cast("int"), F.lit(0))
-        for i in range(-FLANK, WINDOW)
-    ]
-    flags = F.array(*same)
+    """The most equal tokens in one of the windows of ``doc_tokens`` and ``item_tokens`` around a hit."""
+    flags = F.zip_with("doc_tokens", "item_tokens", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     return F.array_max(F.transform(
         F.sequence(F.lit(1), F.lit(FLANK + 1)),
         lambda start: F.aggregate(F.slice(flags, start, WINDOW), F.lit(0), lambda total, one: total + one),
@@ -100,13 +98,15 @@ def overlaps(
     known = small(seeds, broadcast_seeds)
     if known is seeds:
         hits = seeded(read).select("k1", "k2", "at", "key").join(seeds, "key")
-        hits = read.join(hits, ["k1", "k2"])
+        hits = read.dropDuplicates(["k1", "k2"]).join(hits, ["k1", "k2"])
     else:
         hits = seeded(read).join(known, "key")
     return (
-        hits.select("doc_id", "k1", "k2", "item_id", "needed", most_equal().alias("equal_tokens"))
-        .filter(F.col("equal_tokens") >= F.col("needed"))
-        .groupBy("doc_id", "k1", "k2", "item_id").agg(F.max("equal_tokens").cast("long").alias("equal_tokens"))
+        # The explode keeps Spark from moving the cut behind the join's output, where each hit would hold all tokens.
+        hits.select("doc_id", "k1", "k2", "item_id", "needed", "item_tokens", F.explode(F.array(around(F.col("at")))).alias("doc_tokens"))
+        .select("doc_id", "k1", "k2", "item_id", "needed", most_equal().alias("equal_tokens"))
+        .groupBy("doc_id", "k1", "k2", "item_id", "needed").agg(F.max("equal_tokens").cast("long").alias("equal_tokens"))
+        .filter(F.col("equal_tokens") >= F.col("needed")).drop("needed")
     )
 
 
