@@ -14,10 +14,17 @@ With 40 bands of 6 rows a pair of similarity 0.85 shares none with probability
 Links. Documents with equal shingle sets are one class; only classes are compared.
 In a bucket all classes are compared with the bucket's pivot on their full sets,
 and confirmed links are closed to components. Pairs inside a component need no
-test. Pivots leave their bucket; buckets that still hold several components go
-on with more pivots, until none is left. So every pair that shares a bucket is
-tested or already connected, without listing all pairs of a group, and nothing
-is capped.
+test, and pivots leave their bucket.
+
+Buckets that still hold several components go on. For their classes the shingles
+are counted that any other of them has: two classes of n and m shingles, of which
+s and t are shared with anyone, have at most min(s, t) in common. That rules pairs
+out without a look at them. If both classes of a pair had too many shingles of
+their own to be linked with a class of their own size, the pair itself would be
+ruled out; so one of them is *central*, and only central classes become pivots,
+those with the fewest shingles of their own first, more from round to round. So
+every pair that shares a bucket is tested, connected or ruled out by its bound,
+without listing all pairs of a group, and nothing is capped.
 
 Defined results: a null or blank text has the empty set and is linked with
 nothing; texts of fewer than five words have one shingle, the whole; rows that
@@ -34,7 +41,7 @@ from pyspark.sql import functions as F
 
 from leadlake.llm.common import column, folder, packed, small, stored
 from leadlake.llm.graph import components
-from leadlake.llm.shingles import WordHashes, mixed, shingle_set
+from leadlake.llm.shingles import mixed, shingle_set
 
 BANDS, ROWS = 40, 6
 #: Links: 100 * intersection >= PERCENT * union.
@@ -86,7 +93,7 @@ def _sketches(bands: int, rows: int):
         import pyarrow as pa
         import xxhash
 
-        hashes, met = WordHashes(), set()
+        met = set()
         for batch in batches:
             sizes, classes, keys = [], [], [None] * batch.num_rows
             waiting: list[tuple[int, np.ndarray]] = []
@@ -100,7 +107,7 @@ def _sketches(bands: int, rows: int):
 
             held = 0
             for at, text in enumerate(batch.column(3)):
-                own = shingle_set(text.as_py(), hashes)
+                own = shingle_set(text.as_py())
                 sizes.append(len(own))
                 classes.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 if len(own) and classes[-1] not in met:
@@ -136,10 +143,9 @@ def _full_sets(batches):
     """(cid, text) to (cid, shingles)."""
     import pyarrow as pa
 
-    hashes = WordHashes()
     for batch in batches:
-        sets = [shingle_set(text.as_py(), hashes).tobytes() for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["cid", "shingles"])
+        sets = [shingle_set(text.as_py()).view(np.int64) for text in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "shingles"])
 
 
 def _confirm(percent: int):
@@ -151,7 +157,7 @@ def _confirm(percent: int):
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (left, right))
+                x, y = left.values.to_numpy(), right.values.to_numpy()
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             mask = pa.array(keep, pa.bool_())
@@ -160,60 +166,93 @@ def _confirm(percent: int):
     return run
 
 
+def _admissible(percent: int) -> Column:
+    """Whether a and b, of n shingles each of which s are shared with anyone, can be linked."""
+    common = F.least("s_a", "s_b")
+    return 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
+
+
 class _Search:
     """The rounds of pivots over the classes of one table."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, path: str, percent: int):
         self.docs, self.classes, self.path, self.percent = docs, classes, path, percent
-        self.tested: DataFrame | None = None
-
-    def confirmed(self, pairs: DataFrame, turn: int) -> DataFrame:
-        """Links among pairs (a, b) of class ids, by their full sets; pairs tested before are left out."""
-        sizes = self.classes.select("cid", "n_shingles")
-        a, b = (sizes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}")) for x in "ab")
-        pairs = pairs.distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        alike = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
-        pairs = stored(pairs.join(a, "a").join(b, "b").filter(alike).select("a", "b"), f"{self.path}/pairs-{turn}")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        named = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        needed = stored(named.join(self.classes.select("cid", "first.k1", "first.k2"), "cid"), f"{self.path}/needed-{turn}")
+
+    def full_sets(self, cids: DataFrame) -> DataFrame:
+        """(cid, shingles) of classes, from the texts of their first rows."""
+        needed = stored(cids.join(self.classes.select("cid", "first.k1", "first.k2"), "cid"), f"{self.path}/needed")
         texts = self.docs.join(small(needed, BROADCAST_KEYS), ["k1", "k2"]).select("cid", "text")
-        sets = texts.mapInArrow(_full_sets, "cid long, shingles binary").dropDuplicates(["cid"])
-        sets = stored(sets, f"{self.path}/sets-{turn}")
+        return stored(texts.mapInArrow(_full_sets, "cid long, shingles array<long>").dropDuplicates(["cid"]), f"{self.path}/sets")
+
+    def confirmed(self, pairs: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+        """Links among stored pairs (a, b) of class ids, by their full sets."""
         left, right = (sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b")
         return stored(both.mapInArrow(_confirm(self.percent), "a long, b long"), f"{self.path}/links-{turn}")
 
+    def shared_shingles(self, live: DataFrame, sets: DataFrame) -> DataFrame:
+        """(cid, s): how many shingles of a class another class of ``live`` has as well."""
+        own = sets.join(live.select("cid").distinct(), "cid").select("cid", F.explode("shingles").alias("shingle"))
+        single = own.groupBy("shingle").agg(F.count("*").alias("classes"), F.min("cid").alias("cid")).filter("classes = 1")
+        alone = single.groupBy("cid").agg(F.count("*").alias("alone"))
+        sizes = self.classes.select("cid", "n_shingles").join(live.select("cid").distinct(), "cid")
+        return sizes.join(alone, "cid", "left").select("cid", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("s"))
+
     def labels(self) -> DataFrame:
         """(node, label) of all classes that are linked."""
+        percent = self.percent
         members = self.classes.select("cid", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-        shared = members.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).filter("pivot < last")
-        live = stored(members.join(shared.select("bucket", "pivot"), "bucket"), f"{self.path}/live-0")
-        links = self.confirmed(live.filter("cid > pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")), 0)
-        live, pivots, turn = live.filter("cid > pivot").select("bucket", "cid", "n"), FIRST_PIVOTS, 0
+        several = members.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).filter("pivot < last")
+        live = stored(members.join(several.select("bucket", "pivot"), "bucket"), f"{self.path}/live-0")
+        sets = self.full_sets(live.select("cid").distinct())
+
+        sizes = self.classes.select(F.col("cid").alias("a"), F.col("n_shingles").alias("n_a"))
+        pairs = live.filter("cid > pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"), "n").distinct()
+        alike = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
+        tested = stored(pairs.join(sizes, "a").filter(alike).select("a", "b"), f"{self.path}/pairs-0")
+        links = self.confirmed(tested, sets, 0)
+        found = stored(components(links, f"{self.path}/components-0"), f"{self.path}/labels-0")
+
+        live = self._labelled(live.filter("cid > pivot").select("bucket", "cid", "n"), found)
+        undecided = live.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+        live = stored(live.join(undecided.select("bucket"), "bucket", "left_semi"), f"{self.path}/undecided")
+        shared = stored(self.shared_shingles(live, sets), f"{self.path}/shared")
+        # ``percent`` times the most shingles that a partner can have.
+        reach = (100 + percent) * F.col("s") - percent * F.col("n")
+        live = live.join(shared, "cid").filter(100 * F.col("s") >= percent * F.col("n")).withColumn("reach", reach)
+        live = live.withColumn("central", F.col("reach") >= percent * F.col("n"))
+
+        turn, pivots = 0, FIRST_PIVOTS
         while True:
-            found = stored(components(links, f"{self.path}/components-{turn}"), f"{self.path}/labels-{turn}")
             turn, pivots = turn + 1, pivots * MORE_PIVOTS
-            labelled = live.join(found, live["cid"] == found["node"], "left").select(
-                "bucket", "cid", "n", F.coalesce("label", "cid").alias("label"),
-            )
-            mixed_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-            live = stored(labelled.join(mixed_.select("bucket"), "bucket", "left_semi"), f"{self.path}/live-{turn}")
+            central = F.col("central")
+            open_ = live.groupBy("bucket").agg(
+                F.min("label").alias("low"), F.max("label").alias("high"),
+                F.min(F.when(central, F.col("n"))).alias("least"), F.max(F.when(central, F.col("reach"))).alias("most"),
+            ).filter("low < high and least is not null")
+            # A class that isn't central needs a central one which its sizes allow.
+            live = live.join(open_.select("bucket", "least", "most"), "bucket").filter(f"central or ({percent} * n <= most and {percent} * least <= reach)")
+            live = stored(live.select("bucket", "cid", "n", "s", "reach", "central", "label"), f"{self.path}/live-{turn}")
             if live.isEmpty():
                 return found
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("cid"))
-            chosen = live.withColumn("rank", rank).filter(F.col("rank") <= pivots)
-            chosen = stored(
-                chosen.select("bucket", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a")), f"{self.path}/pivots-{turn}",
-            )
-            alike = 100 * F.least("n", "n_a") >= self.percent * F.greatest("n", "n_a")
-            pairs = chosen.join(live, "bucket").filter((F.col("cid") > F.col("a")) & (F.col("label") != F.col("l_a")) & alike)
-            more = self.confirmed(pairs.select("a", F.col("cid").alias("b")), turn)
-            stars = found.filter("node > label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-            links = stars.unionByName(more)
-            live = live.join(chosen.select("bucket", F.col("a").alias("cid")), ["bucket", "cid"], "left_anti").select("bucket", "cid", "n")
+            rank = F.row_number().over(Window.partitionBy("bucket").orderBy((F.col("n") - F.col("s")) / F.col("n"), "cid"))
+            chosen = live.filter("central").withColumn("rank", rank).filter(F.col("rank") <= pivots)
+            chosen = stored(chosen.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("cid", "n", "s", "label")]), f"{self.path}/pivots-{turn}")
+            against = live.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "s", "label")])
+            pairs = chosen.join(against, "bucket").filter((F.col("label_a") != F.col("label_b")) & _admissible(percent))
+            pairs = pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
+            pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), f"{self.path}/pairs-{turn}")
+            live = live.join(chosen.select("bucket", F.col("cid_a").alias("cid")), ["bucket", "cid"], "left_anti")
+            if not pairs.isEmpty():
+                tested = tested.unionByName(pairs)
+                stars = found.filter("node > label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+                links = stars.unionByName(self.confirmed(pairs, sets, turn))
+                found = stored(components(links, f"{self.path}/components-{turn}"), f"{self.path}/labels-{turn}")
+                live = self._labelled(live.drop("label"), found)
+
+    @staticmethod
+    def _labelled(live: DataFrame, found: DataFrame) -> DataFrame:
+        return live.join(found, live["cid"] == found["node"], "left").withColumn("label", F.coalesce("label", "cid")).drop("node")
 
 
 def near_groups(

@@ -5,8 +5,6 @@ from __future__ import annotations
 import numpy as np
 
 WIDTH = 5
-#: Distinct words whose hashes a task remembers before it starts again.
-REMEMBERED = 300_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -20,29 +18,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
-class WordHashes(dict):
-    """Hash of a word, remembered for the words of a task."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_set(text: bytes | None, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
+def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes of all runs of ``width`` words; with fewer words, one hash of the whole.
 
     A-Z are lower-cased; words are what ASCII white space separates. Without words
     the set is empty.
     """
+    from xxhash import xxh3_64_intdigest
+
     words = (text or b"").lower().split()
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n)
     span = min(n, width)
     out = np.full(n - span + 1, span, np.uint64)
     for i in range(span):
