@@ -1,17 +1,19 @@
 """Token ids in binary files: one id array, document boundaries in Elias-Fano code.
 
 Documents are range-partitioned by id. A task appends segments to one file: the
-ids of some documents as little-endian 32-bit integers, then the boundaries (the
-first id of each document and the end) and the document ids, both in Elias-Fano
-code. A segment is closed before it exceeds 32-bit places, so that its select
-structure needs no 64-bit table, and is what a reading task opens.
+ids of some documents as little-endian integers of 16 bits, or of 32 if the
+vocabulary needs them, then the boundaries (the first id of each document and the
+end) and the document ids, both in Elias-Fano code. A segment is closed before
+it exceeds 32-bit places, so that its select structure needs no 64-bit table, and
+is what a reading task opens.
 
-    segment = magic, counts (ids, documents, documents without id), code lengths,
-              ids, boundaries, document ids
+    segment = magic, counts (ids, documents, documents without id), bytes of an id,
+              code lengths, ids, boundaries, document ids
 
 A tokenizer here never joins what ASCII white space separates: its pieces are
-words, marks and digits. So the ids of a text are those of its words in a row,
-and a task encodes each word once as long as it remembers it.
+words, marks and digits. So the ids of a text are those of its words in a row. A
+worker remembers the ids of two generations of words; words that neither holds
+are encoded.
 
 Defined results: a null text is empty and has the end id alone; rows without id
 come first, then ascending ids; equal ids are ordered by the hash of their text;
@@ -33,11 +35,11 @@ from leadlake.llm.files import Writer, dealt, open_at, with_base
 END_ID = 2
 #: A segment is closed at so many bytes of ids or documents.
 SEGMENT_BYTES, SEGMENT_DOCS = 16 << 20, 1 << 16
-#: Words whose ids a task remembers.
-REMEMBERED = 300_000
+#: Words of one generation that a worker remembers.
+REMEMBERED = 400_000
 
 MAGIC = b"EFTOKENS"
-_HEAD = struct.Struct("<8sQQQQQ")
+_HEAD = struct.Struct("<8sQQQQQQ")
 WRITTEN = "part long, segment long, uri string, offset long, length long, n_docs long, n_ids long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -51,33 +53,49 @@ def bundled_tokenizer() -> str:
 class WordEncoder:
     """Ids of whole texts, as bytes, from the remembered ids of their words."""
 
+    _kept: dict[str, WordEncoder] = {}
+
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._ids = Tokenizer.from_file(path), {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        import numpy as np
-
-        split = [text.split() for text in texts]
-        out = []
-        for words in split:
-            new = list({w for w in words if w not in self._ids})
-            if new:
-                if len(self._ids) + len(new) > REMEMBERED:
-                    self._ids.clear()
-                    new = list(set(words))
-                coded = self._tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                self._ids.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded, strict=True))
-            out.append(b"".join(map(self._ids.__getitem__, words)))
-        return out
-
-
-def pack_segment(doc_ids: list[int | None], docs: list[bytes]) -> bytes:
-    """Documents in ascending order of id, those without id first."""
+        self._tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        """The encoder that this worker has used before, or a new one."""
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
+    def encode(self, text: bytes) -> bytes:
+        words = text.split()
+        new = set(words).difference(self._young)
+        if new:
+            if len(self._young) + len(new) > REMEMBERED:
+                self._old, self._young, new = self._young, {}, set(words)
+            young, old = self._young, self._old
+            unknown = []
+            for word in new:
+                if (ids := old.get(word)) is None:
+                    unknown.append(word)
+                else:
+                    young[word] = ids
+            if unknown:
+                coded = self._tokenizer.encode_batch_fast([w.decode() for w in unknown], add_special_tokens=False)
+                width = self.width
+                for word, code in zip(unknown, coded, strict=True):
+                    young[word] = b"".join([i.to_bytes(width, "little") for i in code.ids])
+        return b"".join(map(self._young.__getitem__, words))
+
+
+def pack_segment(doc_ids: list[int | None], docs: list[bytes], width: int) -> bytes:
+    """Documents in ascending order of id, those without id first; ``width``: bytes of a token id."""
     import numpy as np
 
     from leadlake.llm import elias_fano
@@ -85,9 +103,9 @@ def pack_segment(doc_ids: list[int | None], docs: list[bytes]) -> bytes:
     known = np.array([d for d in doc_ids if d is not None], np.int64)
     # Signed ids in the order of unsigned ones.
     shifted = known.view(np.uint64) ^ np.uint64(1 << 63)
-    bounds = np.concatenate([[0], np.cumsum([len(d) // 4 for d in docs])]).astype(np.uint64)
+    bounds = np.concatenate([[0], np.cumsum([len(d) // width for d in docs])]).astype(np.uint64)
     coded, ids = elias_fano.encode(bounds), elias_fano.encode(shifted)
-    head = _HEAD.pack(MAGIC, int(bounds[-1]), len(docs), len(docs) - len(known), len(coded), len(ids))
+    head = _HEAD.pack(MAGIC, int(bounds[-1]), len(docs), len(docs) - len(known), width, len(coded), len(ids))
     return head + b"".join(docs) + coded + ids
 
 
@@ -100,11 +118,11 @@ class Segment:
         from leadlake.llm.elias_fano import EliasFano
 
         view = memoryview(data)
-        magic, n_ids, self.n_docs, self.unnamed, coded, _ = _HEAD.unpack(view[: _HEAD.size])
+        magic, n_ids, self.n_docs, self.unnamed, width, coded, _ = _HEAD.unpack(view[: _HEAD.size])
         if magic != MAGIC:
             raise ValueError("not a segment of token ids")
-        at = _HEAD.size + 4 * n_ids
-        self.ids = view[_HEAD.size : at]
+        at = _HEAD.size + width * n_ids
+        self.ids = np.frombuffer(view[_HEAD.size : at], f"<u{width}")
         self.bounds = EliasFano(view[at : at + coded])
         self._named = EliasFano(view[at + coded :])
         self.flip = np.uint64(1 << 63)
@@ -115,7 +133,7 @@ class Segment:
         return [None] * self.unnamed + (self._named.all() ^ self.flip).view(np.int64).tolist()
 
     def document(self, i: int):
-        return self.ids[4 * self.bounds.select(i) : 4 * self.bounds.select(i + 1)]
+        return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
 def _write(target: str, tokenizer: str, end_id: int):
@@ -123,16 +141,16 @@ def _write(target: str, tokenizer: str, end_id: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, file, rows = WordEncoder(tokenizer), None, []
+        encoder, file, rows = WordEncoder.of(tokenizer), None, []
         part, ids, docs, held = TaskContext.get().partitionId(), [], [], 0
-        end = struct.pack("<I", end_id)
+        end = end_id.to_bytes(encoder.width, "little")
 
         def close():
             nonlocal file, held
             if docs:
                 file = file or Writer(target, ".tokens")
-                data = pack_segment(ids, docs)
-                rows.append((part, len(rows), file.uri, file.at, len(data), len(docs), sum(map(len, docs)) // 4))
+                data = pack_segment(ids, docs, encoder.width)
+                rows.append((part, len(rows), file.uri, file.at, len(data), len(docs), sum(map(len, docs)) // encoder.width))
                 file.write(data)
                 ids.clear()
                 docs.clear()
@@ -140,7 +158,7 @@ def _write(target: str, tokenizer: str, end_id: int):
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                coded = encoder.encode([text.as_py() or b""])[0] + end
+                coded = encoder.encode(text.as_py() or b"") + end
                 if docs and (held + len(coded) > SEGMENT_BYTES or len(docs) >= SEGMENT_DOCS):
                     close()
                 ids.append(doc_id)
@@ -165,7 +183,8 @@ def _read(batches):
             with open_at(row["uri"], row["offset"]) as file:
                 segment = Segment(file.read(row["length"]))
             bounds = segment.bounds.all().tolist()
-            crc = [zlib.crc32(segment.ids[4 * a : 4 * b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+            wide = segment.ids.astype("<u4")
+            crc = [zlib.crc32(wide[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(segment.doc_ids(), pa.int64()), pa.array([row["base"] + a for a in bounds[:-1]], pa.int64()),
                  pa.array([b - a for a, b in zip(bounds, bounds[1:], strict=False)], pa.int64()), pa.array(crc, pa.int64())],
