@@ -7,6 +7,8 @@ exact operations are used, so that another engine can repeat the derivation.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def built_once(build):
+    """Build a derived table once per session and folder; later calls share the plan."""
+    made: dict[tuple[str, str], DataFrame] = {}
+
+    @wraps(build)
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in made:
+            made[key] = build(spark, sf_dir)
+        return made[key]
+
+    return get
+
+
 def pick(words, index: Column) -> Column:
     """Word number ``index`` (from 0) of a fixed list; a missing word is NULL."""
     word = F.element_at(word_array(["" if w is None else w for w in words]), (index + 1).cast("int"))
@@ -110,6 +126,7 @@ def contact_value(kind: Column, n: Column) -> Column:
     )
 
 
+@built_once
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     kind = contact_type(o, c)
@@ -122,6 +139,7 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@built_once
 def _order_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     kind = contact_type(o, c)
@@ -136,6 +154,7 @@ def _order_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@built_once
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     nations = table(spark, sf_dir, "nation").join(
@@ -182,6 +201,7 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@built_once
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     one, two = pick(v.CHAINS, k % 10), pick(v.CHAINS, F.floor(k / 10) % 10)
@@ -200,6 +220,7 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@built_once
 def qualifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One certificate per company, year of shipment and return flag."""
     lines = table(spark, sf_dir, "lineitem").join(
@@ -219,6 +240,7 @@ def qualifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@built_once
 def contact_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = {
         "view": "contacted", "click": "interested", "purchase": "blocked", "signup": "rejected",
@@ -232,12 +254,14 @@ def contact_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@built_once
 def contact_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leadlake.operators.upsert import latest_status
 
     return latest_status(contact_status_changes(spark, sf_dir), ("updated_at", "event_id"))
 
 
+@built_once
 def territory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of three users: by province, by city, by province and street."""
     n = F.col("n_nationkey")
@@ -248,6 +272,7 @@ def territory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@built_once
 def divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four levels below every nation, as the division tree spells them."""
     n = F.col("n_nationkey")
@@ -285,6 +310,7 @@ def divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return low.unionByName(cities).unionByName(provinces)
 
 
+@built_once
 def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw registry rows: one per order, so companies appear in many files."""
     o, k, n = F.col("o_orderkey"), F.col("c_custkey"), F.col("c_nationkey")
@@ -320,6 +346,7 @@ def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@built_once
 def chain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw industry-chain rows: one per line item, tagged by part and quantity."""
     lines = spread(table(spark, sf_dir, "lineitem")).join(

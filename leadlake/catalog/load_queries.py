@@ -402,12 +402,13 @@ def contact_add(spark, sf_dir):
 @query(
     "contact_add_rejects",
     """
-    SELECT CASE event_type WHEN 'purchase' THEN 'unknown type' ELSE 'not a phone number' END AS reject_reason, count(*) AS n
-    FROM events WHERE event_type IN ('purchase', 'error') GROUP BY event_type""",
+    SELECT CASE event_type WHEN 'purchase' THEN 'unknown type' WHEN 'error' THEN 'not a phone number' ELSE 'unknown company' END AS reject_reason, count(*) AS n
+    FROM events WHERE event_type IN ('purchase', 'error') OR user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY 1""",
 )
 def contact_add_rejects(spark, sf_dir):
-    checked = upsert.checked_contacts(contact_changes(spark, sf_dir))
-    rejected = checked.filter(F.col("reject_reason").isNotNull())
+    _, _, rejected = upsert.add_contacts(
+        companies(spark, sf_dir), contacts(spark, sf_dir), contact_changes(spark, sf_dir), ["event_id"],
+    )
     return rejected.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -440,6 +441,24 @@ def status_latest(spark, sf_dir):
     return latest.select("credit_code", "user_id", "status", "note")
 
 
+@query(
+    "status_rejects",
+    "SELECT 'unknown state' AS reject_reason, event_id FROM events WHERE event_type = 'error'",
+)
+def status_rejects(spark, sf_dir):
+    checked = upsert.checked_status(contact_status_changes(spark, sf_dir))
+    return checked.filter(F.col("reject_reason").isNotNull()).select("reject_reason", "event_id")
+
+
+@query(
+    "edit_rejects",
+    "SELECT 'field not editable' AS reject_reason, event_id FROM events WHERE event_type = 'error'",
+)
+def edit_rejects(spark, sf_dir):
+    checked = upsert.checked_edits(company_edits(spark, sf_dir))
+    return checked.filter(F.col("reject_reason").isNotNull()).select("reject_reason", "event_id")
+
+
 @query(
     "territory_rules",
     f"""
@@ -463,8 +482,9 @@ def territory_rules(spark, sf_dir):
     WITH touched AS (SELECT DISTINCT credit_code FROM chain_rows),
     old AS (SELECT t.* FROM tags AS t JOIN touched USING (credit_code)),
     vals AS (
-        SELECT credit_code, 'i' AS kind, trim(x) AS value, 0 AS inc, '' AS f, 0 AS r, 0 AS p
-        FROM (SELECT credit_code, unnest(string_split(array_to_string(chain_industries, ' | '), ' | ')) AS x FROM old) AS u
+        SELECT credit_code, 'i' AS kind, trim(x) AS value, 0 AS inc, '' AS f, 0 AS r, p
+        FROM (SELECT credit_code, unnest(xs) AS x, unnest(range(len(xs))) AS p
+              FROM (SELECT credit_code, string_split(array_to_string(chain_industries, ' | '), ' | ') AS xs FROM old) AS o) AS u
         UNION ALL SELECT credit_code, 'i', l1, 1, src_file, row_no, 0 FROM chain_rows
         UNION ALL SELECT credit_code, 'n', chain_nodes[1], 0, '', 0, 0 FROM old
         UNION ALL SELECT credit_code, 'n', l1 || ' / ' || l2 || coalesce(' / ' || l3, '') ||
@@ -478,9 +498,9 @@ def territory_rules(spark, sf_dir):
             (VALUES ('上游', 0), ('中游', 1), ('下游', 2)) AS ws(w, p) WHERE contains(t, w)),
     firsts AS (SELECT *, row_number() OVER (PARTITION BY credit_code, kind, value ORDER BY inc, f, r, p) AS rn FROM vals),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY credit_code, kind ORDER BY inc, f, r, p) AS pos FROM firsts WHERE rn = 1),
-    lists AS (SELECT credit_code, count(*) FILTER (WHERE kind = 'i') AS industries,
-                     string_agg(value, '|' ORDER BY pos) FILTER (WHERE kind = 'n' AND pos <= 60) AS chain_nodes,
-                     string_agg(value, '|' ORDER BY pos) FILTER (WHERE kind = 'h' AND pos <= 40) AS honors,
+    lists AS (SELECT credit_code, string_agg(value, '|' ORDER BY pos) FILTER (WHERE kind = 'i') AS industries,
+                     string_agg(value, '|' ORDER BY pos) FILTER (WHERE kind = 'n') AS chain_nodes,
+                     string_agg(value, '|' ORDER BY pos) FILTER (WHERE kind = 'h') AS honors,
                      string_agg(value, '、' ORDER BY pos) FILTER (WHERE kind = 'p') AS chain_positions FROM ranked GROUP BY credit_code),
     rels AS (SELECT credit_code, max(CASE relatedness WHEN '强' THEN 3 WHEN '较强' THEN 2 WHEN '中' THEN 1 ELSE 0 END) AS rk
              FROM (SELECT credit_code, relatedness FROM old UNION ALL SELECT credit_code, relatedness FROM chain_rows) AS z GROUP BY credit_code),
@@ -488,7 +508,7 @@ def territory_rules(spark, sf_dir):
              FROM (SELECT credit_code, financing_raw AS financing, '0' AS inc, '' AS f, 0 AS r FROM old
                    UNION ALL SELECT credit_code, financing, '1', src_file, row_no FROM chain_rows WHERE financing IS NOT NULL) AS z GROUP BY credit_code)
     SELECT coalesce(t.credit_code, l.credit_code) AS credit_code,
-           CASE WHEN l.credit_code IS NULL THEN len(t.chain_industries) ELSE l.industries END AS industries,
+           CASE WHEN l.credit_code IS NULL THEN array_to_string(t.chain_industries, '|') ELSE l.industries END AS industries,
            CASE WHEN l.credit_code IS NULL THEN array_to_string(t.chain_nodes, '|') ELSE l.chain_nodes END AS chain_nodes,
            CASE WHEN l.credit_code IS NULL THEN array_to_string(t.honors, '|') ELSE l.honors END AS honors,
            CASE WHEN l.credit_code IS NULL THEN t.chain_positions ELSE l.chain_positions END AS chain_positions,
@@ -503,7 +523,7 @@ def chain_tag_merge(spark, sf_dir):
     rows = load.chain_tag_rows(chain_rows(spark, sf_dir))
     merged = load.merge_tags(tags(spark, sf_dir), rows, ARRIVAL)
     return merged.select(
-        "credit_code", F.size("chain_industries").alias("industries"), "chain_nodes", "honors",
+        "credit_code", F.col("chain_industries").alias("industries"), "chain_nodes", "honors",
         "chain_positions", "relatedness", "tag_finance", "lead_score",
     )
 

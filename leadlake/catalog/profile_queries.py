@@ -8,9 +8,10 @@ from leadlake.catalog import domain as d
 from leadlake.catalog import vocabulary as v
 from leadlake.catalog.domain_sql import code, cvalue, pick
 from leadlake.catalog.entry import query
+from leadlake.functions.tokens import WORD
 from leadlake.operators import profile, setops
 from leadlake.operators.ranking import exact_percentiles
-from leadlake.operators.search_index import build_postings, match_all, match_any, write_postings
+from leadlake.operators.search_index import best_any, build_postings, match_all, write_postings
 from leadlake.session import work_dir
 from leadlake.sources.files import spread
 from leadlake.streaming import increments
@@ -293,9 +294,11 @@ def distinct_regions(spark, sf_dir):
 
 # --- keyword postings --------------------------------------------------------------
 
-WORDS_CTE = """
-    words AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ws FROM documents),
-    queries AS (SELECT page_id AS query_id, list_distinct(regexp_extract_all(lower(substr(url, 8, 20)), '[a-z0-9]+')) AS ws FROM pages)"""
+WORDS_CTE = rf"""
+    words AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{WORD}')) AS ws FROM documents),
+    idx AS (SELECT doc_id, unnest(ws) AS token FROM words)"""
+#: Rows that a query of any words shows.
+BEST = 20
 
 
 def stored_postings(spark, sf_dir):
@@ -306,17 +309,11 @@ def stored_postings(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-def page_queries(spark, sf_dir):
-    return d.table(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("query_id"), F.substring("url", 8, 20).alias("query")
-    )
-
-
 @query(
     "postings",
     f"""
     WITH {WORDS_CTE}
-    SELECT token, count(*) AS n FROM (SELECT unnest(ws) AS token FROM words) AS x GROUP BY token""",
+    SELECT token, count(*) AS n FROM idx GROUP BY token""",
 )
 def postings(spark, sf_dir):
     index = build_postings(spread(d.table(spark, sf_dir, "documents")), "doc_id", "text")
@@ -325,29 +322,30 @@ def postings(spark, sf_dir):
 
 @query(
     "token_any",
-    f"""
+    rf"""
     WITH {WORDS_CTE},
-    terms AS (SELECT query_id, unnest(ws) AS token FROM queries), idx AS (SELECT doc_id, unnest(ws) AS token FROM words)
-    SELECT query_id, doc_id, count(*) AS hits FROM terms JOIN idx USING (token) GROUP BY query_id, doc_id""",
+    terms AS (SELECT page_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(url), '{WORD}'))) AS token FROM pages),
+    hits AS (SELECT query_id, doc_id, count(*) AS hits FROM terms JOIN idx USING (token) GROUP BY query_id, doc_id)
+    SELECT query_id, doc_id, hits FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rn FROM hits) AS x WHERE rn <= {BEST}""",
 )
 def token_any(spark, sf_dir):
-    return match_any(stored_postings(spark, sf_dir), page_queries(spark, sf_dir), "doc_id")
+    """The documents with the most words of a page's address."""
+    queries = d.table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.col("url").alias("query"))
+    return best_any(stored_postings(spark, sf_dir), queries, "doc_id", BEST)
 
 
 @query(
     "token_all",
-    """
-    WITH words AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ws FROM documents),
-    queries AS (SELECT l.doc_id AS query_id, list_distinct(regexp_extract_all(lower(substr(d.text, 1, 12)), '[a-z0-9]+')) AS ws FROM labels AS l JOIN documents AS d ON l.doc_id = d.doc_id),
-    terms AS (SELECT query_id, len(ws) AS wanted, unnest(ws) AS token FROM queries), idx AS (SELECT doc_id, unnest(ws) AS token FROM words)
+    rf"""
+    WITH {WORDS_CTE},
+    queries AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '{WORD}')) AS ws FROM benchmark),
+    terms AS (SELECT query_id, len(ws) AS wanted, unnest(ws) AS token FROM queries)
     SELECT query_id, doc_id FROM (SELECT query_id, doc_id, wanted, count(*) AS hits FROM terms JOIN idx USING (token) GROUP BY ALL) AS x WHERE hits = wanted""",
 )
 def token_all(spark, sf_dir):
-    """Which documents contain all words that a labelled document starts with."""
-    docs = d.table(spark, sf_dir, "documents")
-    queries = d.table(spark, sf_dir, "labels").join(docs, "doc_id").select(
-        F.col("doc_id").alias("query_id"), F.substring("text", 1, 12).alias("query")
-    )
+    """Which documents contain all words of a benchmark item."""
+    queries = d.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return match_all(stored_postings(spark, sf_dir), queries, "doc_id")
 
 

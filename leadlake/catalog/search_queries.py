@@ -108,13 +108,13 @@ def search_multi_or(spark, sf_dir):
     "search_or_exists",
     """
     SELECT c.credit_code, c.legal_person, c.scope FROM companies AS c
-    WHERE contains(c.company_name, 'user1@mail1.com') OR EXISTS (
-          SELECT 1 FROM contacts AS t WHERE t.credit_code = c.credit_code AND t.contact_type = 'email' AND lower(t.contact_value) = 'user1@mail1.com')""",
+    WHERE contains(c.company_name, 'user1009@mail9.com') OR EXISTS (
+          SELECT 1 FROM contacts AS t WHERE t.credit_code = c.credit_code AND t.contact_type = 'email' AND lower(t.contact_value) = 'user1009@mail9.com')""",
     ("companies", "contacts"),
 )
 def search_or_exists(spark, sf_dir):
     tables = Tables(d.companies(spark, sf_dir), d.contacts(spark, sf_dir))
-    found = pred.select_companies(tables, CompanyFilter(status=""), "User1@Mail1.com", "company,email")
+    found = pred.select_companies(tables, CompanyFilter(status=""), "User1009@Mail9.com", "company,email")
     return found.select("credit_code", "legal_person", "scope")
 
 
@@ -268,9 +268,9 @@ def chain_facet(spark, sf_dir):
 @query(
     "region_cascade",
     """
-    SELECT 'city' AS level, * FROM (SELECT city AS k, count(*) AS n FROM companies WHERE province = '浙江省' GROUP BY city ORDER BY n DESC, k LIMIT 100) AS a
-    UNION ALL SELECT 'core', * FROM (SELECT city AS k, count(*) AS n FROM companies WHERE province IN ('江苏省', '浙江省', '上海市', '安徽省') GROUP BY city ORDER BY n DESC, k LIMIT 80) AS b
-    UNION ALL SELECT 'district', * FROM (SELECT district AS k, count(*) AS n FROM companies WHERE province = '浙江省' AND city = '杭州市' GROUP BY district ORDER BY n DESC, k LIMIT 100) AS c""",
+    SELECT 'city' AS level, * FROM (SELECT city AS k, count(*) AS n FROM companies WHERE province = '浙江省' GROUP BY city) AS a
+    UNION ALL SELECT 'core', * FROM (SELECT city AS k, count(*) AS n FROM companies WHERE province IN ('江苏省', '浙江省', '上海市', '安徽省') GROUP BY city) AS b
+    UNION ALL SELECT 'district', * FROM (SELECT district AS k, count(*) AS n FROM companies WHERE province = '浙江省' AND city = '杭州市' GROUP BY district) AS c""",
     ("companies",),
 )
 def region_cascade(spark, sf_dir):
@@ -433,10 +433,10 @@ def contact_pivot_parts(spark, sf_dir):
     "export_wide",
     f"""
     WITH {PIVOT},
-    best AS (SELECT * FROM companies WHERE status = '存续' ORDER BY has_mobile DESC, capital_wan DESC NULLS LAST, credit_code LIMIT 50000)
+    best AS (SELECT * FROM companies WHERE status = '存续')
     SELECT b.credit_code AS "统一社会信用代码", company_name AS "企业名称", coalesce(CAST(capital_wan AS VARCHAR), '') AS "注册资本(万元)",
            CAST(established AS VARCHAR) AS "成立日期", coalesce(street, '') AS "街道", coalesce(mobiles, '') AS "手机", coalesce(landlines, '') AS "座机",
-           coalesce(emails, '') AS "邮箱", CAST(has_mobile AS VARCHAR) AS "有手机", '' AS "实缴资本(万元)"
+           coalesce(emails, '') AS "邮箱", CAST(has_mobile AS VARCHAR) AS "有手机", '' AS "实缴资本(万元)", '1' AS "续行"
     FROM best AS b LEFT JOIN pivoted AS p ON b.credit_code = p.credit_code""",
     ("companies", "contacts"),
 )
@@ -445,7 +445,7 @@ def export_wide(spark, sf_dir):
     labelled = export_table(rows)
     return labelled.select(
         "统一社会信用代码", "企业名称", "`注册资本(万元)`", "成立日期", "街道", "手机", "座机", "邮箱", "有手机",
-        "`实缴资本(万元)`",
+        "`实缴资本(万元)`", "续行",
     )
 
 

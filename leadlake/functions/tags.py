@@ -16,10 +16,6 @@ from leadlake.fixed_values import (
 )
 from leadlake.functions.text import any_word, clean, empty_strings, is_empty, lookup, strip
 
-HONOR_LIMIT = 40
-NODE_LIMIT = 60
-INDUSTRY_LIMIT = 40
-
 
 def text_list(c: Column) -> Column:
     """Array of a JSON list, of 'A | B' text or of a single value."""
@@ -40,9 +36,10 @@ def unpack(items: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda p: p.isNotNull() & (p != ""))
 
 
-def distinct_values(items: Column, limit: int) -> Column:
-    """First ``limit`` different values, in order of appearance."""
-    return F.slice(F.array_distinct(items), 1, limit)
+def distinct_values(items: Column, limit: int | None = None) -> Column:
+    """Different values in order of appearance, all or the first ``limit`` for display."""
+    values = F.array_distinct(items)
+    return values if limit is None else F.slice(values, 1, limit)
 
 
 def honors(raw: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Keyword tokens: single Han characters, Han bigrams, and lower-case words.
+"""Keyword tokens: single Han characters, Han bigrams, and lower-case words of any other script.
 
 The store behind the published queries does not specify its tokeniser; this
 one is documented here and the search operators are defined by it.
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from leadlake.fixed_values import HAN
 
-WORD = r"[a-z0-9]+"
+#: Letters and digits of all scripts but Han, which is cut into characters.
+WORD = r"(?:[^\P{L}\x{4e00}-\x{9fff}]|\p{N})+"
 HAN_RUN = rf"{HAN}+"
 
 

@@ -107,8 +107,8 @@ def chain_facet(tags: DataFrame, n: int = 80) -> DataFrame:
     return totals.orderBy(F.desc("n"), "k").limit(n)
 
 
-def region_counts(companies: DataFrame, level: str, within: dict[str, str], n: int = 100) -> DataFrame:
-    """Companies per region of one level inside the given upper regions."""
+def region_counts(companies: DataFrame, level: str, within: dict[str, str], n: int | None = None) -> DataFrame:
+    """Companies per region of one level inside the given upper regions, all or the first n."""
     chosen = companies
     for column, name in within.items():
         chosen = chosen.filter(F.col(column) == name)

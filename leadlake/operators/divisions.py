@@ -341,9 +341,9 @@ def admin_centres(requests: DataFrame, divisions: DataFrame) -> DataFrame:
     )
 
 
-def streets_with_counts(companies: DataFrame, divisions: DataFrame, n: int = 300) -> DataFrame:
+def streets_with_counts(companies: DataFrame, divisions: DataFrame, n: int | None = None) -> DataFrame:
     """(province, city, district, k, n): official streets of every district with
-    their company counts, up to n per district; districts without an official
+    their company counts, all or n per district; districts without an official
     list show the streets seen in the data instead."""
     places = ["province", "city", "district"]
     usable = companies.filter(filled("street") & filled("district"))
@@ -356,12 +356,13 @@ def streets_with_counts(companies: DataFrame, divisions: DataFrame, n: int = 300
     ).distinct()
     official = keyed.join(listed, ["city_key", "district"]).select(*places, "k")
     with_counts = official.join(counts, [*places, "k"], "left").fillna(0, subset=["n"])
-    with_counts = top_per_key(with_counts, places, [F.asc("k")], n)
     unlisted = clean_street_names(companies.filter(filled("district"))).join(
         official.select(*places).distinct(), places, "left_anti"
     )
     seen = unlisted.groupBy(*places, F.col("street").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    seen = top_per_key(seen, places, [F.desc("n"), F.asc("k")], 200)
+    if n is not None:
+        with_counts = top_per_key(with_counts, places, [F.asc("k")], n)
+        seen = top_per_key(seen, places, [F.desc("n"), F.asc("k")], n)
     return with_counts.select(*places, "k", "n").unionByName(seen.select(*places, "k", "n"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.functions import tokens
+from leadlake.operators.ranking import top_per_key
 
 
 def build_postings(df: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -44,9 +45,8 @@ def match_all(postings: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     then looked up by (token, row). Common words never meet all their rows.
     """
     terms = _terms(queries)
-    sizes = postings.join(terms.select("token").distinct(), "token", "left_semi").groupBy("token").agg(
-        F.count(F.lit(1)).alias("__rows")
-    )
+    postings = postings.join(terms.select("token").distinct(), "token", "left_semi")
+    sizes = postings.groupBy("token").agg(F.count(F.lit(1)).alias("__rows"))
     sized = terms.join(sizes, "token", "left").fillna(0, subset=["__rows"])
     rarest = sized.groupBy("query_id", "wanted").agg(
         F.min(F.struct("__rows", "token"))["token"].alias("token")
@@ -63,7 +63,13 @@ def match_all(postings: DataFrame, queries: DataFrame, key: str) -> DataFrame:
 def match_any(postings: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     """(query_id, key, hits) where the row has at least one token of the query.
 
-    Every such pair is a result row. Hits are counted before the shuffle.
+    Every such pair is a result row, so a token that is everywhere pairs all its
+    rows with all its queries: for few queries, or through ``best_any``.
     """
     matched = postings.join(_terms(queries), "token")
     return matched.groupBy("query_id", key).agg(F.count(F.lit(1)).alias("hits"))
+
+
+def best_any(postings: DataFrame, queries: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` rows of each query with the most of its tokens, then by key."""
+    return top_per_key(match_any(postings, queries, key), ["query_id"], [F.desc("hits"), F.asc(key)], n)

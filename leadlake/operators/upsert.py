@@ -31,6 +31,8 @@ EDITABLE = (
 FLAG_COLUMNS = (
     "has_mobile", "has_landline", "has_email", "has_contact", "mobile_count", "email_count",
 )
+#: Characters that an edited value or a note may have, and the business scope; longer ones are rejected.
+LONGEST_VALUE, LONGEST_SCOPE = 500, 2000
 
 
 def upsert_rows(target: DataFrame, source: DataFrame, keys=(CODE,), seq=SEQ, arrival=()) -> DataFrame:
@@ -130,15 +132,23 @@ def refresh_flags(companies: DataFrame, contacts: DataFrame, touched: DataFrame
     return patch_columns(companies, flags.join(current, CODE), FLAG_COLUMNS)
 
 
+def checked_edits(edits: DataFrame, longest: int = LONGEST_VALUE, longest_scope: int = LONGEST_SCOPE) -> DataFrame:
+    """Edits with trimmed values; ``reject_reason`` is NULL for good ones. No value is cut."""
+    value = strip(F.col("value"))
+    most = F.when(F.col("field") == "scope", longest_scope).otherwise(longest)
+    reason = F.when(~F.coalesce(F.col("field").isin(*EDITABLE), F.lit(False)), "field not editable").when(
+        F.length(value) > most, "value too long"
+    )
+    return edits.withColumns({"value": value, "reject_reason": reason})
+
+
 def edit_companies(companies: DataFrame, edits: DataFrame, arrival: Sequence[str]) -> DataFrame:
-    """Apply rows (credit_code, field, value): allowed fields only, trimmed and cut.
+    """Apply the good ones of rows (credit_code, field, value), trimmed.
 
     The last edit of a field wins; each edited company gains one score point.
     """
-    allowed = edits.filter(F.col("field").isin(*EDITABLE))
-    limit = F.when(F.col("field") == "scope", 2000).otherwise(500)
-    value = F.substring(strip(F.col("value")), F.lit(1), limit)
-    last = keep_last(allowed, [CODE, "field"], arrival).withColumn("value", value)
+    good = checked_edits(edits).filter(F.col("reject_reason").isNull())
+    last = keep_last(good, [CODE, "field"], arrival)
     wide = last.groupBy(CODE).agg(
         F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("__edits")
     )
@@ -181,12 +191,14 @@ def checked_contacts(changes: DataFrame) -> DataFrame:
 
 def add_contacts(companies: DataFrame, contacts: DataFrame, changes: DataFrame, arrival):
     """Manual additions: (contacts, companies with new flags, rejected changes)."""
-    checked = checked_contacts(changes)
-    good = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    known = good.join(companies.select(CODE, F.substring("company_name", 1, 300).alias("company_name")), CODE)
+    names = companies.select(CODE, "company_name", F.lit(True).alias("__known"))
+    found = checked_contacts(changes).join(names, CODE, "left")
+    reason = F.coalesce("reject_reason", F.when(F.col("__known").isNull(), "unknown company"))
+    checked = found.withColumn("reject_reason", reason).drop("__known")
+    known = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     merged = append_contacts(contacts, known.withColumn("source", F.lit("manual")), arrival)
     flagged = refresh_flags(companies, merged, known)
-    return merged, flagged, checked.filter(F.col("reject_reason").isNotNull())
+    return merged, flagged, checked.filter(F.col("reject_reason").isNotNull()).drop("company_name")
 
 
 def delete_contacts(companies: DataFrame, contacts: DataFrame, deletions: DataFrame):
@@ -200,10 +212,18 @@ def delete_contacts(companies: DataFrame, contacts: DataFrame, deletions: DataFr
     return kept, refresh_flags(companies, kept, keys)
 
 
+def checked_status(changes: DataFrame, longest: int = LONGEST_VALUE) -> DataFrame:
+    """State changes with ``reject_reason``, NULL for good ones. No note is cut."""
+    note = F.coalesce(F.col("note"), F.lit(""))
+    reason = F.when(~F.coalesce(F.col("status").isin(*CONTACT_STATES), F.lit(False)), "unknown state").when(
+        F.length(note) > longest, "note too long"
+    )
+    return changes.withColumns({"note": note, "reject_reason": reason})
+
+
 def latest_status(changes: DataFrame, arrival=("updated_at",)) -> DataFrame:
-    """Current state per (company, user); unknown states are dropped."""
-    valid = changes.filter(F.col("status").isin(*CONTACT_STATES))
-    valid = valid.withColumn("note", F.substring(F.coalesce(F.col("note"), F.lit("")), 1, 500))
+    """Current state per (company, user) of the changes that ``checked_status`` finds good."""
+    valid = checked_status(changes).filter(F.col("reject_reason").isNull()).drop("reject_reason")
     return keep_last(valid, [CODE, "user_id"], arrival)
 
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.fixed_values import HIGH_TECH_HONOR, HIGH_TECH_TYPE, POSITIONS
+from leadlake.fixed_values import HIGH_TECH_HONOR, HIGH_TECH_TYPE
 from leadlake.functions import contacts as ct
 from leadlake.functions import dates, identity, region, tags
 from leadlake.functions.capital import capital_currency, capital_wan
@@ -376,10 +376,7 @@ def merge_tags(existing: DataFrame, rows: DataFrame, arrival: list[str]) -> Data
             turn,
         ),
         CODE,
-        {
-            "industries": tags.INDUSTRY_LIMIT, "nodes": tags.NODE_LIMIT,
-            "new_honors": tags.HONOR_LIMIT, "positions": len(POSITIONS),
-        },
+        ("industries", "nodes", "new_honors", "positions"),
     )
     rank = tags.relatedness_rank(F.col("relatedness"))
     incoming_name = F.when(
@@ -422,7 +419,7 @@ def add_honor(existing: DataFrame, certified: DataFrame, honor: str = HIGH_TECH_
     touched = F.col("__certified").isNotNull()
     new = {
         "company_name": F.coalesce(F.when(F.col("company_name") != "", F.col("company_name")), "certified_name"),
-        "honors": tags.distinct_values(honors, tags.HONOR_LIMIT),
+        "honors": tags.distinct_values(honors),
     }
     return joined.select(
         *[F.when(touched, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in existing.columns]

@@ -68,7 +68,7 @@ def search(
         cards.append(F.substring("scope", 1, 200).alias("scope_preview"))
     items = page(found, order, number, size).select(*cards)
     if tables.contacts is not None:
-        items = agg.contact_preview(items.persist(), tables.contacts)
+        items = agg.contact_preview(items, tables.contacts)
     return {"items": items, "total": found.agg(F.count(F.lit(1)).alias("total"))}
 
 
@@ -88,16 +88,16 @@ def facets(tables: Tables) -> dict[str, DataFrame]:
     }
 
 
-def cities(tables: Tables, province: str = "") -> DataFrame:
+def cities(tables: Tables, province: str = "", limit: int | None = None) -> DataFrame:
     """Cities of a province; without one, those of the four core provinces."""
     if province:
-        return agg.region_counts(tables.companies, "city", {"province": province}, 100)
+        return agg.region_counts(tables.companies, "city", {"province": province}, limit)
     core = F.col("province").isin(*CORE_PROVINCES)
-    return agg.value_counts(tables.companies.filter(core), "city", 80)
+    return agg.value_counts(tables.companies.filter(core), "city", limit)
 
 
-def districts(tables: Tables, province: str, city: str) -> DataFrame:
-    return agg.region_counts(tables.companies, "district", {"province": province, "city": city}, 100)
+def districts(tables: Tables, province: str, city: str, limit: int | None = None) -> DataFrame:
+    return agg.region_counts(tables.companies, "district", {"province": province, "city": city}, limit)
 
 
 def streets(tables: Tables, province: str, city: str, district: str) -> DataFrame:
@@ -162,14 +162,14 @@ def map_companies(
         found = pred.located(found, box)
     order = [F.desc_nulls_last("has_mobile"), F.desc_nulls_last("capital_wan"), F.asc(CODE)]
     have = set(found.columns)
-    top = found.orderBy(*order).limit(limit).select(*[c for c in MAP_CARD if c in have]).persist()
+    top = found.orderBy(*order).limit(limit).select(*[c for c in MAP_CARD if c in have])
     return {
         "items": agg.contact_preview(top, tables.contacts),
         "total": found.agg(F.count(F.lit(1)).alias("total")),
     }
 
 
-def export(tables: Tables, f: CompanyFilter = CompanyFilter(), text: str = "", dimensions: str = "", limit: int = 50_000) -> DataFrame:
+def export(tables: Tables, f: CompanyFilter = CompanyFilter(), text: str = "", dimensions: str = "", limit: int | None = None) -> DataFrame:
     return export_rows(select_companies(tables, f, text, dimensions), tables.contacts, limit)
 
 

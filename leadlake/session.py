@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: The folder of a local session without a shared one.
+_LOCAL: list[str] = []
+
+
 def get_session(app_name: str = "leadlake", master: str | None = None, **conf) -> SparkSession:
     """A session with adaptive execution; sizes are left to the cluster.
 
@@ -50,6 +54,5 @@ def work_dir(spark: SparkSession) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="leadlake-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = _LOCAL[0] if _LOCAL else _LOCAL.append(tempfile.mkdtemp(prefix="leadlake-")) or _LOCAL[0]
     return f"{shared.rstrip('/')}/leadlake-{uuid.uuid4().hex}"

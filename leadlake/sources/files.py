@@ -179,10 +179,40 @@ def division_schema(depth: int = 4) -> str:
     return ddl
 
 
+def _division_files(spark: SparkSession, path: str) -> DataFrame:
+    """(src_file, nodes, bad_lines) of division files.
+
+    A file holds one tree per line, or one JSON value over any number of lines:
+    a tree, a list of trees, or an object of trees by name.
+    """
+    tree, ok = division_schema(), lambda n: n["level"].isNotNull()
+    files = with_source(spark.read.text(path, wholetext=True))
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), strip), lambda x: x != "")
+    parsed = F.transform(lines, lambda x: F.from_json(x, tree))
+    body = strip(F.col("value"))
+    one = F.array(F.from_json(body, tree))
+    listed = F.from_json(F.when(body.startswith("["), body), f"array<{tree}>")
+    named = F.map_values(F.from_json(F.when(body.startswith("{"), body), f"map<string,{tree}>"))
+    found = files.select(
+        "src_file", parsed.alias("by_line"),
+        *[F.filter(F.coalesce(x, F.array().cast(f"array<{tree}>")), ok).alias(name) for x, name in ((one, "one"), (listed, "listed"), (named, "named"))],
+    ).withColumn("good_lines", F.filter("by_line", ok))
+    # A tree over several lines begins with a line that is none.
+    by_line = F.coalesce(ok(F.get("by_line", 0)), F.lit(False)) & (F.size("listed") == 0)
+    whole = F.when(F.size("listed") > 0, F.col("listed")).when(F.size("named") > 0, F.col("named")).when(F.size("one") > 0, F.col("one"))
+    nodes = F.when(by_line | whole.isNull(), F.col("good_lines")).otherwise(whole)
+    bad = F.when(by_line | whole.isNull(), F.size("by_line") - F.size("good_lines")).otherwise(0)
+    return found.select("src_file", nodes.alias("nodes"), bad.alias("bad_lines"))
+
+
 def read_division_tree(spark: SparkSession, path: str) -> DataFrame:
-    """Division files (one JSON tree per line or file) as flat rows."""
-    text = spark.read.text(path, wholetext=False)
-    return flatten_divisions(text.select(F.from_json("value", division_schema()).alias("node")))
+    """Division files as flat rows; what can't be read is in ``division_rejects``."""
+    return flatten_divisions(_division_files(spark, path).select(F.explode("nodes").alias("node")))
+
+
+def division_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(src_file, bad_lines) of division files with lines that are no tree."""
+    return _division_files(spark, path).filter("bad_lines > 0").select("src_file", "bad_lines")
 
 
 def flatten_divisions(trees: DataFrame, source: str = "tree") -> DataFrame:

@@ -60,7 +60,7 @@ def main():
 
     args = sys.argv[1:]
     sf = args[0] if args else "0.01"
-    spark = get_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+    spark = get_session(master="local[6]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/sf{sf}"
     con, queries, oracles = duck(sf_dir), entry.queries(), entry.oracle_sql()
