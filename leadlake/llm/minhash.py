@@ -16,15 +16,18 @@ In a bucket all classes are compared with the bucket's pivot on their full sets,
 and confirmed links are closed to components. Pairs inside a component need no
 test, and pivots leave their bucket.
 
-Buckets that still hold several components go on. For their classes the shingles
-are counted that any other of them has: two classes of n and m shingles, of which
-s and t are shared with anyone, have at most min(s, t) in common. That rules pairs
-out without a look at them. If both classes of a pair had too many shingles of
-their own to be linked with a class of their own size, the pair itself would be
-ruled out; so one of them is *central*, and only central classes become pivots,
-those with the fewest shingles of their own first, more from round to round. So
-every pair that shares a bucket is tested, connected or ruled out by its bound,
-without listing all pairs of a group, and nothing is capped.
+Buckets that still hold several components go on. The shingles of their classes
+are counted. A pair to be linked either has a rare shingle in common, one of at
+most ``RARE`` classes, or none. Pairs of the first kind are found by their rarest
+shingles: the rarest one in common is among the first n - 0.85n + 1 of either
+class in the order of counts, and a rare shingle has few classes. Pairs of the
+second kind can only have their frequent shingles in common, min(s, t) of them at
+most, which rules most pairs out without a look at them. If both classes of a pair
+had too few frequent shingles to be linked with a class of their own size, the
+pair itself would be ruled out; so one of them is *central*, and only central
+classes become pivots, those with most frequent shingles first, more from round to
+round. So every pair that shares a bucket is tested, connected or ruled out by its
+bound, without listing all pairs of a group, and nothing is capped.
 
 Defined results: a null or blank text has the empty set and is linked with
 nothing; texts of fewer than five words have one shingle, the whole; rows that
@@ -48,6 +51,8 @@ BANDS, ROWS = 40, 6
 PERCENT = 85
 #: Pivots per bucket in the first round, and the factor from round to round.
 FIRST_PIVOTS, MORE_PIVOTS = 1, 8
+#: Classes that a rare shingle may have; any number gives the same links.
+RARE = 8
 #: Key lists of up to so many rows are broadcast.
 BROADCAST_KEYS = 300_000
 #: Shingles that a task sketches together.
@@ -167,7 +172,7 @@ def _confirm(percent: int):
 
 
 def _admissible(percent: int) -> Column:
-    """Whether a and b, of n shingles each of which s are shared with anyone, can be linked."""
+    """Whether a and b, of n shingles each and with at most s in common with others, can be linked."""
     common = F.least("s_a", "s_b")
     return 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
 
@@ -184,19 +189,28 @@ class _Search:
         texts = self.docs.join(small(needed, BROADCAST_KEYS), ["k1", "k2"]).select("cid", "text")
         return stored(texts.mapInArrow(_full_sets, "cid long, shingles array<long>").dropDuplicates(["cid"]), f"{self.path}/sets")
 
-    def confirmed(self, pairs: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+    def confirmed(self, pairs: DataFrame, sets: DataFrame, turn) -> DataFrame:
         """Links among stored pairs (a, b) of class ids, by their full sets."""
         left, right = (sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b")
         return stored(both.mapInArrow(_confirm(self.percent), "a long, b long"), f"{self.path}/links-{turn}")
 
-    def shared_shingles(self, live: DataFrame, sets: DataFrame) -> DataFrame:
-        """(cid, s): how many shingles of a class another class of ``live`` has as well."""
-        own = sets.join(live.select("cid").distinct(), "cid").select("cid", F.explode("shingles").alias("shingle"))
-        single = own.groupBy("shingle").agg(F.count("*").alias("classes"), F.min("cid").alias("cid")).filter("classes = 1")
-        alone = single.groupBy("cid").agg(F.count("*").alias("alone"))
-        sizes = self.classes.select("cid", "n_shingles").join(live.select("cid").distinct(), "cid")
-        return sizes.join(alone, "cid", "left").select("cid", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("s"))
+    def common_shingles(self, contested: DataFrame, sets: DataFrame) -> DataFrame:
+        """(cid, shingle, classes) of the shingles that several of the contested classes have."""
+        own = sets.join(contested.select("cid"), "cid").select("cid", F.explode("shingles").alias("shingle"))
+        counts = own.groupBy("shingle").agg(F.count("*").alias("classes")).filter("classes > 1")
+        return stored(own.join(counts, "shingle").select("cid", "shingle", "classes"), f"{self.path}/common")
+
+    def rare_pairs(self, common: DataFrame, info: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different labels with a rare shingle in common, by the rarest of either class."""
+        rank = F.row_number().over(Window.partitionBy("cid").orderBy("classes", "shingle"))
+        place = F.col("n") - F.col("shared") + rank
+        first = common.filter(F.col("classes") <= RARE).join(info, "cid").withColumn("place", place)
+        first = first.filter(100 * (F.col("n") + 1 - F.col("place")) >= self.percent * F.col("n"))
+        a, b = (first.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "n", "label")]) for x in "ab")
+        alike = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
+        pairs = a.join(b, "shingle").filter((F.col("cid_a") < F.col("cid_b")) & (F.col("label_a") != F.col("label_b")) & alike)
+        return pairs.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
 
     def labels(self) -> DataFrame:
         """(node, label) of all classes that are linked."""
@@ -216,10 +230,19 @@ class _Search:
         live = self._labelled(live.filter("cid > pivot").select("bucket", "cid", "n"), found)
         undecided = live.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
         live = stored(live.join(undecided.select("bucket"), "bucket", "left_semi"), f"{self.path}/undecided")
-        shared = stored(self.shared_shingles(live, sets), f"{self.path}/shared")
+        contested = stored(live.select("cid", "n", "label").distinct(), f"{self.path}/contested")
+        common = self.common_shingles(contested, sets)
+        frequent = F.count(F.when(F.col("classes") > RARE, True))
+        counted = common.groupBy("cid").agg(F.count("*").alias("shared"), frequent.alias("s"))
+        info = stored(contested.join(counted, "cid", "left").fillna(0, ["shared", "s"]), f"{self.path}/info")
+        pairs = stored(self.rare_pairs(common, info).join(tested, ["a", "b"], "left_anti"), f"{self.path}/pairs-rare")
+        if not pairs.isEmpty():
+            tested = tested.unionByName(pairs)
+            found = self._joined(found, self.confirmed(pairs, sets, "rare"), "rare")
+        live = self._labelled(live.drop("label"), found).join(info.select("cid", "s"), "cid")
         # ``percent`` times the most shingles that a partner can have.
         reach = (100 + percent) * F.col("s") - percent * F.col("n")
-        live = live.join(shared, "cid").filter(100 * F.col("s") >= percent * F.col("n")).withColumn("reach", reach)
+        live = live.filter(100 * F.col("s") >= percent * F.col("n")).withColumn("reach", reach)
         live = live.withColumn("central", F.col("reach") >= percent * F.col("n"))
 
         turn, pivots = 0, FIRST_PIVOTS
@@ -245,11 +268,14 @@ class _Search:
             live = live.join(chosen.select("bucket", F.col("cid_a").alias("cid")), ["bucket", "cid"], "left_anti")
             if not pairs.isEmpty():
                 tested = tested.unionByName(pairs)
-                stars = found.filter("node > label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-                links = stars.unionByName(self.confirmed(pairs, sets, turn))
-                found = stored(components(links, f"{self.path}/components-{turn}"), f"{self.path}/labels-{turn}")
+                found = self._joined(found, self.confirmed(pairs, sets, turn), turn)
                 live = self._labelled(live.drop("label"), found)
 
+    def _joined(self, found: DataFrame, links: DataFrame, turn) -> DataFrame:
+        """The labels with further links."""
+        stars = found.filter("node > label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        return stored(components(stars.unionByName(links), f"{self.path}/components-{turn}"), f"{self.path}/labels-{turn}")
+
     @staticmethod
     def _labelled(live: DataFrame, found: DataFrame) -> DataFrame:
         return live.join(found, live["cid"] == found["node"], "left").withColumn("label", F.coalesce("label", "cid")).drop("node")
