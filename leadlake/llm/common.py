@@ -19,7 +19,7 @@ def folder(spark: SparkSession, work: str | None) -> str:
 
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write a frame and read it back: later steps start from files, not from a recomputation."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
