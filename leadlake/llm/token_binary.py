@@ -29,14 +29,14 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm.common import column, folder, stored
+from leadlake.llm.common import column, folder, map_arrow, stored
 from leadlake.llm.files import Writer, dealt, open_at, with_base
 
 END_ID = 2
 #: A segment is closed at so many bytes of ids or documents.
 SEGMENT_BYTES, SEGMENT_DOCS = 16 << 20, 1 << 16
 #: Words of one generation that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 MAGIC = b"EFTOKENS"
 _HEAD = struct.Struct("<8sQQQQQQ")
@@ -88,9 +88,10 @@ class WordEncoder:
                     young[word] = ids
             if unknown:
                 coded = self._tokenizer.encode_batch_fast([w.decode() for w in unknown], add_special_tokens=False)
-                width = self.width
+                form = f"<{'H' if self.width == 2 else 'I'}"
                 for word, code in zip(unknown, coded, strict=True):
-                    young[word] = b"".join([i.to_bytes(width, "little") for i in code.ids])
+                    ids = code.ids
+                    young[word] = struct.pack(f"{form[0]}{len(ids)}{form[1]}", *ids)
         return b"".join(map(self._young.__getitem__, words))
 
 
@@ -202,9 +203,10 @@ def write_tokens(
     narrow = docs.select(column(docs, id_column, "long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("hash"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = narrow.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
-    return stored(ordered.mapInArrow(_write(f"{path}/tokens", tokenizer or bundled_tokenizer(), end_id), WRITTEN), f"{path}/segments")
+    written = map_arrow(ordered, _write(f"{path}/tokens", tokenizer or bundled_tokenizer(), end_id), WRITTEN)
+    return stored(written, f"{path}/segments")
 
 
 def read_tokens(segments: DataFrame) -> DataFrame:
     """READ rows of all documents of the files; start counts the ids of all documents before."""
-    return dealt(with_base(segments, "n_ids")).mapInArrow(_read, READ)
+    return map_arrow(dealt(with_base(segments, "n_ids")), _read, READ)
