@@ -24,7 +24,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm.common import column, folder, small, stored
+from leadlake.llm.common import column, folder, map_arrow, small, stored
 
 #: Bytes of distinct contents that one table may hold, and the partitions of one level.
 TABLE_BYTES, FAN_OUT = 32 << 20, 64
@@ -172,12 +172,14 @@ def exact_groups(
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     path = folder(docs.sparkSession, work)
     narrow = docs.select(column(docs, id_column, "long").alias("doc_id"), column(docs, text_column, "string").alias("text"))
-    spill = stored(narrow.mapInArrow(_fold(limit), SPILL), f"{path}/spill")
+    spill = stored(map_arrow(narrow, _fold(limit), SPILL), f"{path}/spill")
     carried = spill.filter(F.col("content").isNotNull()).select("rep_key", "hash", "bytes", "content")
     buckets = grace_buckets(carried, path, limit=limit, fan_out=fan_out)
     groups = stored(
-        buckets.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "rep_key", "hash", "content")
-        .mapInArrow(_match(limit), "rep_key long, group_key long"),
+        map_arrow(
+            buckets.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "rep_key", "hash", "content"),
+            _match(limit), "rep_key long, group_key long",
+        ),
         f"{path}/groups",
     )
     rows = spill.select("doc_id", "points", "text_sha256", "row_key", "rep_key")

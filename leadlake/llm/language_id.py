@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadlake.llm.common import column, packed
+from leadlake.llm.common import column, map_arrow, packed
 
 ORDERS = 3
 #: Labelled rows and landmarks of each language; languages beyond the most frequent ones are not learned.
@@ -118,7 +118,7 @@ def learn(labelled: DataFrame, *, sample: int = SAMPLE, landmarks: int = LANDMAR
         rows.withColumn("hash", F.xxhash64("text")).withColumn("rank", rank).filter(F.col("rank") <= sample)
         .join(often, "lang").select("lang", "rank", "text")
     )
-    got = sorted((r["lang"], r["rank"], r["grams"]) for r in chosen.mapInArrow(_sets, "lang string, rank int, grams binary").collect())
+    got = sorted((r["lang"], r["rank"], r["grams"]) for r in map_arrow(chosen, _sets, "lang string, rank int, grams binary").collect())
     if not got:
         return None
     sets = [np.frombuffer(g, np.int64) for _, _, g in got]
@@ -158,7 +158,7 @@ def _predict(broadcast):
 def predict(rows: DataFrame, model: Model | None) -> DataFrame:
     """(row, text) to (row, lang_pred, score)."""
     out = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_predict(rows.sparkSession.sparkContext.broadcast(model)), out)
+    return map_arrow(rows, _predict(rows.sparkSession.sparkContext.broadcast(model)), out)
 
 
 def identify(

@@ -42,15 +42,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadlake.llm.common import column, folder, packed, small, stored
+from leadlake.llm.common import column, folder, map_arrow, packed, small, stored
 from leadlake.llm.graph import components
 from leadlake.llm.shingles import mixed, shingle_set
 
 BANDS, ROWS = 40, 6
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Pivots per bucket in the first round, and the factor from round to round.
-FIRST_PIVOTS, MORE_PIVOTS = 1, 8
+#: Pivots per bucket in the first round over undecided buckets, and the factor from round to round.
+FIRST_PIVOTS, MORE_PIVOTS = 8, 64
 #: Classes that a rare shingle may have; any number gives the same links.
 RARE = 8
 #: Key lists of up to so many rows are broadcast.
@@ -187,13 +187,13 @@ class _Search:
         """(cid, shingles) of classes, from the texts of their first rows."""
         needed = stored(cids.join(self.classes.select("cid", "first.k1", "first.k2"), "cid"), f"{self.path}/needed")
         texts = self.docs.join(small(needed, BROADCAST_KEYS), ["k1", "k2"]).select("cid", "text")
-        return stored(texts.mapInArrow(_full_sets, "cid long, shingles array<long>").dropDuplicates(["cid"]), f"{self.path}/sets")
+        return stored(map_arrow(texts, _full_sets, "cid long, shingles array<long>").dropDuplicates(["cid"]), f"{self.path}/sets")
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame, turn) -> DataFrame:
         """Links among stored pairs (a, b) of class ids, by their full sets."""
         left, right = (sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b")
-        return stored(both.mapInArrow(_confirm(self.percent), "a long, b long"), f"{self.path}/links-{turn}")
+        return stored(map_arrow(both, _confirm(self.percent), "a long, b long"), f"{self.path}/links-{turn}")
 
     def common_shingles(self, contested: DataFrame, sets: DataFrame) -> DataFrame:
         """(cid, shingle, classes) of the shingles that several of the contested classes have."""
@@ -245,9 +245,8 @@ class _Search:
         live = live.filter(100 * F.col("s") >= percent * F.col("n")).withColumn("reach", reach)
         live = live.withColumn("central", F.col("reach") >= percent * F.col("n"))
 
-        turn, pivots = 0, FIRST_PIVOTS
+        turn, pivots = 1, FIRST_PIVOTS
         while True:
-            turn, pivots = turn + 1, pivots * MORE_PIVOTS
             central = F.col("central")
             open_ = live.groupBy("bucket").agg(
                 F.min("label").alias("low"), F.max("label").alias("high"),
@@ -270,9 +269,12 @@ class _Search:
                 tested = tested.unionByName(pairs)
                 found = self._joined(found, self.confirmed(pairs, sets, turn), turn)
                 live = self._labelled(live.drop("label"), found)
+            turn, pivots = turn + 1, pivots * MORE_PIVOTS
 
     def _joined(self, found: DataFrame, links: DataFrame, turn) -> DataFrame:
         """The labels with further links."""
+        if links.isEmpty():
+            return found
         stars = found.filter("node > label").select(F.col("node").alias("a"), F.col("label").alias("b"))
         return stored(components(stars.unionByName(links), f"{self.path}/components-{turn}"), f"{self.path}/labels-{turn}")
 
@@ -292,7 +294,7 @@ def near_groups(
     """
     path = folder(docs.sparkSession, work)
     keyed = _keyed(docs, id_column, text_column)
-    sketched = stored(keyed.mapInArrow(_sketches(bands, rows), SKETCHED), f"{path}/sketches")
+    sketched = stored(map_arrow(keyed, _sketches(bands, rows), SKETCHED), f"{path}/sketches")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
     classes = stored(
         sketched.filter(F.col("class").isNotNull()).groupBy("class")

@@ -27,7 +27,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm.common import column, folder, small, stored
+from leadlake.llm.common import column, folder, map_arrow, small, stored
 from leadlake.llm.files import Writer, dealt, open_at
 
 SMALLEST = 1000
@@ -244,9 +244,9 @@ def write_archives(
         column(pages, id_column, "long").alias("page_id"), column(pages, url_column, "string").alias("url"), payload.alias("payload"),
     )
     typed = record_types(narrow, path, smallest)
-    return stored(typed.mapInArrow(_write(f"{path}/archives", date, segment_bytes), WRITTEN), f"{path}/segments")
+    return stored(map_arrow(typed, _write(f"{path}/archives", date, segment_bytes), WRITTEN), f"{path}/segments")
 
 
 def read_chunks(segments: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunked record table (CHUNKS) of the archives."""
-    return dealt(segments).mapInArrow(_read(chunk_bytes), CHUNKS)
+    return map_arrow(dealt(segments), _read(chunk_bytes), CHUNKS)
