@@ -148,27 +148,20 @@ def _full_sets(batches):
     """(cid, text) to (cid, shingles)."""
     import pyarrow as pa
 
-    for batch in batches:
-        sets = [shingle_set(text.as_py()).view(np.int64) for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "shingles"])
-
-
-def _confirm(percent: int):
-    """(a, b, left, right) to the links (a, b) whose full sets are similar enough."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = left.values.to_numpy(), right.values.to_numpy()
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+    def batch_of(cids, sets):
+        return pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "shingles"])
 
-    return run
+    for batch in batches:
+        cids, sets, held = [], [], 0
+        for cid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            cids.append(cid)
+            sets.append(shingle_set(text.as_py()).view(np.int64))
+            held += len(sets[-1])
+            if held > TOGETHER:
+                yield batch_of(cids, sets)
+                cids, sets, held = [], [], 0
+        if cids:
+            yield batch_of(cids, sets)
 
 
 def _admissible(percent: int) -> Column:
@@ -192,8 +185,11 @@ class _Search:
     def confirmed(self, pairs: DataFrame, sets: DataFrame, turn) -> DataFrame:
         """Links among stored pairs (a, b) of class ids, by their full sets."""
         left, right = (sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b")
-        return stored(map_arrow(both, _confirm(self.percent), "a long, b long"), f"{self.path}/links-{turn}")
+        both = pairs.join(right, "b").join(left, "a")
+        # 100 common >= percent union, with union = sizes - common. Compared one by one, however long the texts.
+        common = F.size(F.array_intersect("s_a", "s_b"))
+        alike = (100 + self.percent) * common >= self.percent * (F.size("s_a") + F.size("s_b"))
+        return stored(both.filter(alike).select("a", "b"), f"{self.path}/links-{turn}")
 
     def common_shingles(self, contested: DataFrame, sets: DataFrame) -> DataFrame:
         """(cid, shingle, classes) of the shingles that several of the contested classes have."""
