@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 
 RANK = "__rank"
 
+#: Ranges into which the values of a key are divided to find a percentile.
+RANGES = 128
+
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of every key."""
@@ -45,21 +48,21 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact order statistics per key: element floor(n * p) of the sorted values.
 
-    Values are counted first, then the counts of a fixed number of value ranges
-    tell which range holds each wanted position, and only the values of that
-    range are ranked. No task sees all values of a key.
+    Values are counted first and divided into ranges of about as many different
+    values each, wherever they lie. The counts of the ranges tell which one holds
+    each wanted position, and only its values are ranked. No task sees all values
+    of a key.
     """
-    bins = 1024
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("__n")
     )
+    cuts = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
     spread = counts.groupBy(*keys).agg(
-        F.min(value).alias("__low"), F.max(value).alias("__high"), F.sum("__n").alias("__total")
+        F.percentile_approx(value, cuts, F.lit(20 * RANGES)).alias("__cuts"), F.sum("__n").alias("__total")
     )
-    width = F.col("__high") - F.col("__low")
-    place = F.when(width > 0, F.floor((F.col(value) - F.col("__low")) / width * (bins - 1)))
-    ranged = counts.join(spread, keys).withColumn("__bin", F.coalesce(place, F.lit(0)))
+    ranged = counts.join(spread, keys).withColumn("__bin", F.size(F.filter("__cuts", lambda c: c < F.col(value))))
+    ranged = ranged.drop("__cuts")
     histogram = ranged.groupBy(*keys, "__bin", "__total").agg(F.sum("__n").alias("__in_bin"))
     upto = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
     wanted = F.explode(

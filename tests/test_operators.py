@@ -119,6 +119,14 @@ def test_export_keeps_companies_without_contacts(spark):
     assert rows == {"A": (1, "13812345678"), "B": (1, "13812345678"), "C": (1, None)}
 
 
+def test_percentiles_with_an_outlier_and_a_hot_key(spark):
+    values = {"hot": [float(i % 5000) for i in range(9000)] + [1e18], "cold": [3.0, 3.0, 1.0], "one": [7.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v double")
+    fractions = {"low": 0.01, "p50": 0.5, "p99": 0.99, "max": 1.0}
+    got = {(r["g"], r["stat"]): r["value"] for r in exact_percentiles(df, ["g"], "v", fractions).collect()}
+    assert got == {(g, s): sorted(vs)[min(int(len(vs) * p), len(vs) - 1)] for g, vs in values.items() for s, p in fractions.items()}
+
+
 def test_percentiles_equal_sorted_lists(spark):
     random.seed(3)
     data = [("a", random.gauss(0, 50)) for _ in range(400)] + [("b", 7.0)] * 300 + [("c", 1.0)]
