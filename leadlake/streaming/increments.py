@@ -83,16 +83,36 @@ def contact_change_stream(stream: DataFrame, checkpoint: str, target: str, arriv
     return run_available(stream, checkpoint, on_batch)
 
 
+def _last_changes(deltas: DataFrame, arrival: Sequence[str]) -> DataFrame:
+    return keep_last(deltas, CONTACT_KEY, [BATCH, *arrival]).drop(BATCH)
+
+
 def current_contacts(spark: SparkSession, target: str, arrival: Sequence[str]) -> DataFrame:
+    return _last_changes(spark.read.parquet(f"{target}/delta"), arrival).filter(F.col("op") == "add").drop("op")
+
+
+def current_flags(spark: SparkSession, target: str, arrival: Sequence[str], after_batch: int | None = None) -> DataFrame:
+    """Reach flags of the companies that the stream has touched.
+
+    With ``after_batch`` only companies of later batches are computed, from their
+    own contacts; their rows replace those of an earlier result.
+    """
     deltas = spark.read.parquet(f"{target}/delta")
-    return keep_last(deltas, CONTACT_KEY, [BATCH, *arrival]).filter(F.col("op") == "add").drop(BATCH, "op")
+    touched = deltas if after_batch is None else deltas.filter(F.col(BATCH) > after_batch)
+    touched = touched.select(CODE).distinct()
+    if after_batch is not None:
+        deltas = deltas.join(touched, CODE, "left_semi")
+    contacts = _last_changes(deltas, arrival).filter(F.col("op") == "add").drop("op")
+    return touched.join(contact_flags(contacts), CODE, "left").fillna(0)
+
 
+def compact_contacts(spark: SparkSession, target: str, into: str, arrival: Sequence[str], partitions: int) -> None:
+    """Write the last change of every contact to a new target as its first delta.
 
-def current_flags(spark: SparkSession, target: str, arrival: Sequence[str]) -> DataFrame:
-    """Reach flags of every company that ever had a contact in the stream."""
-    touched = spark.read.parquet(f"{target}/delta").select(CODE).distinct()
-    flags = contact_flags(current_contacts(spark, target, arrival))
-    return touched.join(flags, CODE, "left").fillna(0)
+    Deletions stay, so that companies without contacts keep their flags.
+    """
+    last = _last_changes(spark.read.parquet(f"{target}/delta"), arrival)
+    write_delta(last.repartition(partitions, *CONTACT_KEY), 0, into)
 
 
 def compact(

@@ -121,3 +121,24 @@ def test_only_new_files_are_listed(spark, tmp_path):
     (tmp_path / "a.csv").write_text("xy", encoding="utf-8")
     left = files.new_files(spark, str(tmp_path), ledger).collect()
     assert [r["path"].rsplit("/", 1)[1] for r in left] == ["a.csv"]
+
+
+def test_contact_flags_over_batches_and_a_compaction(spark, tmp_path):
+    schema = "credit_code string, contact_type string, contact_value string, op string, at long"
+    source, target, folded = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "folded")
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = increments.file_stream(spark, source, schema)
+        increments.contact_change_stream(stream, str(tmp_path / "check"), target, ["at"]).awaitTermination()
+
+    def flags(where, **options):
+        return {r["credit_code"]: (r["mobile_count"], r["email_count"]) for r in increments.current_flags(spark, where, ["at"], **options).collect()}
+
+    arrive(("a", "mobile", "1", "add", 1), ("a", "mobile", "2", "add", 2), ("b", "email", "x", "add", 3), ("c", "mobile", "9", "add", 4))
+    arrive(("a", "mobile", "1", "delete", 5), ("c", "mobile", "9", "delete", 6))
+    assert flags(target) == {"a": (1, 0), "b": (0, 1), "c": (0, 0)}
+    assert flags(target, after_batch=0) == {"a": (1, 0), "c": (0, 0)}
+    increments.compact_contacts(spark, target, folded, ["at"], 2)
+    assert flags(folded) == flags(target)
+    assert spark.read.parquet(f"{folded}/delta").count() == 4
