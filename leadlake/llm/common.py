@@ -53,7 +53,10 @@ _SHIPPED: set[str] = set()
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow``, with this package sent to the Python workers once per application."""
+    """``df.mapInArrow``, with this package sent to the Python workers once per application.
+
+    The archive is built beside the driver only; Spark itself copies it to the executors.
+    """
     context = df.sparkSession.sparkContext
     if context.applicationId not in _SHIPPED:
         _SHIPPED.add(context.applicationId)
