@@ -8,8 +8,8 @@ kernel with the landmarks is a product of presence vectors, so scoring folds the
 landmarks' n-grams, the Nyström map and the regression weights into one matrix
 (n-grams by languages): a batch of texts is its presence matrix times that.
 
-The sample is bounded: up to ``SAMPLE`` labelled rows of each language, those of
-the least hashes, whole texts; ``LANDMARKS`` of each language are landmarks. Tasks
+The sample is bounded: up to ``SAMPLE`` distinct labelled texts of each language,
+those of the least hashes, whole; ``LANDMARKS`` of each language are landmarks. Tasks
 turn them into sets of n-grams, and the sets of the sample come to the driver to
 be fitted. Prediction reads all rows.
 
@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadlake.llm.common import column, map_arrow, packed
+from leadlake.llm.common import column, folder, map_arrow, packed, small, stored
 
 ORDERS = 3
-#: Labelled rows and landmarks of each language; languages beyond the most frequent ones are not learned.
+#: Distinct labelled texts and landmarks of each language; languages beyond the most frequent ones are not learned.
 SAMPLE, LANDMARKS, LANGUAGES = 300, 64, 200
+#: Keys of the sample that are broadcast: up to so many rows.
+BROADCAST_SAMPLE = 200_000
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: Characters of a text that are looked at together, and rows in a matrix product.
@@ -112,11 +114,19 @@ def _sets(batches):
 def learn(labelled: DataFrame, *, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model | None:
     """A model of rows (text, lang); None without rows."""
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text"))
+    keys = F.xxhash64("text").alias("hash"), F.xxhash64(F.lit("text"), "text").alias("hash2")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "hash2"))
     often = labelled.filter(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    # Distinct texts are ranked by 128 bits alone; only the texts of the sample are fetched, one row of each.
+    least = (
+        rows.select("lang", *keys).distinct().withColumn("rank", rank).filter(F.col("rank") <= sample)
+        .join(often, "lang").select("lang", "hash", "hash2", "rank")
+    )
+    least = small(stored(least, f"{folder(labelled.sparkSession, None)}/sample"), BROADCAST_SAMPLE)
+    copy = F.row_number().over(Window.partitionBy("lang", "rank").orderBy("hash"))
     chosen = (
-        rows.withColumn("hash", F.xxhash64("text")).withColumn("rank", rank).filter(F.col("rank") <= sample)
-        .join(often, "lang").select("lang", "rank", "text")
+        rows.select("lang", "text", *keys).join(least, ["lang", "hash", "hash2"])
+        .withColumn("copy", copy).filter(F.col("copy") == 1).select("lang", "rank", "text")
     )
     got = sorted((r["lang"], r["rank"], r["grams"]) for r in map_arrow(chosen, _sets, "lang string, rank int, grams binary").collect())
     if not got:

@@ -5,6 +5,7 @@ import numpy as np
 from leadlake.llm import language_id
 from leadlake.llm.language_id import fit, identify, known_language, ngrams
 from leadlake.llm.queries import op2_language_id
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -67,3 +68,16 @@ def test_edges(spark):
     assert not {r["doc_id"] for r in stay.collect()} & {40, 41, 42}
     assert identify(docs.limit(0)).collect() == []
     assert {r["lang_pred"] for r in identify(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
+
+
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda sets, labels, landmarks: seen.append((sets, labels, landmarks)))
+    texts = [(f"the house number {i}", "en") for i in range(40)] + [(f"la casa número {i}", "es") for i in range(40)]
+    rows = spark.createDataFrame(texts, "text string, lang string")
+    least = rows.orderBy(F.xxhash64("text")).filter("lang = 'en'").first()
+    language_id.learn(rows, sample=20, landmarks=8)
+    language_id.learn(rows.union(spark.createDataFrame([tuple(least)] * 40, rows.schema)).repartition(5), sample=20, landmarks=8)
+    (sets, labels, landmarks), (again, *rest) = seen
+    assert len({s.tobytes() for s in again}) == 40 and labels.count("en") == labels.count("es") == 20 and len(landmarks) == 16
+    assert [s.tolist() for s in again] == [s.tolist() for s in sets] and rest == [labels, landmarks]
