@@ -6,7 +6,8 @@ stays; the lines of all later ones are covered. Overlapping covered windows merg
 and the lines that no window covers are put together again.
 
 Defined results: a null or empty text is one empty line and stays as it is; a
-document of fewer than three lines has no window and stays; documents are ordered
+document of fewer than three lines has no window and stays, unless ``short`` takes
+it, if not empty, as one window of all its lines; documents are ordered
 by id, rows without id first, then by the hash of the text; rows that repeat id
 and text are one document, so that none loses lines to the other; blank lines
 count as any other line; an empty table gives no rows. Only id and text are read.
@@ -24,13 +25,13 @@ SPAN = 3
 
 
 def _hashes(lines: Column, at: Column, span: int) -> list[Column]:
-    """128 bits of the lines from ``at`` on."""
+    """128 bits of the lines from ``at`` on; null lines beyond the end change no hash."""
     own = [F.get(lines, at + i) for i in range(span)]
     return [F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit("window"), *own).alias("h2")]
 
 
 def dedup_lines(
-    docs: DataFrame, *, span: int = SPAN, work: str | None = None, id_column: str = "doc_id", text_column: str = "text",
+    docs: DataFrame, *, span: int = SPAN, short: bool = False, work: str | None = None, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, text.
 
@@ -45,7 +46,8 @@ def dedup_lines(
     )
     n = F.size("lines")
     windows = (
-        read.filter(n >= span).select("doc_id", "k1", "k2", "lines", F.explode(F.sequence(F.lit(0), n - span)).alias("at"))
+        read.filter((n >= span) | (F.lit(short) & (F.length("text") > 0)))
+        .select("doc_id", "k1", "k2", "lines", F.explode(F.sequence(F.lit(0), F.greatest(n - span, F.lit(0)))).alias("at"))
         .select("doc_id", "k1", "k2", "at", *_hashes(F.col("lines"), F.col("at"), span))
     )
     place = F.struct("doc_id", "k1", "k2", "at")

@@ -35,3 +35,12 @@ def test_repeated_rows_and_edges(spark):
     assert [r for r in got if r[0] == 2] == [(2, 4, 3, "d")]
     assert [r[1:3] for r in got if r[0] == 3] == [(5001, 5000)]
     assert dedup_lines(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_short_documents_as_windows(spark):
+    rows = [(1, "one line"), (2, "one line"), (3, "a\nb"), (4, "a\nb"), (5, "a"), (6, "a\nb\n"), (7, "x\na\nb\ny"), (8, ""), (9, ""), (10, None), (11, "b"), (12, "\n"), (13, "\n")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in dedup_lines(docs, short=True).collect()}
+    assert {k for k, v in got.items() if v[1]} == {2, 4, 13} and got[2] == (1, 1, "") and got[4] == (2, 2, "") and got[13] == (2, 2, "")
+    assert all(got[k][2] == text for k, text in rows if k not in (2, 4, 13))
+    assert not any(r["n_removed"] for r in dedup_lines(docs).collect())
