@@ -11,7 +11,7 @@ landmarks' n-grams, the Nyström map and the regression weights into one matrix
 The sample is bounded: up to ``SAMPLE`` distinct labelled texts of each language,
 those of the least hashes, whole; ``LANDMARKS`` of each language are landmarks. Tasks
 turn them into sets of n-grams, and the sets of the sample come to the driver to
-be fitted. Prediction reads all rows.
+be fitted. Every label is learned, however many there are. Prediction reads all rows.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0;
 equal texts get equal results; a row without label isn't learned from, one
@@ -21,6 +21,8 @@ gives no rows. The label, source and id are never inputs of a prediction.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +31,8 @@ from pyspark.sql import types as T
 from leadlake.llm.common import column, folder, map_arrow, packed, small, stored
 
 ORDERS = 3
-#: Distinct labelled texts and landmarks of each language; languages beyond the most frequent ones are not learned.
-SAMPLE, LANDMARKS, LANGUAGES = 300, 64, 200
+#: Distinct labelled texts and landmarks of each language.
+SAMPLE, LANDMARKS = 300, 64
 #: Keys of the sample that are broadcast: up to so many rows.
 BROADCAST_SAMPLE = 200_000
 RIDGE = 1e-3
@@ -93,7 +95,8 @@ def fit(sets: list[np.ndarray], labels: list[str], landmarks: list[int], ridge:
     features = kernel @ nystroem
     wanted = np.array([[1.0 if label == lang else -1.0 for lang in languages] for label in labels])
     # Every language counts alike in every regression, however many rows it has.
-    share = np.array([1 / labels.count(label) for label in labels])[:, None]
+    rows = Counter(labels)
+    share = np.array([1 / rows[label] for label in labels])[:, None]
     weights = np.linalg.solve(features.T @ (share * features) + ridge * np.eye(features.shape[1]), features.T @ (share * wanted))
     return Model(languages, grams, presence.T.astype(np.float64) @ (nystroem @ weights))
 
@@ -116,12 +119,8 @@ def learn(labelled: DataFrame, *, sample: int = SAMPLE, landmarks: int = LANDMAR
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     keys = F.xxhash64("text").alias("hash"), F.xxhash64(F.lit("text"), "text").alias("hash2")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "hash2"))
-    often = labelled.filter(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     # Distinct texts are ranked by 128 bits alone; only the texts of the sample are fetched, one row of each.
-    least = (
-        rows.select("lang", *keys).distinct().withColumn("rank", rank).filter(F.col("rank") <= sample)
-        .join(often, "lang").select("lang", "hash", "hash2", "rank")
-    )
+    least = rows.select("lang", *keys).distinct().withColumn("rank", rank).filter(F.col("rank") <= sample)
     least = small(stored(least, f"{folder(labelled.sparkSession, None)}/sample"), BROADCAST_SAMPLE)
     copy = F.row_number().over(Window.partitionBy("lang", "rank").orderBy("hash"))
     chosen = (

@@ -81,3 +81,10 @@ def test_copies_do_not_fill_the_sample(spark, monkeypatch):
     (sets, labels, landmarks), (again, *rest) = seen
     assert len({s.tobytes() for s in again}) == 40 and labels.count("en") == labels.count("es") == 20 and len(landmarks) == 16
     assert [s.tolist() for s in again] == [s.tolist() for s in sets] and rest == [labels, landmarks]
+
+
+def test_every_label_is_learned(spark):
+    rows = [(f"word{i} other{i} {i}", f"l{i:03}") for i in range(205)] * 2 + [("rare \u4e00", "rare")]
+    model = language_id.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 206
+    assert model.languages[model.scores([ngrams("rare \u4e00")]).argmax()] == "rare"
