@@ -10,7 +10,8 @@ then the first character of every control string. So an escaped text holds no
 control string, and unescaping restores it.
 
 Defined results: a null text or role is empty; rows are ordered by turn, null
-turns first, then by role and text; rows without conv_id form one conversation;
+turns first, then by role and text; rows without conv_id form one conversation, or
+each its own with ``split_unnamed``, so that they are not gathered in one value;
 repeated rows are turns of their own; an unknown role has no state, so the
 conversation isn't valid; an empty table gives no rows. Only the four columns
 named here are read.
@@ -67,7 +68,7 @@ def _moves(template: Template) -> Column:
 
 def format_conversations(
     turns: DataFrame, template: Template = CHAT, *, id_column: str = "conv_id", turn_column: str = "turn",
-    role_column: str = "role", text_column: str = "text",
+    role_column: str = "role", text_column: str = "text", split_unnamed: bool = False,
 ) -> DataFrame:
     """(conv_id, segments, formatted, valid): segments are (text, loss), formatted is all of them together.
 
@@ -94,9 +95,13 @@ def format_conversations(
         F.col("turns"), F.lit(template.start),
         lambda state, t: F.coalesce(moves[F.concat_ws(" ", state, t["role"])], F.lit("none")),
     )
+    given = turns.select(column(turns, id_column, "long").alias("conv_id"), turn.alias("t"))
+    named = given.filter("conv_id IS NOT NULL") if split_unnamed else given
+    whole = named.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    if split_unnamed:
+        whole = whole.unionByName(given.filter("conv_id IS NULL").select("conv_id", F.array("t").alias("turns")))
     return (
-        turns.select(column(turns, id_column, "long").alias("conv_id"), turn.alias("t"))
-        .groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+        whole
         .select("conv_id", F.flatten(F.transform("turns", pieces)).alias("segments"), state.isin(*template.final).alias("valid"))
         .select("conv_id", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "valid")
     )

@@ -56,3 +56,12 @@ def test_other_template(spark):
         "valid", chat.read_turns(F.col("formatted"), template).alias("t"), chat.trained_text(F.col("segments"), template).alias("l"),
     ).first()
     assert out["valid"] and [tuple(t) for t in out["t"]] == [("q", "x[end]~b"), ("a", "]~[")] and out["l"] == "x[end]~b]~["
+
+
+def test_rows_without_id_can_stand_alone(spark):
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (None, 0, "user", "q"), (None, 1, "assistant", "r"), (None, 1, "assistant", "r")]
+    out = chat.format_conversations(spark.createDataFrame(rows, TURNS).repartition(3), split_unnamed=True).collect()
+    assert sorted((str(r["conv_id"]), r["formatted"], r["valid"]) for r in out) == [
+        ("1", "### user\na</turn>\n### assistant\nb</turn>\n", True), ("None", "### assistant\nr</turn>\n", False),
+        ("None", "### assistant\nr</turn>\n", False), ("None", "### user\nq</turn>\n", False),
+    ]
