@@ -65,3 +65,19 @@ def test_segment_documents():
         segment = token_binary.Segment(token_binary.pack_segment([None, -5, 8], packed, width))
         assert segment.doc_ids() == [None, -5, 8]
         assert [segment.document(i).tolist() for i in range(3)] == docs
+
+
+def test_reader_takes_offsets_from_select(monkeypatch):
+    import io
+
+    import pyarrow as pa
+
+    docs = [np.arange(1 + i % 7, dtype="<u2").tobytes() for i in range(1000)]
+    data = token_binary.pack_segment(list(range(1000)), docs, 2)
+    asked, select = [], elias_fano.EliasFano.select
+    monkeypatch.setattr(elias_fano.EliasFano, "select", lambda self, i: asked.append(i) or select(self, i))
+    monkeypatch.setattr(token_binary, "open_at", lambda uri, offset: io.BytesIO(data))
+    (out,) = token_binary._read([pa.RecordBatch.from_pylist([{"uri": "x", "offset": 0, "length": len(data), "base": 10}])])
+    sizes = [1 + i % 7 for i in range(1000)]
+    assert set(asked) == set(range(1001)) and out.column(2).to_pylist() == sizes
+    assert out.column(1).to_pylist() == [10 + sum(sizes[:i]) for i in range(1000)]
