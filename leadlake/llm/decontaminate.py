@@ -11,7 +11,8 @@ search loses nothing.
 Tokens are runs of letters and digits in lower case. Beyond the end of a text
 nothing is equal. Items of fewer than ``EQUAL`` tokens must match as a whole;
 items shorter than the shortest mask (8 tokens) match nothing, as they can't be
-told from ordinary prose.
+told from ordinary prose, unless ``match_short`` asks for them: then a document
+overlaps one if it holds all its tokens in a row.
 
 Defined results: null and empty texts overlap nothing; rows that repeat id and
 text share their result; equal items are reported each; empty tables give no
@@ -73,8 +74,22 @@ def most_equal() -> Column:
     ))
 
 
+def _short_overlaps(read: DataFrame, items: DataFrame, path: str, broadcast: int) -> DataFrame:
+    """Overlaps with items shorter than the shortest mask, by the runs of their lengths."""
+    short = items.filter(F.size("tokens").between(1, SHORTEST - 1)).select("item_id", F.col("tokens").alias("run"))
+    short = stored(short, f"{path}/short")
+    lengths = sorted(r["n"] for r in short.select(F.size("run").alias("n")).distinct().collect())
+    begun = read.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0)))).alias("at"))
+    runs = [F.when(F.col("at") + n <= F.size("tokens"), F.slice("tokens", F.col("at") + 1, n)) for n in lengths]
+    found = begun.select("doc_id", "k1", "k2", F.explode(F.array(*runs) if runs else F.array().cast("array<array<bigint>>")).alias("run"))
+    return (
+        found.filter(F.col("run").isNotNull()).join(small(short, broadcast), "run")
+        .groupBy("doc_id", "k1", "k2", "item_id").agg(F.max(F.size("run")).cast("long").alias("equal_tokens"))
+    )
+
+
 def overlaps(
-    docs: DataFrame, benchmark: DataFrame, *, work: str | None = None, broadcast_seeds: int = BROADCAST_SEEDS,
+    docs: DataFrame, benchmark: DataFrame, *, work: str | None = None, broadcast_seeds: int = BROADCAST_SEEDS, match_short: bool = False,
     id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text",
 ) -> DataFrame:
     """(doc_id, k1, k2, item_id, equal_tokens) for each document and item that overlap.
@@ -101,21 +116,23 @@ def overlaps(
         hits = read.dropDuplicates(["k1", "k2"]).join(hits, ["k1", "k2"])
     else:
         hits = seeded(read).join(known, "key")
-    return (
+    found = (
         # The explode keeps Spark from moving the cut behind the join's output, where each hit would hold all tokens.
         hits.select("doc_id", "k1", "k2", "item_id", "needed", "item_tokens", F.explode(F.array(around(F.col("at")))).alias("doc_tokens"))
         .select("doc_id", "k1", "k2", "item_id", "needed", most_equal().alias("equal_tokens"))
         .groupBy("doc_id", "k1", "k2", "item_id", "needed").agg(F.max("equal_tokens").cast("long").alias("equal_tokens"))
         .filter(F.col("equal_tokens") >= F.col("needed")).drop("needed")
     )
+    return found.unionByName(_short_overlaps(read, items, path, broadcast_seeds)) if match_short else found
 
 
 def without_overlaps(
-    docs: DataFrame, benchmark: DataFrame, *, work: str | None = None, id_column: str = "doc_id", text_column: str = "text",
+    docs: DataFrame, benchmark: DataFrame, *, work: str | None = None, match_short: bool = False,
+    id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """The columns of ``docs``, without the documents that overlap a benchmark item."""
     path = folder(docs.sparkSession, work)
-    found = overlaps(docs, benchmark, work=path, id_column=id_column, text_column=text_column)
+    found = overlaps(docs, benchmark, work=path, match_short=match_short, id_column=id_column, text_column=text_column)
     found = small(stored(found.select("k1", "k2").distinct(), f"{path}/found"), BROADCAST_DOCS)
     keys = row_key(F.col(f"_doc.`{id_column}`").cast("long"), F.col(f"_doc.`{text_column}`").cast("string"))
     return packed(docs).select("_doc", *keys).join(found, ["k1", "k2"], "left_anti").select("_doc.*")

@@ -63,3 +63,17 @@ def test_edges(spark):
     assert sorted(str(r["doc_id"]) for r in without_overlaps(docs, items).collect()) == ["2", "3", "4", "6", "8"]
     assert overlaps(docs.limit(0), items).collect() == [] and overlaps(docs, items.limit(0)).collect() == []
     assert decontaminate.without_overlaps(docs, items.limit(0)).count() == len(rows)
+
+
+@pytest.mark.parametrize("broadcast_seeds", [0, 10_000])
+def test_short_items_match_whole(spark, broadcast_seeds):
+    items = spark.createDataFrame([(1, "one two three"), (2, "Yes"), (3, "a b c d e f g"), (4, ""), (5, None), (6, "three four"), (7, " ".join(f"t{i}" for i in range(9)))], ITEMS)
+    rows = [(1, "One, two, three!"), (2, "zero one two three four"), (3, "one two four three"), (4, "yes yes"), (5, "a b c d e f"), (6, "x a b c d e f g"),
+            (7, None), (8, " ".join(f"t{i}" for i in range(9))), (1, "One, two, three!"), (None, "yesterday yes")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = overlaps(docs, items, match_short=True, broadcast_seeds=broadcast_seeds).collect()
+    assert sorted((str(r["doc_id"]), r["item_id"], r["equal_tokens"]) for r in got) == [
+        ("1", 1, 3), ("2", 1, 3), ("2", 6, 2), ("4", 2, 1), ("6", 3, 7), ("8", 7, 9), ("None", 2, 1),
+    ]
+    assert sorted(r["doc_id"] for r in without_overlaps(docs, items, match_short=True).collect()) == [3, 5, 7]
+    assert overlaps(docs, items.filter("item_id = 7"), match_short=True).count() == 1
