@@ -299,7 +299,7 @@ def municipality_repair(spark, sf_dir):
 )
 def national_load(spark, sf_dir):
     """The whole chain: raw rows, best row, street, centre point."""
-    loaded = national.load_national(d.registry_rows(spark, sf_dir), d.divisions(spark, sf_dir), d.as_of(), ["src_file", "row_no"])
+    loaded = national.load_national(d.registry_rows(spark, sf_dir), d.divisions(spark, sf_dir), d.as_of(), ["src_file", "row_no"], limits=True)
     return loaded.select("credit_code", "status", "street", "geo_precision", F.round("lng", 5).alias("lng"), "fill_score")
 
 

@@ -69,8 +69,8 @@ REGISTRY_BEST = """
     ("registry_rows",),
 )
 def registry_load(spark, sf_dir):
-    keyed = load.keyed_registry(registry_rows(spark, sf_dir))
-    return load.registry_companies(keyed, as_of(), ARRIVAL).select(
+    keyed = load.keyed_registry(registry_rows(spark, sf_dir), limits=True)
+    return load.registry_companies(keyed, as_of(), ARRIVAL, limits=True).select(
         "credit_code", "company_name", "status", "legal_person", "scale", "capital_wan", "established",
         "established_year", "company_age", "province", "city", "district", "industry_l1", "insured_count",
         "address", "scope", "fill_score", "src_file", "has_mobile", "has_landline", "has_email",
@@ -93,7 +93,7 @@ def registry_load(spark, sf_dir):
     ("registry_rows",),
 )
 def registry_contacts(spark, sf_dir):
-    keyed = load.keyed_registry(registry_rows(spark, sf_dir))
+    keyed = load.keyed_registry(registry_rows(spark, sf_dir), limits=True)
     points = load.registry_contacts(keyed, ARRIVAL, "registry", F.lit("2025-01-01").cast("date"))
     return points.select("credit_code", "contact_type", "contact_value", "is_primary")
 
@@ -121,7 +121,7 @@ def monthly_fold(spark, sf_dir):
         F.lit("制造业").alias("ind1"), F.lit("上海-宝山区").alias("region"), F.lit("销售").alias("scope"),
         contact_value(F.lit("mobile"), o % 97).alias("mobile"), o.alias("row_no"),
     )
-    folded = load.monthly_companies(rows, as_of(), ["row_no"])
+    folded = load.monthly_companies(rows, as_of(), ["row_no"], limits=True)
     return folded.select(
         "credit_code", "established", "fill_score", "mobile_count", "has_mobile", "has_email",
         "legal_person", "city", "district",
@@ -264,7 +264,7 @@ def fill_blank_enrich(spark, sf_dir):
             "scope": F.when(k % 4 > 0, F.col("scope")).otherwise(""),
         }
     )
-    source = load.national_enrichment(registry_rows(spark, sf_dir), ARRIVAL)
+    source = load.national_enrichment(registry_rows(spark, sf_dir), ARRIVAL, limits=True)
     enriched = load.enrich_from_national(conform(gaps, COMPANIES), source)
     return enriched.select("credit_code", "legal_person", "established", "scope", "fill_score")
 
@@ -520,7 +520,7 @@ def territory_rules(spark, sf_dir):
     ("tags", "chain_rows"),
 )
 def chain_tag_merge(spark, sf_dir):
-    rows = load.chain_tag_rows(chain_rows(spark, sf_dir))
+    rows = load.chain_tag_rows(chain_rows(spark, sf_dir), limits=True)
     merged = load.merge_tags(tags(spark, sf_dir), rows, ARRIVAL)
     return merged.select(
         "credit_code", F.col("chain_industries").alias("industries"), "chain_nodes", "honors",
@@ -573,7 +573,7 @@ def certificate_load(spark, sf_dir):
         F.col("l_orderkey").alias("a1"), F.col("l_linenumber").alias("a2"), F.col("l_partkey").alias("a3"),
         F.col("l_suppkey").alias("a4"), d.alias("a5"),
     )
-    certs = load.certificates(rows, "table", ["a1", "a2", "a3", "a4", "a5"])
+    certs = load.certificates(rows, "table", ["a1", "a2", "a3", "a4", "a5"], limits=True)
     return certs.select("cert_no", "credit_code", "cert_year", "valid_to", "revoked")
 
 
@@ -616,7 +616,7 @@ def preserve_check(spark, sf_dir):
 def enrichment_contacts(spark, sf_dir):
     """Contacts of the fullest chain row per company. A number repeated in the
     cell loses its primary mark, because the last of equal ones stays."""
-    best = load.chain_enrichment(registry_rows(spark, sf_dir), ARRIVAL)
+    best = load.chain_enrichment(registry_rows(spark, sf_dir), ARRIVAL, limits=True)
     points = load.enrichment_contacts(best, ARRIVAL, "chain", F.lit("2025-01-01").cast("date"))
     return points.select("credit_code", "contact_type", "contact_value", "is_primary")
 

@@ -59,21 +59,26 @@ LIMITED = {
 }
 
 
+def _cut(limits: bool, c: Column, limit: int) -> Column:
+    return byte_truncate(c, limit) if limits else c
+
+
 def _field(rows: DataFrame, name: str) -> Column:
     return F.col(name) if name in rows.columns else F.lit(None).cast("string")
 
 
 def company_columns(
-    rows: DataFrame, normalised: bool, strict_staff: bool, by_folder: bool = False
+    rows: DataFrame, normalised: bool, strict_staff: bool, by_folder: bool = False, limits: bool = False
 ) -> dict[str, Column]:
     """Target columns computed from the fields of a source.
 
     ``normalised`` maps status and province spellings, ``by_folder`` lets the
     source folder name a missing province, ``strict_staff`` accepts staff counts
-    made of digits only, and caps them.
+    made of digits only. ``limits`` cuts text columns to the published byte limits
+    and caps strict staff counts; without it values are whole and strict counts long.
     """
     f = {n: _field(rows, n) for n in ("capital", "capital_paid", "established", "approved")}
-    name = byte_truncate(clean(_field(rows, "name")), 300)
+    name = _cut(limits, clean(_field(rows, "name")), 300)
     folder = F.col("src_group") if by_folder and "src_group" in rows.columns else None
     status, province = clean(_field(rows, "status")), clean(_field(rows, "province"))
     if normalised:
@@ -82,28 +87,28 @@ def company_columns(
     staff = clean(_field(rows, "insured"))
     if strict_staff:
         number = F.when(staff.rlike("^[0-9]+$"), staff.try_cast("long"))
-        number = F.least(number, F.lit(INSURED_CAP)).cast("int")
+        number = F.least(number, F.lit(INSURED_CAP)).cast("int") if limits else number
     else:
         number = ct.digits(staff).try_cast("int")
     out = {
         "company_name": name,
-        "status": byte_truncate(status, 32),
-        "scale": byte_truncate(clean(_field(rows, "scale")), 16),
+        "status": _cut(limits, status, 32),
+        "scale": _cut(limits, clean(_field(rows, "scale")), 16),
         "capital_wan": capital_wan(f["capital"], name),
-        "capital_currency": byte_truncate(capital_currency(f["capital"]), 16),
+        "capital_currency": _cut(limits, capital_currency(f["capital"]), 16),
         "capital_paid_wan": capital_wan(f["capital_paid"], name),
         "established": dates.parse_date(f["established"]),
         "approved": dates.parse_date(f["approved"]),
-        "province": byte_truncate(province, 32),
-        "city": byte_truncate(clean(_field(rows, "city")), 64),
-        "district": byte_truncate(clean(_field(rows, "district")), 64),
+        "province": _cut(limits, province, 32),
+        "city": _cut(limits, clean(_field(rows, "city")), 64),
+        "district": _cut(limits, clean(_field(rows, "district")), 64),
         "insured_count": number,
         "address_mail": ct.mail_addresses(_field(rows, "address_mail")),
         "intro": clean(_field(rows, "intro")),
         "scope": clean(_field(rows, "scope")),
     }
     for column, (field, limit) in LIMITED.items():
-        out[column] = byte_truncate(clean(_field(rows, field)), limit)
+        out[column] = _cut(limits, clean(_field(rows, field)), limit)
     return out
 
 
@@ -137,14 +142,14 @@ def _unique_contacts(rows: DataFrame, arrival: list[str], first_wins: bool) -> D
 # --- registry ---------------------------------------------------------------------
 
 
-def keyed_registry(rows: DataFrame) -> DataFrame:
+def keyed_registry(rows: DataFrame, limits: bool = False) -> DataFrame:
     """Registry rows with a name, their company key and their completeness score.
 
     Only what ranks a row is computed here; the fields are cleaned after the
     best row per company is known.
     """
     fields = [c for c in rows.columns if c not in ("src_group", "src_file", "row_no")]
-    name = byte_truncate(clean(F.col("name")), 300)
+    name = _cut(limits, clean(F.col("name")), 300)
     return rows.filter(~is_empty(F.col("name"))).select(
         identity.entity_code(F.col("credit"), name).alias(CODE), name.alias("company_name"),
         filled_count([F.col(c) for c in fields]).alias("fill_score"), *rows.columns,
@@ -159,10 +164,10 @@ def _contact_arrays(rows: DataFrame) -> dict[str, Column]:
     }
 
 
-def registry_companies(keyed: DataFrame, as_of: Column, arrival: list[str]) -> DataFrame:
+def registry_companies(keyed: DataFrame, as_of: Column, arrival: list[str], limits: bool = False) -> DataFrame:
     """The fullest row per company over all files, cleaned; the earliest of equals."""
     best = keep_best(keyed, [CODE], "fill_score", arrival)
-    columns = company_columns(best, normalised=True, strict_staff=True, by_folder=True)
+    columns = company_columns(best, normalised=True, strict_staff=True, by_folder=True, limits=limits)
     del columns["company_name"]
     kept = [c for c in ("src_group", "src_file", "row_no") if c in best.columns]
     cleaned = best.select(
@@ -202,21 +207,21 @@ def registry_contacts(keyed: DataFrame, arrival: list[str], source: str, collect
 # --- monthly increment ---------------------------------------------------------------
 
 
-def monthly_companies(rows: DataFrame, as_of: Column, arrival: list[str]) -> DataFrame:
+def monthly_companies(rows: DataFrame, as_of: Column, arrival: list[str], limits: bool = False) -> DataFrame:
     """Several rows per company, one mobile each, folded to one company row.
 
     The fullest row gives the fields; flags and counts cover the mobiles of all
     rows. Scores start at 300 so that the increment replaces registry rows.
     """
-    name = byte_truncate(clean(F.col("name")), 300)
+    name = _cut(limits, clean(F.col("name")), 300)
     keyed = rows.filter(~is_empty(F.col("name"))).select(
         identity.entity_code(F.col("credit"), name).alias(CODE),
         (filled_count([F.col(c) for c in MONTHLY]) + MONTHLY_BONUS).alias("fill_score"), *rows.columns,
     )
     best = keep_best(keyed, [CODE], "fill_score", arrival)
     place = region.region_parts(F.col("region"))
-    columns = company_columns(best, normalised=True, strict_staff=True)
-    columns |= {n: byte_truncate(place[n], 64) for n in ("province", "city", "district")}
+    columns = company_columns(best, normalised=True, strict_staff=True, limits=limits)
+    columns |= {n: _cut(limits, place[n], 64) for n in ("province", "city", "district")}
     cleaned = best.select(CODE, *[c.alias(n) for n, c in columns.items()], "fill_score", *arrival)
     cleaned = cleaned.withColumn("company_age", dates.company_age(F.col("established"), as_of))
     numbers = keyed.select(CODE, F.explode(ct.mobiles(F.col("mobile"), F.lit(""))).alias("mobile")).distinct()
@@ -235,11 +240,11 @@ def monthly_companies(rows: DataFrame, as_of: Column, arrival: list[str]) -> Dat
 # --- enrichment ------------------------------------------------------------------------
 
 
-def _enrichment(rows: DataFrame, fields, arrival: list[str], normalised: bool) -> DataFrame:
+def _enrichment(rows: DataFrame, fields, arrival: list[str], normalised: bool, limits: bool) -> DataFrame:
     """The fullest row per valid code, with its own completeness as ``own_score``."""
     coded = rows.withColumn("credit", identity.normal_code(F.col("credit")))
     coded = coded.filter(identity.is_credit_code(F.col("credit")))
-    columns = company_columns(coded, normalised, strict_staff=False)
+    columns = company_columns(coded, normalised, strict_staff=False, limits=limits)
     name = F.coalesce(columns["company_name"], F.col("credit"))
     kept = [c for c in ("mobile", "landline", "phone", "email", "email2") if c in rows.columns]
     selected = coded.select(
@@ -251,18 +256,18 @@ def _enrichment(rows: DataFrame, fields, arrival: list[str], normalised: bool) -
     return keep_best(scored, [CODE], "own_score", arrival)
 
 
-def chain_enrichment(rows: DataFrame, arrival: list[str]) -> DataFrame:
-    return _enrichment(rows, CHAIN_FIELDS, arrival, normalised=False)
+def chain_enrichment(rows: DataFrame, arrival: list[str], limits: bool = False) -> DataFrame:
+    return _enrichment(rows, CHAIN_FIELDS, arrival, normalised=False, limits=limits)
 
 
-def national_enrichment(rows: DataFrame, arrival: list[str]) -> DataFrame:
+def national_enrichment(rows: DataFrame, arrival: list[str], limits: bool = False) -> DataFrame:
     named = rows.filter(~is_empty(F.col("name")))
-    return _enrichment(named, NATIONAL_FIELDS, arrival, normalised=True)
+    return _enrichment(named, NATIONAL_FIELDS, arrival, normalised=True, limits=limits)
 
 
-def certificate_enrichment(rows: DataFrame, arrival: list[str]) -> DataFrame:
+def certificate_enrichment(rows: DataFrame, arrival: list[str], limits: bool = False) -> DataFrame:
     named = rows.filter(~is_empty(F.col("name")))
-    return _enrichment(named, CERTIFICATE_FIELDS, arrival, normalised=True)
+    return _enrichment(named, CERTIFICATE_FIELDS, arrival, normalised=True, limits=limits)
 
 
 def enrich_from_chain(companies: DataFrame, source: DataFrame) -> DataFrame:
@@ -320,7 +325,7 @@ def enrichment_contacts(
 # --- industry-chain tags -----------------------------------------------------------------
 
 
-def chain_tag_rows(rows: DataFrame) -> DataFrame:
+def chain_tag_rows(rows: DataFrame, limits: bool = False) -> DataFrame:
     """Tag fields of chain rows with a valid code."""
     levels = tags.chain_levels(*[_field(rows, f"l{i}") for i in range(1, 9)])
     folder = F.col("src_group") if "src_group" in rows.columns else F.lit("")
@@ -328,7 +333,7 @@ def chain_tag_rows(rows: DataFrame) -> DataFrame:
     kept = [c for c in ("src_file", "row_no") if c in rows.columns]
     return coded.filter(identity.is_credit_code(F.col("credit"))).select(
         F.col("credit").alias(CODE),
-        byte_truncate(F.coalesce(clean(_field(rows, "name")), F.col("credit")), 300).alias("company_name"),
+        _cut(limits, F.coalesce(clean(_field(rows, "name")), F.col("credit")), 300).alias("company_name"),
         tags.chain_industry(levels, folder).alias("industry"),
         tags.chain_path(levels, _field(rows, "node")).alias("node_path"),
         clean(_field(rows, "position")).alias("position"),
@@ -429,7 +434,7 @@ def add_honor(existing: DataFrame, certified: DataFrame, honor: str = HIGH_TECH_
 # --- certificates --------------------------------------------------------------------------
 
 
-def certificates(rows: DataFrame, source: str, arrival: list[str], year: str | None = None) -> DataFrame:
+def certificates(rows: DataFrame, source: str, arrival: list[str], year: str | None = None, limits: bool = False) -> DataFrame:
     """Certificate rows, the last one per (company, type, number)."""
     given = _field(rows, "year") if year is None else F.lit(year)
     code = identity.normal_code(F.col("credit"))
@@ -437,10 +442,10 @@ def certificates(rows: DataFrame, source: str, arrival: list[str], year: str | N
     kept = kept.filter(identity.is_credit_code(F.col("credit")))
     lines = kept.select(
         F.col("credit").alias(CODE), F.lit(HIGH_TECH_TYPE).alias("qual_type"),
-        byte_truncate(
-            tags.certificate_number(_field(rows, "cert_no"), clean(given), F.col("credit")), 64
+        _cut(
+            limits, tags.certificate_number(_field(rows, "cert_no"), clean(given), F.col("credit")), 64
         ).alias("cert_no"),
-        byte_truncate(clean(F.col("name")), 300).alias("company_name"),
+        _cut(limits, clean(F.col("name")), 300).alias("company_name"),
         clean(given).alias("cert_year"),
         dates.parse_date(_field(rows, "issue_date")).alias("issue_date"),
         dates.parse_valid_to(_field(rows, "valid_to")).alias("valid_to"),

@@ -84,3 +84,17 @@ def test_token_queries_read_whole_texts(spark):
     index = build_postings(docs, "id", "text")
     assert sorted(map(tuple, match_all(index, queries, "id").collect())) == [(1, 1), (2, 1), (2, 2), (2, 3), (3, 3)]
     assert sorted(map(tuple, best_any(index, queries, "id", 1).collect())) == [(1, 1, 6), (2, 1, 1), (3, 3, 2)]
+
+
+def test_loads_keep_whole_values_unless_limited(spark):
+    fields = ("name", "credit", "address", "website", "former", "insured", "mobile", "landline", "email", "email2")
+    row = ("名" * 150, "91330100MA2ABCDEFG", "路" * 400, "w" * 700, "f" * 900, "3000000", "", "", "", "")
+    rows = spark.createDataFrame([(*row, "a")], ", ".join(f"{f} string" for f in (*fields, "src_file")))
+    as_of = F.lit("2026-01-01").cast("date")
+    columns = ["company_name", "address", "website", "former_name", "insured_count"]
+    whole = load.registry_companies(load.keyed_registry(rows), as_of, ["src_file"]).select(columns).first()
+    assert tuple(whole) == (row[0], row[2], row[3], row[4], 3_000_000)
+    cut = load.registry_companies(load.keyed_registry(rows, limits=True), as_of, ["src_file"], limits=True).select(columns).first()
+    assert [len(v.encode()) for v in cut[:4]] == [300, 498, 300, 500] and cut["insured_count"] == 2_000_000
+    certs = rows.selectExpr("*", "repeat('c', 90) as cert_no")
+    assert load.certificates(certs, "table", ["src_file"]).first()["company_name"] == row[0]
