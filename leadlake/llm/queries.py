@@ -9,6 +9,7 @@ from leadlake.llm import (
     chat,
     decontaminate,
     exact_dedup,
+    filter_audit,
     language_id,
     line_dedup,
     minhash,
@@ -212,3 +213,44 @@ SELECT doc_id, item_id, max(same) AS equal_tokens FROM matched WHERE same >= nee
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "equal_tokens")
+
+
+@query("op12_filter_audit", r"""
+WITH read AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+fails AS (
+  SELECT r.doc_id, part, l.quality, l.toxic, [
+      len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+      regexp_matches(t, '[#$%&*|]'), coalesce(r.doc_id > min(r.doc_id) OVER (PARTITION BY t), false)] AS f
+  FROM read r LEFT JOIN labels l ON l.doc_id = r.doc_id),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, ascii(filter_order[step]) - 64 AS own,
+         [ascii(x) - 64 FOR x IN string_split(left(filter_order, step - 1), '')] AS earlier
+  FROM orders, range(1, 6) s(step)),
+cells AS (
+  SELECT part, f, count(*) AS n, count(CASE WHEN quality = 1 THEN 1 END) AS good, count(CASE WHEN toxic = 1 THEN 1 END) AS toxic
+  FROM fails GROUP BY part, f),
+told AS (
+  SELECT part, filter_order, step, own, n, good, toxic, f[own] AS hit, len([1 FOR x IN earlier IF f[x]]) > 0 AS gone,
+         len([1 FOR x IN f IF x]) = 1 AS single
+  FROM steps, cells),
+counted AS (
+  SELECT part, filter_order, step, own,
+         CAST(sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN hit AND single THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM told GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+""")
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
