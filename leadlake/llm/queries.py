@@ -12,6 +12,7 @@ from leadlake.llm import (
     filter_audit,
     language_id,
     line_dedup,
+    merkle,
     minhash,
     mixing,
     sharding,
@@ -254,3 +255,50 @@ FROM counted
 """)
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_merkle_manifest", r"""
+WITH RECURSIVE coded AS (
+  SELECT doc_id, lang, n_chars,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+           || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail,
+         list_reduce(list_concat([4294967295], [ascii(x) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+           lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]),
+             lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS rest
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') || tail) AS leaf,
+         CASE WHEN xor(rest, 4294967295) % 7 = 0 THEN
+           sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || CAST(n_chars + 1 AS VARCHAR), '-') || tail) END AS other,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM coded),
+low(lang, level, i, n, h) AS (
+  SELECT lang, 0, i, n, leaf FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY lang, level, i // 2, (n + 1) // 2),
+subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+high(level, i, n, h) AS (
+  SELECT 0, i, n, subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY level, i // 2, (n + 1) // 2),
+walk(doc_id, lang, level, i, n, proof, node) AS (
+  SELECT doc_id, lang, 0, i, n, '', coalesce(other, leaf) FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.level + 1, w.i // 2, (w.n + 1) // 2, proof || coalesce(s.h, ''),
+         sha256(CASE WHEN w.i % 2 = 1 THEN s.h || node ELSE node || coalesce(s.h, '') END)
+  FROM walk w LEFT JOIN low s ON s.lang IS NOT DISTINCT FROM w.lang AND s.level = w.level AND s.i = xor(w.i, 1) WHERE w.n > 1),
+rise(doc_id, lang, level, i, n, proof, node) AS (
+  SELECT w.doc_id, w.lang, 0, s.i, s.n, proof, node FROM walk w JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.level + 1, w.i // 2, (w.n + 1) // 2, proof || coalesce(s.h, ''),
+         sha256(CASE WHEN w.i % 2 = 1 THEN s.h || node ELSE node || coalesce(s.h, '') END)
+  FROM rise w LEFT JOIN high s ON s.level = w.level AND s.i = xor(w.i, 1) WHERE w.n > 1)
+SELECT l.doc_id, l.leaf, s.subroot, r.h AS root, sha256(w.proof) AS proof_sha256, w.node AS folded_root, w.node = r.h AS verified
+FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang
+JOIN rise w ON w.n = 1 AND w.doc_id IS NOT DISTINCT FROM l.doc_id CROSS JOIN (SELECT h FROM high WHERE n = 1) r
+""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.prove_documents(docs, tampered=tampered, changed={"n_chars": F.col("n_chars") + 1})
