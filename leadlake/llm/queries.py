@@ -15,6 +15,7 @@ from leadlake.llm import (
     merkle,
     minhash,
     mixing,
+    passages,
     sharding,
     token_binary,
     warc,
@@ -302,3 +303,21 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     return merkle.prove_documents(docs, tampered=tampered, changed={"n_chars": F.col("n_chars") + 1})
+
+
+@query("op13_substring_dedup", r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35),
+c AS (SELECT r, p, count(*) OVER (PARTITION BY array_to_string(w[p:p + 34], ' ')) AS n FROM s),
+covered AS (SELECT DISTINCT r, p + unnest(range(35)) AS at FROM c WHERE n > 1),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d),
+kept AS (
+  SELECT x.r, count(*) AS n_words, count(c.at) AS n_removed,
+         string_agg(CASE WHEN c.at IS NULL THEN word END, ' ' ORDER BY x.at) AS kept
+  FROM words x LEFT JOIN covered c ON c.r = x.r AND c.at = x.at GROUP BY x.r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.r = d.r
+""")
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = passages.remove_passages(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
