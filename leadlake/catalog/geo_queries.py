@@ -203,21 +203,63 @@ def address_geocode(spark, sf_dir):
     return div.geocode_by_address(c, known).select("credit_code", "geo_precision")
 
 
+#: Requests of each kind: as registered, wrong district, unknown city with and without a known district, without
+#: district, without street, province alone, city alone, nothing, and nothing that is known.
+ASKED = {
+    "province": ("province", "province", "province", "province", "province", "province", "province", "", "", "火星省"),
+    "city": ("city", "city", "未知市", "未知市", "city", "city", "", "city", "", "未知市"),
+    "district": ("district", "无此区", "district", "", "", "district", "", "", "", "无此区"),
+    "street": ("street", "street", "street", "", "street", "", "", "", "", "street"),
+}
+
+
+def asked_sql(part):
+    forms = " ".join(
+        f"WHEN {i} THEN {'coalesce(' + part + ', ' + chr(39) * 2 + ')' if form == part else chr(39) + form + chr(39)}" for i, form in enumerate(ASKED[part])
+    )
+    return f"CASE kind {forms} END AS {part}"
+
+
+def hits_sql(rank, zoom, level, condition, later="0"):
+    return f"""
+    SELECT r.credit_code, r.kind, {rank} AS rank, {later} AS later, v.row_key, v.center_lng, v.center_lat, {zoom} AS zoom, v.province AS fp, v.city AS fc, v.district AS fd, v.street AS fs
+    FROM keyed AS r JOIN divisions AS v ON v.level = '{level}' AND v.center_lng IS NOT NULL AND {condition}"""
+
+
+WITHIN = "r.city <> '' AND v.city = r.tree_city"
+BELOW = "r.city <> '' AND r.district <> ''"
+
+
 @query(
     "admin_center",
     f"""
-    WITH {PLACES}
-    SELECT c.credit_code, 1 AS found, CASE c.precision WHEN 'street' THEN 15 WHEN 'district' THEN 13 ELSE CASE WHEN ct.lng IS NOT NULL THEN 11 ELSE 8 END END AS zoom,
-           round(coalesce(c.plng, ct.lng, p.center_lng), 6) AS lng
-    FROM placed AS c LEFT JOIN (SELECT city, arg_min(center_lng, row_key) AS lng FROM divisions WHERE level = 'city' GROUP BY city) AS ct ON ct.city = {TREE_CITY.format(c='c')}
-         LEFT JOIN divisions AS p ON p.level = 'province' AND p.province = c.province""",
+    WITH asked AS MATERIALIZED (SELECT credit_code, kind, {", ".join(asked_sql(part) for part in ASKED)} FROM companies, range({len(ASKED["city"])}) AS t(kind)),
+    keyed AS MATERIALIZED (SELECT *, CASE WHEN r.city LIKE '%直辖%' THEN r.district ELSE ({words(v.TREE_CITIES)})[list_position({words(v.CITIES)}, r.city)] END AS tree_city FROM asked AS r),
+    hits AS ({hits_sql(1, 15, "street", f"{WITHIN} AND {BELOW} AND r.street <> '' AND v.district = r.district AND v.street = r.street")}
+      UNION ALL {hits_sql(2, 15, "street", f"{WITHIN} AND {BELOW} AND r.street <> '' AND v.street = r.street")}
+      UNION ALL {hits_sql(3, 13, "district", f"{WITHIN} AND {BELOW} AND v.district = r.district")}
+      UNION ALL {hits_sql(4, 13, "district", f"{BELOW} AND r.province <> '' AND v.province = r.province AND v.district = r.district")}
+      UNION ALL {hits_sql(5, 11, "city", WITHIN)}
+      UNION ALL {hits_sql(6, 11, "city", "r.city <> '' AND r.province <> '' AND v.province = r.province", "CASE WHEN v.city LIKE '%城区%' THEN 0 ELSE 1 END")}
+      UNION ALL {hits_sql(7, 8, "province", "r.province <> '' AND v.province = r.province")}),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY credit_code, kind ORDER BY rank, later, row_key, fp, fc, fd, fs) AS rn FROM hits) AS x WHERE rn = 1)
+    SELECT r.credit_code, r.kind, CASE WHEN b.rn = 1 THEN 1 ELSE 0 END AS found,
+           coalesce(b.zoom, CASE WHEN r.province <> '' THEN 8 WHEN r.city <> '' THEN 11 ELSE 10 END) AS zoom,
+           round(b.center_lng, 6) AS lng, round(b.center_lat, 6) AS lat,
+           coalesce(nullif(r.street, ''), nullif(r.district, ''), nullif(r.city, ''), r.province) AS name,
+           coalesce(nullif(b.fp, ''), r.province) AS found_province, coalesce(nullif(CASE WHEN rank < 7 THEN b.fc END, ''), r.city) AS found_city,
+           coalesce(nullif(CASE WHEN rank < 5 THEN b.fd END, ''), r.district) AS found_district,
+           coalesce(nullif(CASE WHEN rank < 3 THEN b.fs END, ''), r.street) AS found_street
+    FROM keyed AS r LEFT JOIN best AS b ON b.credit_code = r.credit_code AND b.kind = r.kind""",
     ("companies", "divisions"),
 )
 def admin_center(spark, sf_dir):
-    c = d.companies(spark, sf_dir).select("credit_code", "province", "city", "district", "street")
-    centres = div.admin_centres(c, d.divisions(spark, sf_dir))
-    return centres.select(
-        "credit_code", F.col("ok").cast("int").alias("found"), "zoom", F.round("lng", 6).alias("lng")
+    form = lambda part, i: F.coalesce(F.col(part), F.lit("")) if ASKED[part][i] == part else F.lit(ASKED[part][i])
+    kinds = [F.struct(F.lit(i).alias("kind"), *[form(part, i).alias(part) for part in ASKED]) for i in range(len(ASKED["city"]))]
+    asked = d.companies(spark, sf_dir).select("credit_code", F.explode(F.array(*kinds)).alias("r")).select("credit_code", "r.*")
+    return div.admin_centres(asked, d.divisions(spark, sf_dir)).select(
+        "credit_code", "kind", F.col("ok").cast("int").alias("found"), "zoom", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"),
+        "name", *[f"found_{part}" for part in div.PLACE],
     )
 
 

@@ -305,39 +305,104 @@ def geocode_by_address(companies: DataFrame, points: DataFrame) -> DataFrame:
     ).drop("__place", "__point")
 
 
+#: Lookups of a map centre in their order: level that answers, zoom, and the parts of the request that must be filled.
+CENTRE_LOOKUPS = (
+    ("street", "street", 15, ("city", "district", "street")),
+    ("street of the city", "street", 15, ("city", "district", "street")),
+    ("district", "district", 13, ("city", "district")),
+    ("district of the province", "district", 13, ("city", "district", "province")),
+    ("city", "city", 11, ("city",)),
+    ("first city of the province", "city", 11, ("city", "province")),
+    ("province", "province", 8, ("province",)),
+)
+PLACE = ("province", "city", "district", "street")
+
+
+def _lookup_keys(lookup: str, place: dict[str, Column]) -> list[Column]:
+    """The two or three texts that must be equal in a request and a division."""
+    none = F.lit("")
+    keys = {
+        "street": [place["city"], place["district"], place["street"]],
+        "street of the city": [place["city"], none, place["street"]],
+        "district": [place["city"], place["district"], none],
+        "district of the province": [place["province"], place["district"], none],
+        "city": [place["city"], none, none],
+        "first city of the province": [place["province"], none, none],
+        "province": [place["province"], none, none],
+    }
+    return keys[lookup]
+
+
+def _keyed(rank: int, keys: list[Column], *more: Column) -> Column:
+    return F.struct(F.lit(rank).alias("rank"), *[k.alias(f"key{i}") for i, k in enumerate(keys)], *more)
+
+
 def admin_centres(requests: DataFrame, divisions: DataFrame) -> DataFrame:
-    """Map centre and zoom for requests (request_id, province, city, district, street).
+    """Map centre and zoom for requests (province, city, district, street, …).
+
+    Street, else the street anywhere in the city, district, the district anywhere
+    in the province, city, the first city of the province (urban areas first), or the
+    province. Every request becomes its ranked lookups and every division the keys it
+    is found by; one join and the least rank give the answer, so the partial
+    minimum is taken before the only shuffle. Of several divisions the one with the
+    least row_key, then place, answers.
 
-    Street, else district, else city, else province; the zoom is that of the
-    level that answered.
+    Adds ok, lng, lat, zoom, name and the place that was found. A request without
+    answer has the zoom of its widest filled part.
     """
-    placed = locate(requests, divisions)
-    city_name = F.when(
-        region.is_placeholder_city(F.col("city")), region.text(F.col("district"))
-    ).otherwise(region.text(F.col("city")))
-    keyed = placed.withColumns(
-        {"city_key": city_name, "province_key": region.text(F.col("province"))}
-    )
-    cities = _centres(divisions, "city", ["city_key"], "__city")
-    centres = divisions.filter((F.col("level") == "province") & F.col("center_lng").isNotNull())
-    provinces = centres.groupBy(region.text(F.col("province")).alias("province_key")).agg(
-        F.min(F.struct("row_key", F.col("center_lng").alias("lng"), F.col("center_lat").alias("lat")))
-        .alias("__province")
+    own = {c: region.text(F.col(c)) for c in PLACE}
+    city = F.col("city_name")
+    lookups = F.array(*[
+        F.when(
+            F.array_min(F.array(*[F.length(own[c]) for c in needed])) > 0, _keyed(rank, _lookup_keys(name, {**own, "city": city}))
+        )
+        for rank, (name, _, _, needed) in enumerate(CENTRE_LOOKUPS)
+    ])
+    numbered = requests.withColumn("request", F.struct(*requests.columns)).withColumn("request_no", F.monotonically_increasing_id())
+    # A request without city still has its lookup by province.
+    names = F.when(own["city"] == "", F.array(F.lit(""))).otherwise(region.city_names(F.col("city"), F.col("district")))
+    asked = (
+        numbered.withColumn("city_name", F.explode(names))
+        .select("request_no", "request", F.explode_outer(F.filter(lookups, lambda x: x.isNotNull())).alias("ask"))
+        .select("request_no", "request", "ask.*")
     )
-    keyed = keyed.join(cities, "city_key", "left").join(provinces, "province_key", "left")
 
-    def answer(point: str, zoom: int) -> Column:
-        return F.when(
-            F.col(point).isNotNull(),
-            F.struct(F.col(f"{point}.lng").alias("lng"), F.col(f"{point}.lat").alias("lat"), F.lit(zoom).alias("zoom")),
+    place = {c: region.text(F.col(c)) for c in PLACE}
+    kept = {
+        "street": PLACE, "district": PLACE[:3], "city": PLACE[:2], "province": PLACE[:1],
+    }
+    answers = F.array(*[
+        F.when(
+            F.col("level") == level,
+            _keyed(
+                rank, _lookup_keys(name, place),
+                F.when(place["city"].contains("城区") | F.lit(name != "first city of the province"), 0).otherwise(1).alias("later"),
+                F.struct(
+                    *[(F.nullif(place[c], F.lit("")) if c in kept[level] else F.lit(None).cast("string")).alias(c) for c in PLACE],
+                    F.col("center_lng").alias("lng"), F.col("center_lat").alias("lat"), F.lit(zoom).alias("zoom"),
+                ).alias("centre"),
+            ),
         )
-
-    exact = F.when(F.col("place.precision") == "street", answer("place", 15)).otherwise(answer("place", 13))
-    best = F.coalesce(exact, answer("__city", 11), answer("__province", 8))
-    return keyed.withColumn("centre", best).select(
-        *requests.columns,
-        F.col("centre").isNotNull().alias("ok"), F.col("centre.lng").alias("lng"),
-        F.col("centre.lat").alias("lat"), F.col("centre.zoom").alias("zoom"),
+        for rank, (name, level, zoom, _) in enumerate(CENTRE_LOOKUPS)
+    ])
+    found = (
+        divisions.filter(F.col("center_lng").isNotNull())
+        .select("row_key", F.explode(F.filter(answers, lambda x: x.isNotNull())).alias("answer")).select("row_key", "answer.*")
+    )
+    order = F.struct("rank", "later", "row_key", "centre")
+    best = (
+        asked.join(found, ["rank", "key0", "key1", "key2"], "left")
+        .groupBy("request_no").agg(F.any_value("request").alias("request"), F.min_by("centre", F.when(F.col("row_key").isNotNull(), order)).alias("centre"))
+    )
+    filled_part = {c: region.text(F.col(f"request.{c}")) for c in PLACE}
+    widest = F.when(filled_part["province"] != "", 8).when(filled_part["city"] != "", 11).otherwise(10)
+    ok = F.col("centre.lng").isNotNull() & F.col("centre.lat").isNotNull()
+    named = F.coalesce(*[F.nullif(filled_part[c], F.lit("")) for c in reversed(PLACE)], F.lit(""))
+    return best.select(
+        *[F.col(f"request.`{c}`").alias(c) for c in requests.columns],
+        ok.alias("ok"), F.when(ok, F.col("centre.lng")).alias("lng"), F.when(ok, F.col("centre.lat")).alias("lat"),
+        F.coalesce("centre.zoom", widest).alias("zoom"), named.alias("name"),
+        *[F.coalesce(F.col(f"centre.{c}"), filled_part[c]).alias(f"found_{c}") for c in PLACE],
     )
 
 
