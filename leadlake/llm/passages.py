@@ -8,10 +8,12 @@ its first ``PREFIX`` words, and the rest, each a 64-bit hash of its words.
 1. Prefix census. Every window holds a sampled prefix: the one of least hash that
    begins and ends inside it. Equal windows hold equal ones. Sampled prefixes are
    counted over all documents; a window whose sampled prefix occurs once has no
-   partner, and its suffix is put into no tree.
-2. Local trees. A task sorts the labels of its remaining suffixes. What repeats
-   inside the task is known then, and each node leaves the task as one row,
-   however many copies it has.
+   partner, and its suffix is put into no tree. A task announces a prefix once,
+   however often it occurs there.
+2. Local trees. Documents are dealt out by the least of their repeated prefixes, so
+   that copies meet; documents of a frequent one are spread. A task sorts the
+   labels of its remaining suffixes. What repeats inside the task is known then, and
+   each node leaves the task as one row, however many copies it has.
 3. Partitioned trees. Nodes are split into groups by prefix. Groups above the
    limit take longer prefixes, up to the whole label, so that only copies of one
    window stay together: one per task that has it. A group's tree is its
@@ -19,7 +21,8 @@ its first ``PREFIX`` words, and the rest, each a 64-bit hash of its words.
    its deep nodes go back to their documents.
 4. Words covered by a repeated window are cut out.
 
-Texts move for documents with repeated prefixes only, by their keys.
+Texts move by their keys to meet their repeated prefixes; only documents that have
+some are kept then, and what the others hold is known from the census.
 
 Defined results: a null or empty text has no words; a document of fewer than
 ``WINDOW`` words has no window; rows that repeat id and text repeat each other's
@@ -30,8 +33,10 @@ as they are, separated by ASCII white space. Only id and text are read.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlake.llm.common import column, folder, map_arrow, stored
@@ -42,6 +47,8 @@ WINDOW, PREFIX = 35, 16
 PIECE_BYTES, CHUNK_WORDS = 4 << 20, 1 << 20
 #: Nodes of a group.
 GROUP_NODES = 1 << 18
+#: Documents that the same prefix brings together.
+LEAD_DOCS = 2048
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
@@ -229,48 +236,77 @@ def _looks(texts, window: int, prefix: int):
         yield np.arange(row, row + n), at, own, Windows(words[begin : begin + size], own, window, prefix)
 
 
+CENSUS = (
+    "doc_id long, k1 long, k2 long, n_words long, whole_sha256 string, once array<long>, twice array<long>, told array<long>"
+)
+
+
+def _lists(values: np.ndarray, owners: np.ndarray, n: int):
+    """Values by owner, as an Arrow array of ``n`` lists; owners ascend."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owners, np.arange(n + 1)), pa.int32()), pa.array(values.view(np.int64)))
+
+
 def _census(window: int, prefix: int):
-    """(k1, k2, text) to (k1, k2, anchors): the sampled prefixes of a document, with repetitions."""
+    """(doc_id, k1, k2, text) to CENSUS.
+
+    once: sampled prefixes that no other place of the batch samples; twice: those that
+    some place does; told: of the latter, those that this row announces for the batch.
+    """
 
     def census(batches):
+        import hashlib
+
         import pyarrow as pa
 
         for batch in batches:
-            for rows, _, counts, found in _looks(batch.column(2), window, prefix):
+            n, n_words, digests, values, owners = batch.num_rows, [], [], [], []
+            for text in batch.column(3):
+                words = (text.as_py() or b"").split()
+                n_words.append(len(words))
+                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            for rows, _, counts, found in _looks(batch.column(3), window, prefix):
                 places = found.anchors()
-                bounds = np.searchsorted(places, np.concatenate([[0], np.cumsum(counts)]))
-                values = pa.array(found.prefixes[places].view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)],
-                    names=["k1", "k2", "anchors"],
-                )
+                values.append(found.prefixes[places])
+                owners.append(rows[np.searchsorted(np.cumsum(counts), places, "right")])
+            value, owner = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((values, np.uint64), (owners, np.int64)))
+            order = np.lexsort((owner, value))
+            value, owner = value[order], owner[order]
+            new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.empty(0, bool)
+            single = new & np.append(new[1:], True)
+            first_of_row = new | np.concatenate([[True], owner[1:] != owner[:-1]]) if len(value) else new
+            lists = []
+            for chosen in (single, ~single & first_of_row, ~single & new):
+                own = np.flatnonzero(chosen)
+                own = own[np.argsort(owner[own], kind="stable")]
+                lists.append(_lists(value[own], owner[own], n))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(n_words, pa.int64()), pa.array(digests, pa.string()), *lists],
+                names=[f.split()[0] for f in CENSUS.split(", ")],
+            )
 
     return census
 
 
-#: A node (prefix and rest given; key and place if it has one leaf), or a run of repeated windows (prefix null).
-LOCAL = "prefix long, rest long, many boolean, k1 long, k2 long, begin long, length long"
-HITS = "k1 long, k2 long, begin long, length long"
-
-
-def _arrays(names: str, *columns):
-    import pyarrow as pa
-
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[n.split()[0] for n in names.split(", ")])
+#: A node (prefix and rest given; no and begin if it has one leaf), or a run of repeated windows (prefix null).
+LOCAL = "prefix long, rest long, no long, begin long, length long"
+NODES = ("prefix", "rest", "no", "begin")
 
 
 def _local(window: int, prefix: int):
-    """(k1, k2, text, live) to LOCAL: the trees of a task's documents, chunk by chunk."""
+    """(no, text, live), copies close together, to LOCAL: the trees of a task's documents, chunk by chunk."""
 
     def local(batches):
         import pyarrow as pa
 
+        def made(*columns):
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[f.split()[0] for f in LOCAL.split(", ")])
+
         for batch in batches:
-            keys = [np.asarray(batch.column(i)) for i in (0, 1)]
-            live = batch.column(3)
-            for rows, at, counts, found in _looks(batch.column(2), window, prefix):
+            numbers, live = np.asarray(batch.column(0)), batch.column(2)
+            for rows, at, counts, found in _looks(batch.column(1), window, prefix):
                 wanted = np.unique(np.asarray(live.slice(int(rows[0]), len(rows)).flatten()).view(np.uint64))
-                # Windows are few: only they are searched for.
                 starts = np.flatnonzero(found.valid & np.isin(found.sampled, wanted))
                 if not len(starts):
                     continue
@@ -281,21 +317,18 @@ def _local(window: int, prefix: int):
                 leaves = np.diff(np.append(node, len(first)))
                 many = leaves > 1
                 bounds = np.concatenate([[0], np.cumsum(counts)])
-                owner = np.searchsorted(bounds, starts, "right") - 1
-                place, row = starts - bounds[owner] + at, rows[owner]
-                yield _arrays(
-                    LOCAL, first[node].view(np.int64), rest[node].view(np.int64), many, pa.array(keys[0][row[node]], mask=many),
-                    pa.array(keys[1][row[node]], mask=many), pa.array(place[node], pa.int64(), mask=many), pa.array(np.ones(len(node), np.int64), mask=many),
+                owner = np.searchsorted(bounds, starts[node], "right") - 1
+                yield made(
+                    first[node].view(np.int64), rest[node].view(np.int64), pa.array(numbers[rows[owner]], mask=many),
+                    pa.array(starts[node] - bounds[owner] + at, pa.int64(), mask=many), pa.nulls(len(node), pa.int64()),
                 )
-                inside = np.repeat(many, leaves)
-                runs = np.sort(starts[inside])
+                runs = np.sort(starts[np.repeat(many, leaves)])
                 if len(runs):
                     owner = np.searchsorted(bounds, runs, "right") - 1
                     new = np.flatnonzero(np.concatenate([[True], (runs[1:] != runs[:-1] + 1) | (owner[1:] != owner[:-1])]))
-                    row, length = rows[owner[new]], np.diff(np.append(new, len(runs)))
                     none = pa.nulls(len(new), pa.int64())
-                    yield _arrays(
-                        LOCAL, none, none, pa.nulls(len(new), pa.bool_()), keys[0][row], keys[1][row], runs[new] - bounds[owner[new]] + at, length.astype(np.int64),
+                    yield made(
+                        none, none, numbers[rows[owner[new]]], runs[new] - bounds[owner[new]] + at, np.diff(np.append(new, len(runs))).astype(np.int64),
                     )
 
     return local
@@ -312,7 +345,7 @@ def deep_leaves(prefix: np.ndarray, rest: np.ndarray, many: np.ndarray, window:
 
 
 def _trees(window: int, head: int):
-    """Nodes in order of their labels to HITS: single leaves below deep nodes."""
+    """Nodes in order of their labels to (no, begin): single leaves below deep nodes."""
 
     def trees(batches):
         import pyarrow as pa
@@ -321,9 +354,9 @@ def _trees(window: int, head: int):
 
         def hits(nodes):
             prefix, rest = (np.asarray(nodes.column(i)) for i in (0, 1))
-            found = deep_leaves(prefix, rest, np.asarray(nodes.column(2).cast(pa.uint8())).astype(bool), window, head)
-            chosen = nodes.filter(pa.array(found & np.asarray(nodes.column(3).is_valid())))
-            return pa.RecordBatch.from_arrays([chosen.column(i) for i in (3, 4, 5, 6)], names=["k1", "k2", "begin", "length"])
+            single = np.asarray(nodes.column(2).is_valid())
+            chosen = nodes.filter(pa.array(single & deep_leaves(prefix, rest, ~single, window, head)))
+            return pa.RecordBatch.from_arrays([chosen.column(2), chosen.column(3)], names=["no", "begin"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -335,13 +368,12 @@ def _trees(window: int, head: int):
             open_ = len(prefix) - int(((prefix == prefix[-1]) & (rest == rest[-1])).sum())
             if open_:
                 yield hits(batch.slice(0, open_))
-            tail = batch.slice(open_)
-            if tail.num_rows > 2:
-                yield hits(tail)
+            held = batch.slice(open_)
+            if held.num_rows > 2:
+                yield hits(held)
                 # What was sent need not be sent again: one row that stands for many.
-                one, none = tail.slice(0, 1), pa.nulls(1, pa.int64())
-                tail = pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array([True]), none, none, none, none], schema=tail.schema)
-            held = tail
+                one, none = held.slice(0, 1), pa.nulls(1, pa.int64())
+                held = pa.RecordBatch.from_arrays([one.column(0), one.column(1), none, none], schema=held.schema)
         if held is not None:
             yield hits(held)
 
@@ -349,18 +381,19 @@ def _trees(window: int, head: int):
 
 
 def grouped(nodes: DataFrame, path: str, limit: int = GROUP_NODES) -> DataFrame:
-    """Nodes with their group: a prefix of one length for groups that fit ``limit``, a longer one for the others.
+    """Nodes dealt out by group: a prefix of one length for groups that fit ``limit``, a longer one for the others.
 
     Sizes are counted per group, in the map tasks first. Behind the longer
     prefix only rows of one label can't be told apart.
     """
-    total = nodes.count()
-    nodes = nodes.withColumn("stem", F.pmod("prefix", F.lit(max(1, 4 * total // limit))))
+    stem = F.pmod("prefix", F.lit(max(1, 4 * nodes.count() // limit)))
     over = stored(
-        nodes.groupBy("stem").count().filter(F.col("count") > limit).select("stem", F.ceil(2 * F.col("count") / limit).cast("long").alias("parts")),
+        nodes.groupBy(stem.alias("stem")).count().filter(F.col("count") > limit)
+        .select("stem", F.ceil(2 * F.col("count") / limit).cast("long").alias("parts")),
         f"{path}/over",
     )
-    return nodes.join(over, "stem", "left").withColumn("branch", F.coalesce(F.pmod("rest", F.col("parts")), F.lit(-1))).drop("parts")
+    split = nodes.join(over, stem == F.col("stem"), "left")
+    return split.repartition(stem, F.coalesce(F.pmod("rest", F.col("parts")), F.lit(-1))).select(*NODES)
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -368,83 +401,112 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), *row_key(doc_id, text), text.cast("binary").alias("text"))
 
 
-def repeated_windows(
-    docs: DataFrame, path: str, *, window: int = WINDOW, prefix: int = PREFIX, limit: int = GROUP_NODES,
-) -> tuple[DataFrame, DataFrame]:
-    """(hits, touched) of ``docs`` (doc_id, k1, k2, text).
+def _live(census: DataFrame, path: str, most: int = LEAD_DOCS) -> DataFrame:
+    """k1, k2, no, live, lead, salt of the documents with repeated sampled prefixes; rows of one key share a number.
 
-    hits: k1, k2, spans (begin, length: words at which repeated windows begin);
-    touched: k1, k2 and text of the documents that may have some. Both are stored.
+    A prefix has one row per batch of documents, so the groups that are counted
+    here are bounded by the batches, whatever the number of copies.
     """
-    if not 0 < prefix < window:
-        raise ValueError("a prefix has at least one word and fewer than a window")
-    census = stored(
-        map_arrow(docs.select("k1", "k2", "text"), _census(window, prefix), "k1 long, k2 long, anchors array<long>").filter(F.size("anchors") > 0),
-        f"{path}/census",
+    once = census.select(F.explode("once").alias("anchor"), "no")
+    told = census.select(F.explode("told").alias("anchor"), F.lit(None).cast("long").alias("no"))
+    met = once.unionByName(told).withColumn("n", F.count("*").over(Window.partitionBy("anchor")))
+    shared = met.filter("n > 1 AND no IS NOT NULL").groupBy("no").agg(F.collect_list("anchor").alias("shared"))
+    none = F.array().cast("array<long>")
+    own = census.select("no", "k1", "k2", "twice").join(shared, "no", "left")
+    live = (
+        own.select("no", "k1", "k2", F.concat("twice", F.coalesce("shared", none)).alias("live")).filter(F.size("live") > 0)
+        .groupBy("k1", "k2").agg(F.min("no").alias("no"), F.array_distinct(F.flatten(F.collect_list("live"))).alias("live"))
+        .withColumn("lead", F.array_min("live"))
     )
-    anchors = census.select("k1", "k2", F.explode("anchors").alias("anchor"))
-    repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    live = stored(
-        anchors.join(repeated, "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("live")), f"{path}/live",
+    live = stored(live, f"{path}/live")
+    hot = stored(
+        live.groupBy("lead").count().filter(F.col("count") > most).select("lead", F.ceil(F.col("count") / most).cast("long").alias("parts")),
+        f"{path}/hot-leads",
     )
-    keys = stored(live.select("k1", "k2"), f"{path}/keys")
-    touched = stored(docs.select("k1", "k2", "text").join(keys, ["k1", "k2"], "left_semi").join(live, ["k1", "k2"]), f"{path}/touched")
-    local = stored(map_arrow(touched.select("k1", "k2", "text", "live"), _local(window, prefix), LOCAL), f"{path}/local")
-    nodes = grouped(local.filter(F.col("prefix").isNotNull()), path, limit)
-    dealt = nodes.repartition("stem", "branch").sortWithinPartitions("prefix", "rest")
-    shared = map_arrow(dealt.select(*[f.split()[0] for f in LOCAL.split(", ")]), _trees(window, prefix), HITS)
-    inside = local.filter(F.col("prefix").isNull()).select("k1", "k2", "begin", "length")
-    hits = shared.unionByName(inside).groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "length")).alias("spans"))
-    return stored(hits, f"{path}/hits"), touched.select("k1", "k2", "text")
+    return live.join(hot, "lead", "left").withColumn("salt", F.coalesce(F.pmod("no", F.col("parts")), F.lit(0))).drop("parts")
+
+
+@dataclass
+class Passages:
+    """Stored tables.
+
+    rows: CENSUS without the prefixes, one row per row of the documents; touched: k1, k2, no
+    and text of documents with repeated prefixes; hits: no and spans (begin, length):
+    words at which repeated windows begin.
+    """
 
+    rows: DataFrame
+    touched: DataFrame
+    hits: DataFrame
+    window: int
+
+
+def find_passages(
+    docs: DataFrame, *, window: int = WINDOW, prefix: int = PREFIX, limit: int = GROUP_NODES, lead_docs: int = LEAD_DOCS, work: str | None = None,
+    id_column: str = "doc_id", text_column: str = "text",
+) -> Passages:
+    """Where the repeated windows of ``docs`` begin."""
+    if not 0 < prefix < window:
+        raise ValueError("a prefix has at least one word and fewer than a window")
+    path, keyed = folder(docs.sparkSession, work), _keyed(docs, id_column, text_column)
+    census = stored(map_arrow(keyed, _census(window, prefix), CENSUS).withColumn("no", F.monotonically_increasing_id()), f"{path}/census")
+    met = keyed.select("k1", "k2", "text").join(_live(census, path, lead_docs), ["k1", "k2"])
+    touched = stored(met.repartition("lead", "salt").sortWithinPartitions("lead").select("k1", "k2", "no", "text", "live"), f"{path}/touched")
+    local = stored(map_arrow(touched.select("no", "text", "live"), _local(window, prefix), LOCAL), f"{path}/local")
+    dealt = grouped(local.filter(F.col("prefix").isNotNull()).select(*NODES), path, limit).sortWithinPartitions("prefix", "rest")
+    shared = map_arrow(dealt, _trees(window, prefix), "no long, begin long").withColumn("length", F.lit(1).cast("long"))
+    inside = local.filter(F.col("prefix").isNull()).select("no", "begin", "length")
+    hits = shared.unionByName(inside).groupBy("no").agg(F.collect_list(F.struct("begin", "length")).alias("spans"))
+    return Passages(census.select("doc_id", "k1", "k2", "n_words", "whole_sha256"), touched.select("k1", "k2", "no", "text"), stored(hits, f"{path}/hits"), window)
 
-CUT = "doc_id long, n_words long, n_removed long, kept binary"
+
+CUT = "k1 long, k2 long, n_removed long, kept binary"
 
 
 def _cut(window: int):
-    """(doc_id, text, begins, lengths) to CUT: the words that no repeated window covers, joined by one space."""
+    """(k1, k2, text, begins, lengths) to CUT: the words that no repeated window covers, joined by one space."""
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, begins, lengths in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-                words = (text.as_py() or b"").split()
-                n = len(words)
-                if begins.is_valid and len(begins.values):
-                    begin, length = np.asarray(begins.values), np.asarray(lengths.values)
-                    change = np.zeros(n + 1, np.int64)
-                    np.add.at(change, begin, 1)
-                    np.add.at(change, begin + length + window - 1, -1)
-                    stay = np.flatnonzero(np.cumsum(change[:-1]) == 0)
-                    words = [words[i] for i in stay.tolist()]
-                n_words.append(n)
-                n_removed.append(n - len(words))
-                kept.append(b" ".join(words))
+            n_removed, kept = [], []
+            for text, begins, lengths in zip(*(batch.column(i) for i in (2, 3, 4)), strict=True):
+                words = text.as_py().split()
+                begin, length = np.asarray(begins.values), np.asarray(lengths.values)
+                change = np.zeros(len(words) + 1, np.int64)
+                np.add.at(change, begin, 1)
+                np.add.at(change, begin + length + window - 1, -1)
+                stay = np.flatnonzero(np.cumsum(change[:-1]) == 0)
+                n_removed.append(len(words) - len(stay))
+                kept.append(b" ".join([words[i] for i in stay.tolist()]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_words", "n_removed", "kept"],
+                [batch.column(0), batch.column(1), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=[f.split()[0] for f in CUT.split(", ")],
             )
 
     return cut
 
 
-def remove_passages(
-    docs: DataFrame, *, window: int = WINDOW, prefix: int = PREFIX, limit: int = GROUP_NODES, work: str | None = None,
-    id_column: str = "doc_id", text_column: str = "text",
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_removed, kept (the other words, joined by one space)."""
-    path = folder(docs.sparkSession, work)
+def changed_texts(found: Passages) -> DataFrame:
+    """k1, k2, n_removed, kept of the documents that lose words; rows that repeat id and text are one row."""
+    texts = found.touched.dropDuplicates(["no"]).join(found.hits, "no")
+    cut = map_arrow(texts.select("k1", "k2", "text", F.col("spans.begin").alias("begins"), F.col("spans.length").alias("lengths")), _cut(found.window), CUT)
+    return cut.withColumn("kept", F.col("kept").cast("string"))
+
+
+def passage_digests(found: Passages) -> DataFrame:
+    """One row per row of the documents: doc_id, n_words, n_removed and the digest of the words that stay, joined by one space."""
+    changed = changed_texts(found).select("k1", "k2", "n_removed", F.sha2("kept", 256).alias("cut_sha256"))
+    return found.rows.join(changed, ["k1", "k2"], "left").select(
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"),
+    )
+
+
+def remove_passages(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_removed, kept; a text without repeated passage stays as it is."""
+    found = find_passages(docs, id_column=id_column, text_column=text_column, **options)
     keyed = _keyed(docs, id_column, text_column)
-    hits, touched = repeated_windows(keyed, path, window=window, prefix=prefix, limit=limit)
-    keys = stored(hits.select("k1", "k2"), f"{path}/hit-keys")
-    ids = stored(keyed.select("doc_id", "k1", "k2").join(keys, ["k1", "k2"], "left_semi"), f"{path}/hit-ids")
-    # Rows that repeat id and text are told apart by neither: each touched text is taken once, each id row once.
-    texts = touched.join(keys, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    begins, lengths = F.col("spans.begin").alias("begins"), F.col("spans.length").alias("lengths")
-    some = ids.join(texts.join(hits, ["k1", "k2"]), ["k1", "k2"]).select("doc_id", "text", begins, lengths)
-    none = F.lit(None).cast("array<long>")
-    others = keyed.join(keys, ["k1", "k2"], "left_anti").select("doc_id", "text", none.alias("begins"), none.alias("lengths"))
-    cut = map_arrow(some.unionByName(others), _cut(window), CUT)
-    return cut.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+    return keyed.join(changed_texts(found), ["k1", "k2"], "left").select(
+        "doc_id", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.when(F.col("n_removed").isNull(), F.col("text").cast("string")).otherwise(F.col("kept")).alias("kept"),
+    )

@@ -319,5 +319,4 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
 FROM d LEFT JOIN kept k ON k.r = d.r
 """)
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = passages.remove_passages(table(spark, sf_dir, "documents"))
-    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return passages.passage_digests(passages.find_passages(table(spark, sf_dir, "documents")))

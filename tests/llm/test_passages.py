@@ -1,11 +1,13 @@
+import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from leadlake.llm import passages
-from leadlake.llm.passages import remove_passages, word_hashes
+from leadlake.llm.passages import find_passages, passage_digests, remove_passages, word_hashes
 
 DOCS = "doc_id long, text string"
 
@@ -23,13 +25,18 @@ def brute(rows, window):
     return sorted(out, key=repr)
 
 
-def removed(docs, **options):
-    docs = docs.selectExpr("*", "1 as k1", "'x' as anchors", "2 as begin", "3 as live", "4 as prefix", "5 as stem", "6 as spans")
-    return sorted(map(tuple, remove_passages(docs, **options).collect()), key=repr)
+def removed(docs, window=35, **options):
+    """Results of texts and of digests, which must agree."""
+    docs = docs.selectExpr("*", "1 as k1", "'x' as anchors", "2 as begin", "3 as live", "4 as prefix", "5 as no", "6 as spans")
+    texts = sorted((tuple(r) for r in remove_passages(docs, window=window, **options).collect()), key=repr)
+    digests = [tuple(r) for r in passage_digests(find_passages(docs, window=window, **options)).collect()]
+    out = sorted(((i, len(re.findall(r"[^\x20\x09-\x0D]+", k or "")) + n, n, " ".join(re.findall(r"[^\x20\x09-\x0D]+", k or ""))) for i, n, k in texts), key=repr)
+    assert sorted(((i, w, n, hashlib.sha256(k.encode()).hexdigest()) for i, w, n, k in out), key=repr) == sorted(digests, key=repr)
+    return out
 
 
-@pytest.mark.parametrize(("window", "prefix", "limit"), [(4, 2, 1 << 18), (5, 1, 16), (6, 5, 1), (35, 16, 64)])
-def test_against_brute_force(spark, window, prefix, limit):
+@pytest.mark.parametrize(("window", "prefix", "limit", "lead_docs"), [(4, 2, 1 << 18, 2048), (5, 1, 16, 3), (6, 5, 1, 1), (35, 16, 64, 20)])
+def test_against_brute_force(spark, window, prefix, limit, lead_docs):
     rng = random.Random(window)
     rows = []
     for i in range(250):
@@ -42,13 +49,13 @@ def test_against_brute_force(spark, window, prefix, limit):
         rows.append((1000 + i, " ".join(own + passage[at : at + rng.randrange(1, 2 * window)] + own[::-1])))
     rows += [(2000, None), (2001, ""), (2002, " \n "), (None, rows[0][1]), (5, rows[5][1]), (3000, "same " * (3 * window)), (3001, "　".join("ab" * window))]
     docs = spark.createDataFrame(rows, DOCS).repartition(6)
-    assert removed(docs, window=window, prefix=prefix, limit=limit) == brute(rows, window)
+    assert removed(docs, window=window, prefix=prefix, limit=limit, lead_docs=lead_docs) == brute(rows, window)
 
 
 def test_a_passage_that_most_documents_share(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"a{i} {passage} b{i}") for i in range(400)] + [(i, f"c{i} d{i}") for i in range(400, 450)]
-    got = removed(spark.createDataFrame(rows, DOCS).repartition(7), limit=8)
+    got = removed(spark.createDataFrame(rows, DOCS).repartition(7), limit=8, lead_docs=50)
     assert got == brute(rows, 35) and sum(r[2] for r in got) == 400 * 60
 
 
