@@ -26,6 +26,18 @@ def text_bytes(text: Column, overhead: int = OVERHEAD) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long")
 
 
+def last_at_most(values: Column, wanted: Column) -> Column:
+    """Place of the last of ascending ``values`` that is at most ``wanted``, by halving; the first one is."""
+    def half(range_: Column, _: Column) -> Column:
+        middle = F.shiftright(range_["low"] + range_["high"] + 1, 1)
+        here = F.get(values, middle) <= wanted
+        low, high = F.when(here, middle).otherwise(range_["low"]), F.when(here, range_["high"]).otherwise(middle - 1)
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    whole = F.struct(F.lit(0).alias("low"), (F.size(values) - 1).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(values)))), whole, half)["low"]
+
+
 def assign_shards(
     rows: DataFrame, size: Column, order: list[Column], *, shards: int = SHARDS, work: str | None = None,
 ) -> DataFrame:
@@ -62,24 +74,25 @@ def assign_shards(
     )
     running = F.sum("size").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     middle = F.col("bytes_before") + F.coalesce(F.col("inside"), F.lit(0)) + F.col("size") / 2
-    # The first row of each shard: at most ``shards`` rows.
-    cuts = (
+    # Where each shard begins in each partition: at most one row per shard and one per partition.
+    runs = stored(
         ranged.select("part", "place", "size").withColumn("inside", running).join(offsets, "part")
         .withColumn("shard", F.least(F.floor(middle * shards / F.col("all_bytes")), F.lit(shards - 1)).cast("int"))
-        .groupBy("shard").agg(F.min(F.col("rows_before") + F.col("place")).alias("first"))
-        .orderBy("first").collect()
+        .groupBy("part", "shard").agg(F.min("place").alias("begin"), F.min(F.col("rows_before") + F.col("place")).alias("index")),
+        f"{path}/runs",
+    )
+    firsts = runs.groupBy("shard").agg(F.min("index").alias("first"))
+    cuts = (
+        runs.join(firsts, "shard").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("begin", "shard", "first"))).alias("cuts"))
+        .join(offsets.select("part", "rows_before"), "part")
     )
-    index = F.col("rows_before") + F.col("place")
-    if not cuts:
-        shard, first = F.lit(0), F.lit(0)
-    else:
-        shard, first = F.lit(cuts[0]["shard"]), F.lit(cuts[0]["first"])
-        for cut in cuts[1:]:
-            shard, first = F.when(index >= cut["first"], cut["shard"]).otherwise(shard), F.when(index >= cut["first"], cut["first"]).otherwise(first)
+    cut = F.get("cuts", last_at_most(F.col("cuts.begin"), F.col("place")))
     own = {"size", "shard", "slot"}
-    return ranged.join(offsets, "part").select(
+    placed = ranged.join(cuts, "part").withColumn("cut", cut)
+    return placed.select(
         *[F.col(f"_doc.`{c}`").alias(c) for c in rows.columns if c.lower() not in own],
-        F.col("size").cast("long"), shard.cast("int").alias("shard"), (index - first).cast("long").alias("slot"),
+        F.col("size").cast("long"), F.col("cut.shard").alias("shard"),
+        (F.col("rows_before") + F.col("place") - F.col("cut.first")).cast("long").alias("slot"),
     )
 
 

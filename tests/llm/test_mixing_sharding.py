@@ -90,3 +90,29 @@ def test_shard_edges(spark):
     assert sharding.shard_documents(docs.limit(0)).collect() == []
     one = sharding.shard_documents(spark.createDataFrame([(1, "a" * 1000), (2, "b")], "doc_id long, text string"), shards=4).collect()
     assert [(r["doc_id"], r["slot"]) for r in one] == [(1, 0), (2, 0)]
+
+
+@pytest.mark.parametrize(("shards", "rows"), [(500, 3000), (20_000, 30_000), (20_000, 700)])
+def test_many_shards_against_brute_force(spark, shards, rows):
+    docs = [(i, "x" * (i * 7919 % 23)) for i in range(rows)]
+    total = sum(len(t) + 1 for _, t in docs)
+    want, start, slots = {}, 0, defaultdict(int)
+    for doc_id, text in docs:
+        shard = min(shards - 1, int((start + (len(text) + 1) / 2) * shards / total))
+        want[doc_id] = (shard, slots[shard])
+        slots[shard] += 1
+        start += len(text) + 1
+    out = sharding.shard_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(6), shards=shards)
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in out.collect()} == want
+
+
+def test_shards_with_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b" * 3_000_000), (3, "c"), (4, None)], "doc_id long, text string")
+    assert [(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard_documents(docs, shards=4).orderBy("doc_id").collect()] == [
+        (1, 0, 0), (2, 1, 0), (3, 3, 0), (4, 3, 1),
+    ]
+
+
+def test_mixing_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "w " * 1_000_000, "x"), (2, "a", "y")], DOCS)
+    assert {r["_doc"]["doc_id"]: r["size"] for r in mixing.plan_mixture(docs).collect()} == {1: 1_000_000, 2: 1}
