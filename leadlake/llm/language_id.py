@@ -11,7 +11,8 @@ landmarks' n-grams, the Nyström map and the regression weights into one matrix
 The sample is bounded: up to ``SAMPLE`` distinct labelled texts of each language,
 those of the least hashes, whole; ``LANDMARKS`` of each language are landmarks. Tasks
 turn them into sets of n-grams, and the sets of the sample come to the driver to
-be fitted. Every label is learned, however many there are. Prediction reads all rows.
+be fitted; a sample above ``FITTED_BYTES`` is refused with a message. Every label is
+learned, however many there are. Prediction reads all rows.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0;
 equal texts get equal results; a row without label isn't learned from, one
@@ -35,6 +36,10 @@ ORDERS = 3
 SAMPLE, LANDMARKS = 300, 64
 #: Keys of the sample that are broadcast: up to so many rows.
 BROADCAST_SAMPLE = 200_000
+#: Slots in which the texts of a language are ranked first.
+SLOTS = 256
+#: Bytes of the sample's n-grams, and of the landmarks' matrix, that the driver takes.
+FITTED_BYTES = 1 << 30
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: Characters of a text that are looked at together, and rows in a matrix product.
@@ -81,6 +86,8 @@ def fit(sets: list[np.ndarray], labels: list[str], landmarks: list[int], ridge:
     """One-versus-rest kernel ridge regression on Nyström features of a sample."""
     languages = sorted(set(labels))
     grams = np.unique(np.concatenate([sets[i] for i in landmarks]))
+    if 4 * len(landmarks) * len(grams) > FITTED_BYTES:
+        raise ValueError(f"{len(landmarks)} landmarks with {len(grams)} n-grams don't fit {FITTED_BYTES} bytes: lower landmarks")
     presence = np.zeros((len(landmarks), len(grams)), np.float32)
     for row, i in enumerate(landmarks):
         presence[row, np.searchsorted(grams, sets[i])] = 1 / np.sqrt(max(1, len(sets[i])))
@@ -118,16 +125,23 @@ def learn(labelled: DataFrame, *, sample: int = SAMPLE, landmarks: int = LANDMAR
     """A model of rows (text, lang); None without rows."""
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     keys = F.xxhash64("text").alias("hash"), F.xxhash64(F.lit("text"), "text").alias("hash2")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "hash2"))
-    # Distinct texts are ranked by 128 bits alone; only the texts of the sample are fetched, one row of each.
-    least = rows.select("lang", *keys).distinct().withColumn("rank", rank).filter(F.col("rank") <= sample)
+    slot = F.pmod("hash", F.lit(SLOTS)).alias("slot")
+    ranked = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy("hash", "hash2"))
+    # Distinct texts are ranked by 128 bits alone; only the texts of the sample are fetched, one row of each. A
+    # language is first ranked in slots, so that a hot one brings no more than SLOTS samples together.
+    least = rows.select("lang", *keys).distinct().select("*", slot).withColumn("rank", ranked(["lang", "slot"])).filter(F.col("rank") <= sample)
+    least = least.drop("slot").withColumn("rank", ranked(["lang"])).filter(F.col("rank") <= sample)
     least = small(stored(least, f"{folder(labelled.sparkSession, None)}/sample"), BROADCAST_SAMPLE)
     copy = F.row_number().over(Window.partitionBy("lang", "rank").orderBy("hash"))
     chosen = (
         rows.select("lang", "text", *keys).join(least, ["lang", "hash", "hash2"])
         .withColumn("copy", copy).filter(F.col("copy") == 1).select("lang", "rank", "text")
     )
-    got = sorted((r["lang"], r["rank"], r["grams"]) for r in map_arrow(chosen, _sets, "lang string, rank int, grams binary").collect())
+    held = stored(map_arrow(chosen, _sets, "lang string, rank int, grams binary"), f"{folder(labelled.sparkSession, None)}/sets")
+    size = held.agg(F.sum(F.octet_length("grams"))).first()[0] or 0
+    if size > FITTED_BYTES:
+        raise ValueError(f"the sample has {size} bytes of n-grams, above {FITTED_BYTES}: lower sample or landmarks, or cut the labelled texts")
+    got = sorted((r["lang"], r["rank"], r["grams"]) for r in held.collect())
     if not got:
         return None
     sets = [np.frombuffer(g, np.int64) for _, _, g in got]

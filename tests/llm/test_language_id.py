@@ -88,3 +88,10 @@ def test_every_label_is_learned(spark):
     model = language_id.learn(spark.createDataFrame(rows, "text string, lang string"))
     assert len(model.languages) == 206
     assert model.languages[model.scores([ngrams("rare \u4e00")]).argmax()] == "rare"
+
+
+def test_a_sample_that_the_driver_can_not_take_is_refused(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some text {i} of a kind", "en") for i in range(20)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "FITTED_BYTES", 100)
+    with pytest.raises(ValueError, match="lower sample"):
+        language_id.identify(docs)
