@@ -44,13 +44,8 @@ def open_at(uri: str, offset: int):
     return file
 
 
-def dealt(segments: DataFrame) -> DataFrame:
-    """Segments of files (part, segment, …) dealt out over the cluster, one row each."""
-    return segments.repartition("part", "segment")
-
-
-def with_base(segments: DataFrame, size: str) -> DataFrame:
-    """``base``: the sum of ``size`` of all segments before, in the order of part and segment.
+def with_base(segments: DataFrame, size: str, name: str = "base") -> DataFrame:
+    """``name``: the sum of ``size`` of all segments before, in the order of part and segment.
 
     Only one total per part meets in one task.
     """
@@ -58,4 +53,25 @@ def with_base(segments: DataFrame, size: str) -> DataFrame:
     totals = segments.groupBy("part").agg(F.sum(size).alias("total"))
     parts = totals.select(F.col("part"), F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(*earlier)), F.lit(0)).alias("before"))
     inside = F.coalesce(F.sum(size).over(Window.partitionBy("part").orderBy("segment").rowsBetween(*earlier)), F.lit(0))
-    return segments.withColumn("inside", inside).join(parts, "part").withColumn("base", F.col("before") + F.col("inside")).drop("before", "inside")
+    return segments.withColumn("inside", inside).join(parts, "part").withColumn(name, F.col("before") + F.col("inside")).drop("before", "inside")
+
+
+#: Bytes of files that a reading task gets, where there are more segments than a few for each core.
+READ_BYTES = 128 << 20
+
+
+def dealt(segments: DataFrame) -> DataFrame:
+    """Stored segments of files (part, segment, length, …) dealt out over the cluster in shares of equal bytes.
+
+    Shares are runs of segments in their order. Their number is stated, so
+    adaptive execution doesn't merge them, however small the table of segments is.
+    """
+    held = segments.agg(F.count("*").alias("n"), F.sum("length").alias("bytes")).first()
+    if not held["n"]:
+        return segments
+    cores = segments.sparkSession.sparkContext.defaultParallelism
+    tasks = min(held["n"], max(-(-held["bytes"] // READ_BYTES), 4 * cores))
+    middle = F.col("begin_byte") + F.col("length") / 2
+    share = F.least(F.floor(middle * tasks / held["bytes"]), F.lit(tasks - 1)).cast("int")
+    placed = with_base(segments, "length", "begin_byte").withColumn("share", share)
+    return placed.repartitionById(tasks, "share").select(*segments.columns)

@@ -10,10 +10,10 @@ is what a reading task opens.
     segment = magic, counts (ids, documents, documents without id), bytes of an id,
               code lengths, ids, boundaries, document ids
 
-A tokenizer here never joins what ASCII white space separates: its pieces are
-words, marks and digits. So the ids of a text are those of its words in a row. A
-worker remembers the ids of two generations of words; words that neither holds
-are encoded.
+Texts are encoded whole, unless the tokenizer's file shows that it drops ASCII white
+space and joins nothing across it (``splits_at_space``). Then the ids of a text are
+those of its words in a row. A worker remembers the ids of two generations of words
+that aren't long; words that neither holds are encoded.
 
 Defined results: a null text is empty and has the end id alone; rows without id
 come first, then ascending ids; equal ids are ordered by the hash of their text;
@@ -23,6 +23,7 @@ are read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -35,10 +36,13 @@ from leadlake.llm.files import Writer, dealt, open_at, with_base
 END_ID = 2
 #: A segment is closed at so many bytes of ids or documents.
 SEGMENT_BYTES, SEGMENT_DOCS = 16 << 20, 1 << 16
-#: Words of one generation that a worker remembers.
-REMEMBERED = 800_000
+#: Words of one generation that a worker remembers, the bytes of the longest of them, and the bytes of text taken together.
+REMEMBERED, LONG_WORD, PIECE_BYTES = 800_000, 64, 4 << 20
+#: Patterns whose matches hold no white space, so that a split into matches drops it.
+SPACELESS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
 
 MAGIC = b"EFTOKENS"
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _HEAD = struct.Struct("<8sQQQQQQ")
 WRITTEN = "part long, segment long, uri string, offset long, length long, n_docs long, n_ids long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -50,49 +54,100 @@ def bundled_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """Ids of whole texts, as bytes, from the remembered ids of their words."""
+def _steps(part: dict | None, key: str) -> list[dict]:
+    return [] if part is None else part[key] if part["type"] == "Sequence" else [part]
 
-    _kept: dict[str, WordEncoder] = {}
+
+def splits_at_space(definition: dict) -> bool:
+    """Whether the ids of a text are those of its words, by the definition of the tokenizer.
+
+    True only if every step is known not to look across white space: anything else is taken to.
+    """
+    plain = {"NFC", "NFD", "Lowercase"}
+    for step in _steps(definition.get("normalizer"), "normalizers"):
+        one_blank = step["type"] == "Replace" and step["pattern"] == {"Regex": r"\s+"} and step["content"] == " "
+        if step["type"] not in plain and not one_blank:
+            return False
+    splitters = _steps(definition.get("pre_tokenizer"), "pretokenizers")
+    dropping = [
+        step["type"] in ("WhitespaceSplit", "BertPreTokenizer")
+        or (step["type"] == "Split" and step["behavior"] == "Removed" and step["invert"] and step["pattern"].get("Regex") in SPACELESS)
+        for step in splitters
+    ]
+    marked = [step.get("add_prefix_space", False) or step["type"] == "Metaspace" for step in splitters]
+    tokens = definition.get("added_tokens") or []
+    bound = any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in tokens)
+    return bool(dropping) and dropping[0] and not any(marked) and not bound
+
+
+class TextEncoder:
+    """Ids of whole texts, as bytes; from the remembered ids of their words where that is the same."""
+
+    _kept: dict[str, TextEncoder] = {}
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.by_words = splits_at_space(json.load(file))
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
+    def of(cls, path: str) -> TextEncoder:
         """The encoder that this worker has used before, or a new one."""
         if path not in cls._kept:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
+    def _coded(self, texts: list[bytes]) -> list[bytes]:
+        form = "H" if self.width == 2 else "I"
+        coded = self._tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [struct.pack(f"<{len(c.ids)}{form}", *c.ids) for c in coded]
+
     def encode(self, text: bytes) -> bytes:
+        if not self.by_words:
+            return self._coded([text])[0]
+        return b"".join([self._words(piece) for piece in _pieces(text)])
+
+    def _words(self, text: bytes) -> bytes:
         words = text.split()
         new = set(words).difference(self._young)
-        if new:
-            if len(self._young) + len(new) > REMEMBERED:
-                self._old, self._young, new = self._young, {}, set(words)
-            young, old = self._young, self._old
-            unknown = []
-            for word in new:
-                if (ids := old.get(word)) is None:
-                    unknown.append(word)
-                else:
-                    young[word] = ids
-            if unknown:
-                coded = self._tokenizer.encode_batch_fast([w.decode() for w in unknown], add_special_tokens=False)
-                form = f"<{'H' if self.width == 2 else 'I'}"
-                for word, code in zip(unknown, coded, strict=True):
-                    ids = code.ids
-                    young[word] = struct.pack(f"{form[0]}{len(ids)}{form[1]}", *ids)
-        return b"".join(map(self._young.__getitem__, words))
+        if not new:
+            return b"".join(map(self._young.__getitem__, words))
+        if len(self._young) + len(new) > REMEMBERED:
+            self._old, self._young, new = self._young, {}, set(words)
+        young, old, long = self._young, self._old, {}
+        unknown = []
+        for word in new:
+            if (ids := old.get(word)) is None:
+                unknown.append(word)
+            else:
+                young[word] = ids
+        if unknown:
+            for word, ids in zip(unknown, self._coded(unknown), strict=True):
+                (young if len(word) <= LONG_WORD else long)[word] = ids
+        if long:
+            return b"".join([long[w] if w in long else young[w] for w in words])
+        return b"".join(map(young.__getitem__, words))
+
+
+def _pieces(text: bytes):
+    """A text in pieces that end at white space."""
+    at = 0
+    while len(text) - at > PIECE_BYTES:
+        blank = _BLANK.search(text, at + PIECE_BYTES)
+        if not blank:
+            break
+        yield text[at : blank.start()]
+        at = blank.end()
+    yield text[at:]
 
 
 def pack_segment(doc_ids: list[int | None], docs: list[bytes], width: int) -> bytes:
@@ -142,7 +197,7 @@ def _write(target: str, tokenizer: str, end_id: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, file, rows = WordEncoder.of(tokenizer), None, []
+        encoder, file, rows = TextEncoder.of(tokenizer), None, []
         part, ids, docs, held = TaskContext.get().partitionId(), [], [], 0
         end = end_id.to_bytes(encoder.width, "little")
 
@@ -209,4 +264,5 @@ def write_tokens(
 
 def read_tokens(segments: DataFrame) -> DataFrame:
     """READ rows of all documents of the files; start counts the ids of all documents before."""
-    return map_arrow(dealt(with_base(segments, "n_ids")), _read, READ)
+    based = stored(with_base(segments, "n_ids"), f"{folder(segments.sparkSession, None)}/based")
+    return map_arrow(dealt(based), _read, READ)
