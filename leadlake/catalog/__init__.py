@@ -12,5 +12,6 @@ def registered():
         profile_queries,
         search_queries,
     )
+    from leadlake.catalog import source_queries  # noqa: F401
 
     return entry.QUERIES, entry.ORACLES

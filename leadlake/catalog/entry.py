@@ -29,6 +29,17 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
     return register
 
 
+def query_like(name: str, other: str):
+    """Register a query whose result is that of ``other``, reached another way."""
+
+    def register(function: Query) -> Query:
+        query(name)(function)
+        ORACLES[name] = ORACLES[other]
+        return function
+
+    return register
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Columns in the types both engines share: text, long and double."""
     out = []

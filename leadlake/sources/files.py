@@ -14,6 +14,7 @@ from leadlake.fixed_values import (
     SECTION_STATUS_WORDS,
 )
 from leadlake.functions.identity import is_credit_code, normal_code
+from leadlake.functions.tags import unpack
 from leadlake.functions.text import clean, is_empty, strip
 from leadlake.sources import headers
 
@@ -21,9 +22,9 @@ SOURCE_COLUMNS = ["src_group", "src_file"]
 
 
 def with_source(df: DataFrame) -> DataFrame:
-    """Add the folder and file name each row came from."""
+    """Add the folder and file name each row came from; of a folder ``key=value``, the value."""
     path = F.split(F.col("_metadata.file_path"), "/")
-    folder = F.try_element_at(path, F.lit(-2))
+    folder = F.regexp_replace(F.try_element_at(path, F.lit(-2)), "^[^=]+=", "")
     return df.select(
         "*",
         F.coalesce(F.try_url_decode(folder), folder).alias("src_group"),
@@ -166,6 +167,101 @@ def pick_cell(header: Column, cells: Column, *names: str) -> Column:
     return clean(F.coalesce(*[under(n) for n in names]))
 
 
+def section_fields(sections: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
+    """Rows of sections as fields, by the header that each row carries.
+
+    Of several columns of a field the first one counts; headers mapped to
+    ``headers.SKIP`` or not at all are left out.
+    """
+    heads: dict[str, list[str]] = {}
+    for header, field in mapping.items():
+        if field != headers.SKIP:
+            heads.setdefault(field, []).append(header)
+    named = sections.withColumn("__names", F.transform(F.coalesce("header", F.array().cast("array<string>")), strip))
+
+    def place(names: list[str]) -> Column:
+        found = [F.nullif(F.array_position("__names", n), F.lit(0)) for n in names]
+        return found[0] if len(found) == 1 else F.least(*found)
+
+    kept = [c for c in (*SOURCE_COLUMNS, "section", "row_no") if c in sections.columns and c not in heads]
+    return named.select(
+        *[F.coalesce(F.get("cells", (place(n) - 1).cast("int")), F.lit("")).alias(f) for f, n in heads.items()], *kept,
+    )
+
+
+#: Branches of ``staged_sections``; "reject" rows have a reason.
+KINDS = ("base", "base_no_header", "chain", "honor", "reject")
+
+
+def staged_sections(sections: DataFrame, path: str) -> dict[str, DataFrame]:
+    """Branches by kind of workbook rows, and the rejects, after one pass over the source.
+
+    The rows are written once, in one folder per kind; a branch reads its own folder.
+    Rejected are sheets that can't be read and chain rows whose code isn't 18 characters
+    (the code is looked up in the columns that chain sections keep it in). Header rows
+    are left out, but for sections without header, whose first row is data.
+    """
+    codes = [h for h, field in headers.CHAIN.items() if field == "credit"]
+    kind = section_kind(F.col("section"), F.col("header"))
+    code = normal_code(pick_cell(F.col("header"), F.col("cells"), *codes))
+    reason = F.when(F.col("problem").isNotNull(), F.col("problem")).when((kind == "chain") & ~F.coalesce(is_credit_code(code), F.lit(False)), "credit_not_18")
+    rows = sections.withColumn("kind", kind).withColumn("reason", reason).filter((F.col("row_no") > 0) | (F.col("kind") == "base_no_header") | F.col("problem").isNotNull())
+    routed = rows.withColumn("kind", F.when(F.col("reason").isNotNull(), "reject").otherwise(F.col("kind"))).drop("problem")
+    routed.filter(F.col("kind") != "skip").write.mode("errorifexists").partitionBy("kind").parquet(path)
+    stored = sections.sparkSession.read.schema(routed.schema).parquet(path)
+    return {k: stored.filter(F.col("kind") == k).drop("kind", *(() if k == "reject" else ("reason",))) for k in KINDS}
+
+
+# --- tables of existing tags -------------------------------------------------------
+
+#: Columns of a tag table that hold lists, and those that go by two names.
+TAG_LISTS = ("chain_industries", "chain_nodes", "honors")
+TAG_TEXTS = {
+    "chain_positions": ("chain_positions", "chain_position"), "relatedness": ("relatedness",), "financing_raw": ("financing", "financing_raw"),
+    "tag_finance": ("tag_finance",), "tag_fit": ("tag_fit",),
+}
+TAG_SCORES = ("lead_score", "score_reach", "score_attract", "score_fit", "score_pay")
+
+
+def read_tag_table(rows: DataFrame) -> DataFrame:
+    """Existing tags as a tag table, whatever form their lists have.
+
+    A list column may be an array, the text of a JSON list or value, packed text
+    ``A | B``, or one value. Text that begins like a list and isn't one is kept as a
+    value, and also goes into ``rescued`` (column name to text). Missing columns are
+    null; rows without code are left out.
+    """
+    present = set(rows.columns)
+    rescued, lists = [], {}
+    for name in TAG_LISTS:
+        if name not in present:
+            lists[name] = F.lit(None).cast("array<string>")
+            continue
+        if rows.schema[name].dataType.typeName() == "array":
+            lists[name] = unpack(F.col(name).cast("array<string>"))
+            continue
+        raw = strip(F.coalesce(F.col(name).cast("string"), F.lit("")))
+        parsed = F.try_parse_json(raw)
+        is_list = F.schema_of_variant(parsed).startswith("ARRAY")
+        items = F.when(is_list, F.try_variant_get(parsed, "$", "array<string>")).otherwise(F.array(raw))
+        lists[name] = unpack(items)
+        rescued.append(F.when(raw.startswith("[") & ~F.coalesce(is_list, F.lit(False)), F.struct(F.lit(name).alias("key"), raw.alias("value"))))
+    lists = {name: F.when(F.size(value) > 0, value) for name, value in lists.items()}
+
+    def first(names: Iterable[str]) -> Column:
+        found = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in present]
+        return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+    scores = {n: F.col(n).try_cast("smallint") if n in present else F.lit(None).cast("smallint") for n in TAG_SCORES}
+    bad = F.map_from_entries(F.filter(F.array(*rescued), lambda x: x.isNotNull())) if rescued else F.lit(None).cast("map<string,string>")
+    code = strip(F.coalesce(F.col("credit_code"), F.lit("")))
+    return rows.filter(code != "").select(
+        code.alias("credit_code"), first(["company_name"]).alias("company_name"),
+        *[v.alias(n) for n, v in lists.items()], *[first(names).alias(n) for n, names in TAG_TEXTS.items()],
+        *[v.alias(n) for n, v in scores.items()], F.when(F.cardinality(bad) > 0, bad).alias("rescued"),
+    )
+
+
 # --- administrative divisions ------------------------------------------------------
 
 NODE = "level string, name string, adcode string, center string"
