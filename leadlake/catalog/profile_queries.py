@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leadlake.catalog import domain as d
 from leadlake.catalog import vocabulary as v
 from leadlake.catalog.domain_sql import code, cvalue, pick
-from leadlake.catalog.entry import query
+from leadlake.catalog.entry import query, query_like
 from leadlake.functions.tokens import WORD
 from leadlake.operators import profile, setops
 from leadlake.operators.ranking import exact_percentiles
@@ -418,6 +418,20 @@ def stream_flags(spark, sf_dir):
     return flags.select("credit_code", "mobile_count", "email_count", "has_contact")
 
 
+@query_like("stream_flag_state", "stream_flags")
+def stream_flag_state(spark, sf_dir):
+    """The flags of ``stream_flags``, kept in the state of the stream."""
+    e = F.col("event_id")
+    kind = F.when(e % 3 == 0, "mobile").when(e % 3 == 1, "landline").otherwise("email")
+    rows = event_stream(spark, sf_dir).select(
+        d.company_code(F.col("user_id")).alias("credit_code"), kind.alias("contact_type"), d.contact_value(kind, e % 40).alias("contact_value"),
+        F.when(F.col("event_type") == "error", "delete").otherwise("add").alias("op"), e.cast("long").alias("at"),
+    )
+    folder = work_dir(spark)
+    increments.flag_stream(rows, f"{folder}/check", f"{folder}/data").awaitTermination()
+    return increments.read_flags(spark, f"{folder}/data").select("credit_code", "mobile_count", "email_count", "has_contact")
+
+
 @query(
     "stream_dedupe",
     "SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events) AS x",

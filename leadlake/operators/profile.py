@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from leadlake.fixed_values import CAPITAL_EDGES, INSURED_EDGES, LENGTH_EDGES
@@ -192,3 +193,18 @@ def fill_rates(df: DataFrame, columns, by) -> DataFrame:
         for c in columns
     ]
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *rates)
+
+
+def load_observed(rows: DataFrame, kept: Callable[[DataFrame], DataFrame], path: str, code: str = "credit_code") -> dict[str, int]:
+    """Write what ``kept`` makes of keyed rows, and return the figures of the load.
+
+    rows, bad_rows (without key), companies, surrogate keys, duplicates: observed while
+    the rows pass on their way to ``path``, so nothing is read or counted a second time.
+    """
+    given, taken = Observation("given"), Observation("taken")
+    seen = rows.observe(given, F.count(F.lit(1)).alias("rows"), count_if(F.col(code).isNull()).alias("bad_rows"))
+    made = kept(seen.filter(F.col(code).isNotNull()))
+    made = made.observe(taken, F.count(F.lit(1)).alias("companies"), count_if(F.col(code).startswith("N")).alias("surrogate"))
+    made.write.mode("errorifexists").parquet(path)
+    figures = {**given.get, **taken.get}
+    return {**figures, "duplicates": figures["rows"] - figures["bad_rows"] - figures["companies"]}

@@ -1,16 +1,20 @@
 """Incremental loads with Structured Streaming.
 
-Target layout: ``<target>/delta`` holds one folder per micro-batch. A batch
-writes only its own rows, so its cost does not depend on the table; readers
-merge by key, and ``compact`` folds the batches into a new target. A repeated
-batch overwrites its own folder, which makes every batch idempotent, also after
-executor loss.
+Target layout: ``<target>/delta`` holds one folder per load, ``<target>/ledger`` one
+record per load, written when its data is complete. A load goes by a label (for a
+micro-batch, its number). It writes only its own rows, so its cost does not depend on
+the table. A label that the ledger has is not loaded again, and readers take the
+folders that the ledger names, one per label: a folder of a lost or unfinished write
+is never read, and nothing is overwritten while it may be read. Readers merge by
+key, and ``compact`` folds the loads into a new target.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from leadlake.operators.aggregates import contact_flags
 from leadlake.operators.ranking import keep_last, top_per_key
 from leadlake.schemas import CONTACT_KEY
+from leadlake.streaming import flags
 
 CODE = "credit_code"
 BATCH = "batch_id"
@@ -51,8 +56,45 @@ def ingest(stream: DataFrame, checkpoint: str, target: str) -> StreamingQuery:
     )
 
 
+LEDGER = "label string, load string"
+
+
+def _ledger(spark: SparkSession, target: str) -> DataFrame:
+    try:
+        return spark.read.schema(LEDGER).parquet(f"{target}/ledger")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def loaded(spark: SparkSession, target: str, label: str) -> bool:
+    """Whether the ledger has the label."""
+    return not _ledger(spark, target).filter(F.col("label") == label).isEmpty()
+
+
+def load_once(rows: DataFrame, target: str, label: str) -> bool:
+    """Add rows under a label: data first, then its record. False, and nothing done, if the ledger has the label.
+
+    Of two writers of one label that meet, the one with the lesser folder name counts for all readers.
+    """
+    spark = rows.sparkSession
+    if loaded(spark, target, label):
+        return False
+    load = uuid.uuid4().hex
+    rows.write.parquet(f"{target}/delta/load={load}")
+    spark.createDataFrame([(label, load)], LEDGER).coalesce(1).write.mode("append").parquet(f"{target}/ledger")
+    return True
+
+
+def read_loads(spark: SparkSession, target: str) -> DataFrame:
+    """Rows of all loads that the ledger has."""
+    valid = _ledger(spark, target).groupBy("label").agg(F.min("load").alias("load")).select("load")
+    return spark.read.parquet(f"{target}/delta").join(valid, "load", "left_semi").drop("load")
+
+
 def write_delta(rows: DataFrame, batch: int, target: str) -> None:
-    rows.write.mode("overwrite").parquet(f"{target}/delta/{BATCH}={batch}")
+    load_once(rows.withColumn(BATCH, F.lit(batch).cast("long")), target, str(batch))
 
 
 def upsert_stream(
@@ -69,7 +111,7 @@ def upsert_stream(
 
 def read_upserted(spark: SparkSession, target: str, keys: Sequence[str], seq: str, arrival: Sequence[str]) -> DataFrame:
     """Current rows of a target written by ``upsert_stream``."""
-    deltas = spark.read.parquet(f"{target}/delta")
+    deltas = read_loads(spark, target)
     order = [F.desc_nulls_last(seq), F.desc(BATCH), *[F.desc_nulls_last(a) for a in arrival]]
     return top_per_key(deltas, list(keys), order, 1).drop(BATCH)
 
@@ -83,12 +125,28 @@ def contact_change_stream(stream: DataFrame, checkpoint: str, target: str, arriv
     return run_available(stream, checkpoint, on_batch)
 
 
+def flag_stream(stream: DataFrame, checkpoint: str, target: str, forget_ms: int | None = None) -> StreamingQuery:
+    """Flags that change, batch by batch, from keyed state: a batch costs what it brings, not what came before."""
+    conf = stream.sparkSession.conf
+    before = conf.get(flags.PROVIDER)
+    conf.set(flags.PROVIDER, flags.ROCKS)
+    try:
+        return run_available(flags.changed_flags(stream, forget_ms), checkpoint, lambda rows, batch: write_delta(rows, batch, target))
+    finally:
+        conf.set(flags.PROVIDER, before)
+
+
+def read_flags(spark: SparkSession, target: str) -> DataFrame:
+    """Current flags of a target written by ``flag_stream``."""
+    return keep_last(read_loads(spark, target), [CODE], [BATCH]).drop(BATCH)
+
+
 def _last_changes(deltas: DataFrame, arrival: Sequence[str]) -> DataFrame:
     return keep_last(deltas, CONTACT_KEY, [BATCH, *arrival]).drop(BATCH)
 
 
 def current_contacts(spark: SparkSession, target: str, arrival: Sequence[str]) -> DataFrame:
-    return _last_changes(spark.read.parquet(f"{target}/delta"), arrival).filter(F.col("op") == "add").drop("op")
+    return _last_changes(read_loads(spark, target), arrival).filter(F.col("op") == "add").drop("op")
 
 
 def current_flags(spark: SparkSession, target: str, arrival: Sequence[str], after_batch: int | None = None) -> DataFrame:
@@ -97,7 +155,7 @@ def current_flags(spark: SparkSession, target: str, arrival: Sequence[str], afte
     With ``after_batch`` only companies of later batches are computed, from their
     own contacts; their rows replace those of an earlier result.
     """
-    deltas = spark.read.parquet(f"{target}/delta")
+    deltas = read_loads(spark, target)
     touched = deltas if after_batch is None else deltas.filter(F.col(BATCH) > after_batch)
     touched = touched.select(CODE).distinct()
     if after_batch is not None:
@@ -111,7 +169,7 @@ def compact_contacts(spark: SparkSession, target: str, into: str, arrival: Seque
 
     Deletions stay, so that companies without contacts keep their flags.
     """
-    last = _last_changes(spark.read.parquet(f"{target}/delta"), arrival)
+    last = _last_changes(read_loads(spark, target), arrival)
     write_delta(last.repartition(partitions, *CONTACT_KEY), 0, into)
 
 
