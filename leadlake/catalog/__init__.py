@@ -12,6 +12,6 @@ def registered():
         profile_queries,
         search_queries,
     )
-    from leadlake.catalog import source_queries, store_queries  # noqa: F401
+    from leadlake.catalog import layout_queries, source_queries, store_queries  # noqa: F401
 
     return entry.QUERIES, entry.ORACLES

@@ -13,14 +13,19 @@ from leadlake.functions.geo import haversine_m, in_box, lng_metres
 CELL_DEGREES = 0.25
 
 
+def reach_box(lng: float, lat: float, radius_m: float) -> tuple[float, float, float, float]:
+    """A box (west, south, east, north) around all points within the radius."""
+    d_lat = radius_m / METRES_PER_DEGREE
+    d_lng = radius_m / (METRES_PER_DEGREE * max(math.cos(math.radians(lat)), 0.2))
+    return lng - d_lng, lat - d_lat, lng + d_lng, lat + d_lat
+
+
 def around(companies: DataFrame, lng: float, lat: float, radius_m: float) -> DataFrame:
     """Companies within the radius of one point, with ``distance_m``.
 
     The bounding box is a pair of range filters that reach the scan.
     """
-    d_lat = radius_m / METRES_PER_DEGREE
-    d_lng = radius_m / (METRES_PER_DEGREE * max(math.cos(math.radians(lat)), 0.2))
-    box = (lng - d_lng, lat - d_lat, lng + d_lng, lat + d_lat)
+    box = reach_box(lng, lat, radius_m)
     distance = haversine_m(F.lit(lng), F.lit(lat), F.col("lng"), F.col("lat"))
     near = companies.filter(in_box(F.col("lng"), F.col("lat"), box)).withColumn("__m", distance)
     return (
