@@ -14,7 +14,7 @@ from leadlake.fixed_values import (
     SCORING_EMPTY_TOKENS,
     SCORING_SPLIT,
 )
-from leadlake.functions.text import byte_truncate, is_empty, split_multi, strip
+from leadlake.functions.text import is_empty, split_multi, strip
 
 
 def digits(c: Column) -> Column:
@@ -33,7 +33,7 @@ def landline(c: Column) -> Column:
     """The number as written if it has 7 to 13 digits and is not a mobile."""
     n = digits(c)
     ok = F.length(n).between(7, 13) & ~is_mobile(n)
-    return F.when(ok, byte_truncate(strip(c), 200))
+    return F.when(ok, strip(c))
 
 
 def _mobiles_in(raw: Column) -> Column:
@@ -54,9 +54,11 @@ def email(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "^[.,;]+|[.,;]+$", "")
 
 
-def emails(*raws: Column) -> Column:
+def emails(*raws: Column, longest: int | None = None) -> Column:
+    """Distinct addresses in order, each whole; with ``longest``, without those of more characters."""
     parts = F.transform(F.concat(*[split_multi(r) for r in raws]), email)
-    return F.array_distinct(F.filter(parts, lambda e: is_email(e) & (F.length(e) <= 200)))
+    short = lambda e: F.lit(True) if longest is None else F.length(e) <= longest
+    return F.array_distinct(F.filter(parts, lambda e: is_email(e) & short(e)))
 
 
 def mail_addresses(raw: Column) -> Column:

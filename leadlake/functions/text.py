@@ -55,7 +55,7 @@ def split_multi(c: Column, pattern: str = MULTI_SPLIT, tokens=EMPTY_TOKENS) -> C
 
 def any_word(c: Column, words) -> Column:
     """True where the text contains one of the words (which are plain text)."""
-    return c.rlike("|".join(words))
+    return c.rlike("|".join(f"\\Q{w}\\E" for w in words))
 
 
 def filled_count(columns) -> Column:

@@ -36,8 +36,8 @@ ORDERS = 3
 SAMPLE, LANDMARKS = 300, 64
 #: Keys of the sample that are broadcast: up to so many rows.
 BROADCAST_SAMPLE = 200_000
-#: Slots in which the texts of a language are ranked first.
-SLOTS = 256
+#: Samples of a language that are expected among the texts which are ranked.
+SPARE = 4
 #: Bytes of the sample's n-grams, and of the landmarks' matrix, that the driver takes.
 FITTED_BYTES = 1 << 30
 RIDGE = 1e-3
@@ -125,12 +125,15 @@ def learn(labelled: DataFrame, *, sample: int = SAMPLE, landmarks: int = LANDMAR
     """A model of rows (text, lang); None without rows."""
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     keys = F.xxhash64("text").alias("hash"), F.xxhash64(F.lit("text"), "text").alias("hash2")
-    slot = F.pmod("hash", F.lit(SLOTS)).alias("slot")
-    ranked = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy("hash", "hash2"))
-    # Distinct texts are ranked by 128 bits alone; only the texts of the sample are fetched, one row of each. A
-    # language is first ranked in slots, so that a hot one brings no more than SLOTS samples together.
-    least = rows.select("lang", *keys).distinct().select("*", slot).withColumn("rank", ranked(["lang", "slot"])).filter(F.col("rank") <= sample)
-    least = least.drop("slot").withColumn("rank", ranked(["lang"])).filter(F.col("rank") <= sample)
+    # Distinct texts are ranked by 128 bits alone; only the texts of the sample are fetched, one row of each. Of a
+    # language with many texts only those below a hash are ranked: some SPARE samples of them, by its estimated count.
+    hashed = rows.select("lang", *keys)
+    counts = hashed.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n"))
+    counts = small(stored(counts, f"{folder(labelled.sparkSession, None)}/languages"), BROADCAST_SAMPLE)
+    share = SPARE * sample / F.col("n")
+    near = (F.col("n") <= 2 * SPARE * sample) | (F.col("hash") / F.lit(2.0**64) + 0.5 < share)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "hash2"))
+    least = hashed.join(counts, "lang").filter(near).select("lang", "hash", "hash2").distinct().withColumn("rank", rank).filter(F.col("rank") <= sample)
     least = small(stored(least, f"{folder(labelled.sparkSession, None)}/sample"), BROADCAST_SAMPLE)
     copy = F.row_number().over(Window.partitionBy("lang", "rank").orderBy("hash"))
     chosen = (

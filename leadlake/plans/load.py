@@ -89,7 +89,7 @@ def company_columns(
         number = F.when(staff.rlike("^[0-9]+$"), staff.try_cast("long"))
         number = F.least(number, F.lit(INSURED_CAP)).cast("int") if limits else number
     else:
-        number = ct.digits(staff).try_cast("int")
+        number = ct.digits(staff).try_cast("int" if limits else "long")
     out = {
         "company_name": name,
         "status": _cut(limits, status, 32),
@@ -294,9 +294,7 @@ def _phone_item(part: Column, primary: Column) -> Column:
 
 def _email_items(*cells: Column) -> Column:
     parts = F.transform(F.concat(*[split_multi(c) for c in cells]), F.lower)
-    return _items(
-        F.transform(F.filter(parts, ct.is_email), lambda e: byte_truncate(e, 200)), "email", False
-    )
+    return _items(F.filter(parts, ct.is_email), "email", False)
 
 
 def enrichment_contacts(

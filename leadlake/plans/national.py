@@ -24,12 +24,9 @@ def repair_municipalities(companies: DataFrame, divisions: DataFrame) -> DataFra
 
 
 def load_national(rows: DataFrame, divisions: DataFrame, as_of: Column, arrival: list[str], limits: bool = False) -> DataFrame:
-    """Registry rows to located companies: clean, keep best, streets, points.
-
-    The staff column of the table is an int; without ``limits`` larger numbers are NULL.
-    """
+    """Registry rows to located companies: clean, keep best, streets, points."""
     cleaned = registry_companies(keyed_registry(rows, limits), as_of, arrival, limits)
-    companies = conform(cleaned.withColumn("insured_count", F.col("insured_count").try_cast("int")), COMPANIES)
+    companies = conform(cleaned, COMPANIES)
     return geocode(backfill_streets(companies, divisions), divisions)
 
 

@@ -14,7 +14,7 @@ COMPANIES = """
     established_year smallint, company_age decimal(6,1), term_raw string,
     province string, city string, district string, street string, company_type string,
     industry_l1 string, industry_l2 string, industry_l3 string, industry_l4 string,
-    insured_count int, insured_year string, former_name string, en_name string,
+    insured_count bigint, insured_year string, former_name string, en_name string,
     tax_id string, reg_no string, org_code string, address string,
     address_report string, address_mail string, website string, registrar string,
     taxpayer_qual string, intro string, report_year string, scope string,

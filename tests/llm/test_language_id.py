@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from leadlake.llm import language_id
 from leadlake.llm.language_id import fit, identify, known_language, ngrams
@@ -90,6 +91,18 @@ def test_every_label_is_learned(spark):
     assert model.languages[model.scores([ngrams("rare \u4e00")]).argmax()] == "rare"
 
 
+def test_the_sample_holds_the_least_hashes_of_a_hot_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "fit", lambda sets, labels, landmarks, ridge=0: (sets, labels))
+    rows = [(f"text {i % 3000} of a kind", "en") for i in range(6000)] + [(f"texte {i}", "fr") for i in range(40)] + [("one", "de")] * 500
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    sets, labels = language_id.learn(docs, sample=20)
+    assert {x: labels.count(x) for x in set(labels)} == {"en": 20, "fr": 20, "de": 1}
+    keys = docs.select("lang", "text", F.xxhash64("text").alias("h")).distinct().collect()
+    for lang in ("en", "fr"):
+        least = sorted((r["h"], r["text"]) for r in keys if r["lang"] == lang)[:20]
+        assert sorted(s.tolist() for s, label in zip(sets, labels) if label == lang) == sorted(ngrams(t).tolist() for _, t in least)
+
+
 def test_a_sample_that_the_driver_can_not_take_is_refused(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"some text {i} of a kind", "en") for i in range(20)], "doc_id long, text string, lang string")
     monkeypatch.setattr(language_id, "FITTED_BYTES", 100)
