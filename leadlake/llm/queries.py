@@ -75,7 +75,17 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-@query("op4_shard_bytes")
+@query("op4_shard_bytes", r"""
+WITH steps AS (SELECT list(list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY n) AS step FROM range(256) AS r(n)),
+d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+placed AS (
+  SELECT *, least(CAST(floor((sum(size) OVER (ORDER BY doc_id) - size + size / 2) * 16 / sum(size) OVER ()) AS INTEGER), 15) AS shard,
+         list_transform(regexp_extract_all(hex(t), '..'), lambda b: CAST('0x' || b AS BIGINT)) AS bytes
+  FROM d)
+SELECT doc_id, size, xor(list_reduce(list_concat([4294967295], bytes), lambda crc, b: xor(crc >> 8, step[(xor(crc, b) & 255) + 1])), 4294967295) AS text_crc32,
+       'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed, steps
+""")
 def op4_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", sharding.text_bytes(F.col("text")).alias("n_bytes"),
