@@ -353,8 +353,7 @@ def merge_tags(existing: DataFrame, rows: DataFrame, arrival: list[str]) -> Data
     relation and the last financing win. Scores of existing tags stay.
     """
     order = F.struct(*arrival)
-    known = existing.join(rows.select(CODE).distinct(), CODE, "left_semi")
-    old = known.select(
+    old = existing.select(
         CODE, "company_name", tags.unpack(F.col("chain_industries")).alias("industries"),
         tags.unpack(F.col("chain_nodes")).alias("nodes"), tags.unpack(F.col("honors")).alias("honors"),
         F.col("chain_positions").alias("position"), "relatedness",
@@ -366,35 +365,21 @@ def merge_tags(existing: DataFrame, rows: DataFrame, arrival: list[str]) -> Data
         _wrapped(F.col("node_path")).alias("nodes"), "honors", "position", "relatedness",
         "financing", F.lit(1).alias("incoming"), order.alias("arrival"),
     )
-    both = old.unionByName(new)
-    turn = F.struct("incoming", "arrival")
-    lists = distinct_lists(
-        value_rows(
-            both, CODE,
-            [
-                ("industries", F.col("industries"), 0), ("nodes", F.col("nodes"), 0),
-                ("new_honors", F.col("honors"), 0),
-                ("positions", tags.positions(F.coalesce("position", F.lit(""))), 0),
-            ],
-            turn,
-        ),
-        CODE,
-        ("industries", "nodes", "new_honors", "positions"),
-    )
-    rank = tags.relatedness_rank(F.col("relatedness"))
-    incoming_name = F.when(
-        F.col("incoming") == 1,
-        F.struct((-F.length("company_name")).alias("n"), turn.alias("o"), F.col("company_name").alias("v")),
+    rank, incoming = tags.relatedness_rank(F.col("relatedness")), F.col("incoming") == 1
+    # Single values are further kinds of the same grouping: each source is read once.
+    items = [
+        ("industries", F.col("industries"), 0), ("nodes", F.col("nodes"), 0), ("new_honors", F.col("honors"), 0),
+        ("positions", tags.positions(F.coalesce("position", F.lit(""))), 0),
+        ("new_name", _wrapped(F.when(incoming, F.col("company_name"))), F.coalesce(-F.length("company_name"), F.lit(0))),
+        ("new_relatedness", _wrapped(F.when(rank.isNotNull(), F.col("relatedness"))), F.coalesce(-rank, F.lit(0))),
+        ("new_financing", _wrapped(F.col("financing")), 0), ("touched", _wrapped(F.when(incoming, F.lit("x"))), 0),
+    ]
+    merged = distinct_lists(
+        value_rows(old.unionByName(new), CODE, items, F.struct("incoming", "arrival")), CODE,
+        ("industries", "nodes", "new_honors", "positions"), ("new_name", "new_relatedness", "touched"), ("new_financing",),
     )
-    merged = both.groupBy(CODE).agg(
-        F.min(incoming_name)["v"].alias("new_name"),
-        F.min(F.when(rank.isNotNull(), F.struct((-rank).alias("n"), turn.alias("o"), F.col("relatedness").alias("v"))))["v"]
-        .alias("new_relatedness"),
-        F.max(F.when(F.coalesce("financing", F.lit("")) != "", F.struct(turn.alias("o"), F.col("financing").alias("v"))))["v"]
-        .alias("new_financing"),
-    ).join(lists, CODE, "left")
-    joined = existing.join(merged.withColumn("__merged", F.lit(True)), CODE, "full")
-    touched = F.col("__merged").isNotNull()
+    joined = existing.join(merged, CODE, "full")
+    touched = F.col("touched").isNotNull()
 
     def listed(c: str) -> Column:
         return F.when(F.size(c) > 0, F.col(c))
