@@ -8,6 +8,7 @@ from leadlake.catalog import domain as d
 from leadlake.catalog import vocabulary as v
 from leadlake.catalog.domain_sql import words
 from leadlake.catalog.entry import query
+from leadlake.operators import aggregates as agg
 from leadlake.operators import divisions as div
 from leadlake.operators.nearby import count_around, radius_pairs
 from leadlake.operators.predicates import CompanyFilter
@@ -379,3 +380,13 @@ def flatten_divisions_query(spark, sf_dir):
     return flatten_divisions(nodes).select(
         "row_key", "level", "province", "city", "district", "street", "parent_adcode", "center_lng"
     )
+
+
+@query(
+    "division_levels",
+    """
+    SELECT level, count(*) AS n, count(center_lng) AS located, count(DISTINCT province) AS provinces FROM divisions GROUP BY level""",
+    ("divisions",),
+)
+def division_levels(spark, sf_dir):
+    return agg.division_levels(d.divisions(spark, sf_dir))

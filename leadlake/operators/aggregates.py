@@ -257,6 +257,14 @@ def sparse_and_rich(companies: DataFrame, tags: DataFrame) -> DataFrame:
     )
 
 
+def division_levels(divisions: DataFrame) -> DataFrame:
+    """Divisions of each level, how many of them have a centre, and how many provinces they lie in."""
+    located = F.col("center_lng").isNotNull() & F.col("center_lat").isNotNull()
+    return divisions.groupBy("level").agg(
+        F.count(F.lit(1)).alias("n"), count_if(located).alias("located"), F.countDistinct("province").alias("provinces")
+    )
+
+
 def certified_coverage(companies: DataFrame, qualifications: DataFrame) -> DataFrame:
     """Certified companies, and how many of them the registry knows."""
     certified = valid_certificates(qualifications).select(CODE).distinct()
