@@ -175,9 +175,11 @@ def exact_groups(
     spill = stored(map_arrow(narrow, _fold(limit), SPILL), f"{path}/spill")
     carried = spill.filter(F.col("content").isNotNull()).select("rep_key", "hash", "bytes", "content")
     buckets = grace_buckets(carried, path, limit=limit, fan_out=fan_out)
+    # Tasks follow the bytes of the contents, not a setting: about one bucket of the limit each.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * (carried.agg(F.sum("bytes")).first()[0] or 0) // limit)
     groups = stored(
         map_arrow(
-            buckets.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "rep_key", "hash", "content"),
+            buckets.repartition(parts, "bucket").sortWithinPartitions("bucket").select("bucket", "rep_key", "hash", "content"),
             _match(limit), "rep_key long, group_key long",
         ),
         f"{path}/groups",
