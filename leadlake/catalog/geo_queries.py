@@ -260,7 +260,7 @@ def admin_center(spark, sf_dir):
     asked = d.companies(spark, sf_dir).select("credit_code", F.explode(F.array(*kinds)).alias("r")).select("credit_code", "r.*")
     return div.admin_centres(asked, d.divisions(spark, sf_dir)).select(
         "credit_code", "kind", F.col("ok").cast("int").alias("found"), "zoom", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"),
-        "name", *[f"found_{part}" for part in div.PLACE],
+        "name", *[f"found_{part}" for part in div.REQUEST],
     )
 
 

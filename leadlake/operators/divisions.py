@@ -315,10 +315,10 @@ CENTRE_LOOKUPS = (
     ("first city of the province", "city", 11, ("city", "province")),
     ("province", "province", 8, ("province",)),
 )
-PLACE = ("province", "city", "district", "street")
+REQUEST = ("province", "city", "district", "street")
 
 
-def _lookup_keys(lookup: str, place: dict[str, Column]) -> list[Column]:
+def _centre_keys(lookup: str, place: dict[str, Column]) -> list[Column]:
     """The two or three texts that must be equal in a request and a division."""
     none = F.lit("")
     keys = {
@@ -333,7 +333,7 @@ def _lookup_keys(lookup: str, place: dict[str, Column]) -> list[Column]:
     return keys[lookup]
 
 
-def _keyed(rank: int, keys: list[Column], *more: Column) -> Column:
+def _ranked(rank: int, keys: list[Column], *more: Column) -> Column:
     return F.struct(F.lit(rank).alias("rank"), *[k.alias(f"key{i}") for i, k in enumerate(keys)], *more)
 
 
@@ -350,11 +350,11 @@ def admin_centres(requests: DataFrame, divisions: DataFrame) -> DataFrame:
     Adds ok, lng, lat, zoom, name and the place that was found. A request without
     answer has the zoom of its widest filled part.
     """
-    own = {c: region.text(F.col(c)) for c in PLACE}
+    own = {c: region.text(F.col(c)) for c in REQUEST}
     city = F.col("city_name")
     lookups = F.array(*[
         F.when(
-            F.array_min(F.array(*[F.length(own[c]) for c in needed])) > 0, _keyed(rank, _lookup_keys(name, {**own, "city": city}))
+            F.array_min(F.array(*[F.length(own[c]) for c in needed])) > 0, _ranked(rank, _centre_keys(name, {**own, "city": city}))
         )
         for rank, (name, _, _, needed) in enumerate(CENTRE_LOOKUPS)
     ])
@@ -367,18 +367,18 @@ def admin_centres(requests: DataFrame, divisions: DataFrame) -> DataFrame:
         .select("request_no", "request", "ask.*")
     )
 
-    place = {c: region.text(F.col(c)) for c in PLACE}
+    place = {c: region.text(F.col(c)) for c in REQUEST}
     kept = {
-        "street": PLACE, "district": PLACE[:3], "city": PLACE[:2], "province": PLACE[:1],
+        "street": REQUEST, "district": REQUEST[:3], "city": REQUEST[:2], "province": REQUEST[:1],
     }
     answers = F.array(*[
         F.when(
             F.col("level") == level,
-            _keyed(
-                rank, _lookup_keys(name, place),
+            _ranked(
+                rank, _centre_keys(name, place),
                 F.when(place["city"].contains("城区") | F.lit(name != "first city of the province"), 0).otherwise(1).alias("later"),
                 F.struct(
-                    *[(F.nullif(place[c], F.lit("")) if c in kept[level] else F.lit(None).cast("string")).alias(c) for c in PLACE],
+                    *[(F.nullif(place[c], F.lit("")) if c in kept[level] else F.lit(None).cast("string")).alias(c) for c in REQUEST],
                     F.col("center_lng").alias("lng"), F.col("center_lat").alias("lat"), F.lit(zoom).alias("zoom"),
                 ).alias("centre"),
             ),
@@ -394,15 +394,15 @@ def admin_centres(requests: DataFrame, divisions: DataFrame) -> DataFrame:
         asked.join(found, ["rank", "key0", "key1", "key2"], "left")
         .groupBy("request_no").agg(F.any_value("request").alias("request"), F.min_by("centre", F.when(F.col("row_key").isNotNull(), order)).alias("centre"))
     )
-    filled_part = {c: region.text(F.col(f"request.{c}")) for c in PLACE}
+    filled_part = {c: region.text(F.col(f"request.{c}")) for c in REQUEST}
     widest = F.when(filled_part["province"] != "", 8).when(filled_part["city"] != "", 11).otherwise(10)
     ok = F.col("centre.lng").isNotNull() & F.col("centre.lat").isNotNull()
-    named = F.coalesce(*[F.nullif(filled_part[c], F.lit("")) for c in reversed(PLACE)], F.lit(""))
+    named = F.coalesce(*[F.nullif(filled_part[c], F.lit("")) for c in reversed(REQUEST)], F.lit(""))
     return best.select(
         *[F.col(f"request.`{c}`").alias(c) for c in requests.columns],
         ok.alias("ok"), F.when(ok, F.col("centre.lng")).alias("lng"), F.when(ok, F.col("centre.lat")).alias("lat"),
         F.coalesce("centre.zoom", widest).alias("zoom"), named.alias("name"),
-        *[F.coalesce(F.col(f"centre.{c}"), filled_part[c]).alias(f"found_{c}") for c in PLACE],
+        *[F.coalesce(F.col(f"centre.{c}"), filled_part[c]).alias(f"found_{c}") for c in REQUEST],
     )
 
 
