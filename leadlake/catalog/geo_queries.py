@@ -10,9 +10,8 @@ from leadlake.catalog.domain_sql import words
 from leadlake.catalog.entry import query
 from leadlake.operators import aggregates as agg
 from leadlake.operators import divisions as div
-from leadlake.operators.nearby import count_around, radius_pairs
+from leadlake.operators.nearby import count_around, nearest
 from leadlake.operators.predicates import CompanyFilter
-from leadlake.operators.ranking import top_per_key
 from leadlake.plans import national, search
 from leadlake.schemas import Tables
 from leadlake.sources.files import division_schema, flatten_divisions
@@ -138,9 +137,8 @@ def radius_batch_join(spark, sf_dir):
     ("companies",),
 )
 def nearest_companies(spark, sf_dir):
-    pairs = radius_pairs(supplier_centres(spark, sf_dir), d.companies(spark, sf_dir).select("credit_code", "lng", "lat"))
-    nearest = top_per_key(pairs, ["centre_id"], [F.asc("distance_m"), F.asc("credit_code")], 5)
-    return nearest.select("centre_id", "credit_code", "distance_m")
+    found = nearest(supplier_centres(spark, sf_dir), d.companies(spark, sf_dir).select("credit_code", "lng", "lat"), "credit_code", 5)
+    return found.select("centre_id", "credit_code", "distance_m")
 
 
 @query(
