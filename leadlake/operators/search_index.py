@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from leadlake.functions import tokens
 from leadlake.operators.ranking import top_per_key
 
+#: Tokens whose rows and queries are compared by sets of them instead of one by one.
+SHARED = 10
+
 
 def build_postings(df: DataFrame, key: str, *columns: str) -> DataFrame:
     """One row per distinct token of a row's text columns.
@@ -71,5 +74,41 @@ def match_any(postings: DataFrame, queries: DataFrame, key: str) -> DataFrame:
 
 
 def best_any(postings: DataFrame, queries: DataFrame, key: str, n: int) -> DataFrame:
-    """The ``n`` rows of each query with the most of its tokens, then by key."""
-    return top_per_key(match_any(postings, queries, key), ["query_id"], [F.desc("hits"), F.asc(key)], n)
+    """The ``n`` rows of each query with the most of its tokens, then by key.
+
+    Queries with the same tokens among the postings are answered once. The ``SHARED`` tokens
+    that would pair the most rows with queries are not joined: rows that have only such tokens
+    of a query are ranked once per set of them, by the first ``n`` keys of each set that
+    rows have. Rows with any other token of a query are counted whole.
+    """
+    asked = _terms(queries).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("__asked"))
+    held = postings.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", key).agg(F.count(F.lit(1)).alias("__held"))
+    sizes = held.groupBy("token").agg(F.count(F.lit(1)).alias("__rows"))
+    known = asked.join(sizes, "token")
+    weight = F.struct("token", "__asked", "__rows")
+    signed = known.groupBy("query_id").agg(F.sort_array(F.collect_list(weight)).alias("__tokens"))
+    sets = signed.select("__tokens").distinct()
+    terms = sets.select("__tokens", F.explode("__tokens").alias("t")).select("__tokens", "t.*")
+    costly = terms.groupBy("token").agg((F.count(F.lit(1)) * F.max("__rows")).alias("__pairs"))
+    shared = costly.orderBy(F.desc("__pairs"), "token").limit(SHARED).select("token", F.lit(1).alias("__shared"))
+    token_asked = F.when(F.col("__shared") == 1, F.struct("token", "__asked"))
+    commons = terms.join(shared, "token", "left").groupBy("__tokens").agg(F.sort_array(F.collect_list(token_asked)).alias("__common"))
+    classes = held.join(shared.select("token"), "token", "left_semi").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("token", "__held"))).alias("__class"))
+    kinds = classes.select("__class").distinct().withColumn("h", F.explode("__class")).select("__class", "h.*")
+    wanted = commons.select("__common").distinct().withColumn("a", F.explode("__common")).select("__common", "a.*")
+    scored = wanted.join(kinds, "token").groupBy("__common", "__class").agg(F.sum(F.col("__asked") * F.col("__held")).alias("__score"))
+    # Only tokens that are shared: the first keys of each class stand for it.
+    leaders = top_per_key(classes, ["__class"], [F.asc(key)], n)
+    plain = top_per_key(scored.join(leaders, "__class"), ["__common"], [F.desc("__score"), F.asc(key)], n)
+    plain = commons.join(plain, "__common").select("__tokens", key, F.col("__score").alias("hits"))
+    # Any other token: all rows that have one, with what they have of the shared ones.
+    others = terms.join(shared.select("token"), "token", "left_anti").select("__tokens", "token", "__asked")
+    joined = held.join(others, "token")
+    counted = joined.groupBy("__tokens", key).agg(F.sum(F.col("__asked") * F.col("__held")).alias("__own"))
+    counted = counted.join(commons, "__tokens").withColumn("__id", F.struct(F.col(key)))
+    filed = classes.select(F.struct(F.col(key)).alias("__id"), "__class")
+    counted = counted.join(filed, "__id", "left").join(scored, ["__common", "__class"], "left")
+    whole = counted.select("__tokens", key, (F.col("__own") + F.coalesce("__score", F.lit(0))).alias("hits"))
+    best = plain.unionByName(whole).groupBy("__tokens", key).agg(F.max("hits").alias("hits"))
+    best = top_per_key(best, ["__tokens"], [F.desc("hits"), F.asc(key)], n)
+    return signed.select(F.struct("query_id").alias("__query"), "__tokens").join(best, "__tokens").select("__query.query_id", key, "hits")

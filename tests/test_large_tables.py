@@ -1,11 +1,13 @@
 """Queries whose rows meet in crowded places, beside brute force."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
+from leadlake.catalog import entry
 from leadlake.fixed_values import EARTH_RADIUS_M
-from leadlake.operators import nearby
+from leadlake.operators import nearby, search_index
 
 
 def metres(lng1, lat1, lng2, lat2):
@@ -50,3 +52,40 @@ def test_nearest_does_not_pair_all_within_the_radius(spark):
     finally:
         nearby.top_per_key = keep
     assert ranked[0] < 80_000
+
+
+def test_best_of_frequent_words_is_that_of_all_pairs(spark, monkeypatch):
+    random.seed(5)
+    words = [f"w{i}" for i in range(25)]
+    texts = [(i // 2, " ".join(w for j, w in enumerate(words) if random.random() < 1 / (1 + j / 2))) for i in range(240)]
+    asked = [(i % 33, " ".join(random.sample(words, random.randint(0, 6)) + [f"unknown{i}"])) for i in range(40)] + [(None, "w0 w1 w20"), (90, None)]
+    index = search_index.build_postings(spark.createDataFrame(texts, "id int, text string"), "id", "text")
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    want = {}
+    for q, a in asked:
+        for k, t in texts:
+            hits = len(set(t.split()) & set((a or "").split()))
+            if hits:
+                want[q, k] = want.get((q, k), 0) + hits
+    best = set()
+    for q in {q for q, _ in want}:
+        ranked = sorted((-h, k) for (p, k), h in want.items() if p == q)[:7]
+        best |= {(q, k, -h) for h, k in ranked}
+
+    def all_pairs(*_):
+        raise AssertionError("every row with any word meets its queries")
+
+    monkeypatch.setattr(search_index, "match_any", all_pairs)
+    assert {tuple(r) for r in search_index.best_any(index, queries, "id", 7).collect()} == best
+
+
+def test_queries_compile_wide_projections_in_any_session(spark):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    kept = spark.conf.get(limit)
+    spark.conf.unset(limit)
+    try:
+        entry.query("__probe")(lambda s, _: s.range(1))
+        entry.QUERIES.pop("__probe")(spark, "")
+        assert spark.conf.get(limit) == "8000"
+    finally:
+        spark.conf.set(limit, kept)
