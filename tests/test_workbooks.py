@@ -116,3 +116,18 @@ def test_tag_table_of_any_form(spark):
     assert (got["c1"]["honors"], got["c3"]["honors"], got["c4"]["lead_score"], got["c5"]["lead_score"]) == (["x"], None, None, 7)
     assert (got["c1"]["chain_positions"], got["c2"]["chain_positions"], got["c2"]["financing_raw"], got["c1"]["chain_nodes"]) == ("上游", None, "A轮", None)
     assert files.read_tag_table(df.limit(0)).collect() == []
+
+
+def test_writer_and_reader_take_batches_with_one_header(spark, tmp_path):
+    from pyspark.sql.datasource import DataSourceArrowWriter
+
+    assert issubclass(workbooks.WorkbookWriter, DataSourceArrowWriter)
+    cells = [["a & b <c>", "\x01x", None, "", "é\n"], ["1"], [None, "second", "]]>"]]
+    rows = [("g", "f.xlsx", "s", 2 * workbooks.WAITING_ROWS + i, ["h1", "h2", None, "h4", "h&5"], cells[i % 3]) for i in range(2 * workbooks.WAITING_ROWS + 5)]
+    workbooks.register(spark)
+    df = spark.createDataFrame(rows, "src_group string, src_file string, section string, at int, header array<string>, cells array<string>")
+    df.repartition("src_group", "src_file").sortWithinPartitions("at").drop("at").write.format(workbooks.FORMAT).mode("append").save(f"{tmp_path}/w")
+    got = spark.read.format(workbooks.FORMAT).load(f"{tmp_path}/w").filter("row_no > 0").orderBy("row_no").collect()
+    want = [["a & b <c>", "x", None, None, "é\n"], ["1"], [None, "second", "]]>"]]
+    assert [r["cells"] for r in got] == [want[i % 3] for i in range(len(rows))]
+    assert {tuple(r["header"]) for r in got} == {("h1", "h2", None, "h4", "h&5")}
