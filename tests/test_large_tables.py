@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadlake.catalog import entry
 from leadlake.fixed_values import EARTH_RADIUS_M
 from leadlake.operators import nearby, search_index
+from leadlake.plans import leads
 
 
 def metres(lng1, lat1, lng2, lat2):
@@ -89,3 +90,25 @@ def test_queries_compile_wide_projections_in_any_session(spark):
         assert spark.conf.get(limit) == "8000"
     finally:
         spark.conf.set(limit, kept)
+
+
+def test_pool_stages_base_rows_once_and_lists_their_values_first(spark):
+    base = spark.createDataFrame(
+        [("甲公司", "91" + "0" * 15 + "1", "f2", "大数据", 1), ("乙公司", "91" + "0" * 15 + "2", "f9", "", 1), ("丙公司", "无", None, None, 1)],
+        "name string, credit string, source_file string, source_industry string, row_no int",
+    )
+    chain = spark.createDataFrame(
+        [("甲公司", "91" + "0" * 15 + "1", "人工智能", "f1", "新材料", 2), ("甲公司", "91" + "0" * 15 + "1", "大数据", "f2", "新材料", 3), ("丁公司", "无", "大数据", "f3", "", 4)],
+        "name string, credit string, l1 string, source_file string, source_industry string, row_no int",
+    )
+    for c in ("l2", "l3", "l4", "node", "position", "relatedness", "financing"):
+        chain = chain.withColumn(c, F.lit(""))
+    honor = spark.createDataFrame([], "credit_key string, honor string")
+    order = ["source_file", "row_no"]
+    staged = leads.stage_base(base.withColumns({c: F.lit("") for c in ("phone", "email")}), order)
+    merged = leads.merge_pool(staged, leads.stage_chain(chain, order), honor, order)
+    got = {r["company_name"]: (r["chain_industries"], r["source_files"]) for r in merged.collect()}
+    assert got == {
+        "甲公司": (["大数据", "人工智能", "新材料"], "f2 | f1"), "乙公司": ([], "f9"), "丙公司": ([], ""), "丁公司": (["大数据"], "f3"),
+    }
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("Window [row_number()") == 1
