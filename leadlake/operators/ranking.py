@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leadlake.session import stored, work_dir
+
 RANK = "__rank"
 
-#: Ranges into which the values of a key are divided to find a percentile.
-RANGES = 128
+#: Accuracy of the cuts around a percentile: each is off by at most one in this many of a key's rows.
+SKETCH = 10_000
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -48,46 +50,60 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact order statistics per key: element floor(n * p) of the sorted values.
 
-    Values are counted first and divided into ranges of about as many different
-    values each, wherever they lie. The counts of the ranges tell which one holds
-    each wanted position, and only its values are ranked. No task sees all values
-    of a key.
+    One pass sketches two cuts around each wanted position, a second counts the values
+    between the cuts. The counts tell which range holds each position, whatever the
+    sketch missed, and a third pass ranks the values of these ranges only. Cuts and
+    ranges are a row per key and position: they are stored between the passes, so that
+    Spark sees how small they are, and no pass moves the values that it only counts.
     """
-    keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("__n")
+    keys, work = list(keys), work_dir(df.sparkSession)
+    reach = 2 / SKETCH
+    cut_at = sorted({min(max(p + side, 0.0), 1.0) for p in fractions.values() for side in (-reach, reach)})
+    cuts = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.percentile_approx(value, F.array(*[F.lit(p) for p in cut_at]), F.lit(SKETCH)).alias("__cuts")
     )
-    cuts = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    spread = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, cuts, F.lit(20 * RANGES)).alias("__cuts"), F.sum("__n").alias("__total")
+    cuts = stored(cuts.withColumn("__cuts", F.array_sort("__cuts")), f"{work}/cuts")
+    low = lambda i: F.get("__cuts", F.lit(i))
+    bin_of = sum((F.when(low(i) < F.col(value), 1).otherwise(0) for i in range(len(cut_at))), F.lit(0))
+    histogram = (
+        df.filter(F.col(value).isNotNull()).join(cuts, keys).withColumn("__bin", bin_of)
+        .groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__in_bin"))
     )
-    ranged = counts.join(spread, keys).withColumn("__bin", F.size(F.filter("__cuts", lambda c: c < F.col(value))))
-    ranged = ranged.drop("__cuts")
-    histogram = ranged.groupBy(*keys, "__bin", "__total").agg(F.sum("__n").alias("__in_bin"))
     upto = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
     wanted = F.explode(
         F.array(*[F.struct(F.lit(k).alias("stat"), F.lit(p).alias("p")) for k, p in fractions.items()])
     )
     targets = (
         histogram.withColumn("__upto", F.sum("__in_bin").over(upto))
+        .withColumn("__total", F.sum("__in_bin").over(Window.partitionBy(*keys)))
         .withColumn("__want", wanted)
         .withColumn("__at", F.least(F.floor(F.col("__total") * F.col("__want.p")), F.col("__total") - 1))
         .filter((F.col("__at") < F.col("__upto")) & (F.col("__at") >= F.col("__upto") - F.col("__in_bin")))
-        .select(
-            *keys, "__bin", F.col("__want.stat").alias("stat"),
-            (F.col("__at") - (F.col("__upto") - F.col("__in_bin"))).alias("__offset"),
+        .groupBy(*keys, "__bin").agg(
+            F.collect_list(
+                F.struct(F.col("__want.stat").alias("stat"), (F.col("__at") - (F.col("__upto") - F.col("__in_bin"))).alias("offset"))
+            ).alias("__stats")
         )
     )
+    # A range lies above one cut and reaches to the next; the outer ones are open.
+    ranges = targets.join(cuts, keys).select(
+        *keys, "__bin", "__stats", low(F.col("__bin") - 1).alias("__above"), low(F.col("__bin")).alias("__to"),
+    )
+    ranges = stored(ranges, f"{work}/ranges")
     inside = (
         Window.partitionBy(*keys, "__bin").orderBy(value)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    ranked = ranged.join(targets.select(*keys, "__bin").distinct(), [*keys, "__bin"], "left_semi")
-    ranked = ranked.withColumn("__seen", F.sum("__n").over(inside))
+    within = F.coalesce(F.col(value) > F.col("__above"), F.lit(True)) & F.coalesce(F.col(value) <= F.col("__to"), F.lit(True))
+    ranked = (
+        df.filter(F.col(value).isNotNull()).join(ranges.drop("__stats"), keys).filter(within)
+        .groupBy(*keys, "__bin", value).agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__seen", F.sum("__n").over(inside))
+    )
     return (
-        ranked.join(targets, [*keys, "__bin"])
-        .filter((F.col("__offset") < F.col("__seen")) & (F.col("__offset") >= F.col("__seen") - F.col("__n")))
-        .select(*keys, "stat", F.col(value).alias("value"))
+        ranked.join(ranges.select(*keys, "__bin", F.explode("__stats").alias("__stat")), [*keys, "__bin"])
+        .filter((F.col("__stat.offset") < F.col("__seen")) & (F.col("__stat.offset") >= F.col("__seen") - F.col("__n")))
+        .select(*keys, F.col("__stat.stat").alias("stat"), F.col(value).alias("value"))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadlake.catalog import entry
 from leadlake.fixed_values import EARTH_RADIUS_M
-from leadlake.operators import nearby, search_index
+from leadlake.operators import nearby, ranking, search_index
 from leadlake.plans import leads
 
 
@@ -112,3 +112,18 @@ def test_pool_stages_base_rows_once_and_lists_their_values_first(spark):
         "甲公司": (["大数据", "人工智能", "新材料"], "f2 | f1"), "乙公司": ([], "f9"), "丙公司": ([], ""), "丁公司": (["大数据"], "f3"),
     }
     assert merged._jdf.queryExecution().optimizedPlan().toString().count("Window [row_number()") == 1
+
+
+def test_percentiles_move_only_the_values_around_them(spark, tmp_path, monkeypatch):
+    values = {g: random.Random(n).sample(range(10 * n), n) for g, n in (("hot", 20_000), ("cold", 300), ("one", 1))}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("hot", None), (None, 5.0), ("none", None)]
+    spark.createDataFrame(rows, "g string, v double").repartition(5).write.parquet(f"{tmp_path}/values")
+    df, fractions = spark.read.parquet(f"{tmp_path}/values"), {"first": 0.0, "p50": 0.5, "p5001": 0.5001, "max": 1.0}
+    want = {(g, s, float(sorted(vs)[min(int(len(vs) * p), len(vs) - 1)])) for g, vs in values.items() for s, p in fractions.items()}
+    found = ranking.exact_percentiles(df, ["g"], "v", fractions)
+    assert {tuple(r) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "lambdafunction" not in plan
+    for poor in (2, 7):
+        monkeypatch.setattr(ranking, "SKETCH", poor)
+        assert {tuple(r) for r in ranking.exact_percentiles(df, ["g"], "v", fractions).collect()} == want
