@@ -255,7 +255,9 @@ BELOW = "r.city <> '' AND r.district <> ''"
 def admin_center(spark, sf_dir):
     form = lambda part, i: F.coalesce(F.col(part), F.lit("")) if ASKED[part][i] == part else F.lit(ASKED[part][i])
     kinds = [F.struct(F.lit(i).alias("kind"), *[form(part, i).alias(part) for part in ASKED]) for i in range(len(ASKED["city"]))]
-    asked = d.companies(spark, sf_dir).select("credit_code", F.explode(F.array(*kinds)).alias("r")).select("credit_code", "r.*")
+    # Companies are few rows to move, but ten requests each: all cores take part, however few tasks the scan has.
+    c = d.companies(spark, sf_dir).select("credit_code", *ASKED).repartition(4 * spark.sparkContext.defaultParallelism)
+    asked = c.select("credit_code", F.explode(F.array(*kinds)).alias("r")).select("credit_code", "r.*")
     return div.admin_centres(asked, d.divisions(spark, sf_dir)).select(
         "credit_code", "kind", F.col("ok").cast("int").alias("found"), "zoom", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"),
         "name", *[f"found_{part}" for part in div.REQUEST],

@@ -15,6 +15,7 @@ from leadlake.functions import geo, region, street
 from leadlake.operators.aggregates import filled, value_counts
 from leadlake.operators.predicates import clean_street_names
 from leadlake.operators.ranking import top_per_key
+from leadlake.session import stored, work_dir
 
 STREET_KEY = ["city_key", "district_key"]
 CODE = "credit_code"
@@ -316,6 +317,8 @@ CENTRE_LOOKUPS = (
     ("province", "province", 8, ("province",)),
 )
 REQUEST = ("province", "city", "district", "street")
+#: Different places whose answers may be sent to all tasks.
+SENT_PLACES = 50_000
 
 
 def _centre_keys(lookup: str, place: dict[str, Column]) -> list[Column]:
@@ -342,14 +345,35 @@ def admin_centres(requests: DataFrame, divisions: DataFrame) -> DataFrame:
 
     Street, else the street anywhere in the city, district, the district anywhere
     in the province, city, the first city of the province (urban areas first), or the
-    province. Every request becomes its ranked lookups and every division the keys it
-    is found by; one join and the least rank give the answer, so the partial
-    minimum is taken before the only shuffle. Of several divisions the one with the
-    least row_key, then place, answers.
+    province. The answer depends on the place alone, so every different place is looked
+    up once, however many requests name it, and the answers are joined to the requests.
+    Up to SENT_PLACES counted places go to all tasks; more are stored and joined by
+    Spark's choice.
 
     Adds ok, lng, lat, zoom, name and the place that was found. A request without
     answer has the zoom of its widest filled part.
     """
+    work = work_dir(requests.sparkSession)
+    places = stored(requests.select(*REQUEST).distinct(), f"{work}/places")
+    centres = place_centres(places, divisions)
+    centres = centres.select(*[F.col(c).alias(f"__{c}") for c in centres.columns])
+    centres = F.broadcast(centres) if places.count() <= SENT_PLACES else stored(centres, f"{work}/centres")
+    same_place = F.lit(True)
+    for c in REQUEST:
+        same_place = same_place & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return requests.join(centres, same_place, "left").select(
+        *[F.col(f"`{c}`") for c in requests.columns],
+        *[F.col(f"__{c}").alias(c) for c in ("ok", "lng", "lat", "zoom", "name", *[f"found_{c}" for c in REQUEST])],
+    )
+
+
+def place_centres(places: DataFrame, divisions: DataFrame) -> DataFrame:
+    """The answers of ``admin_centres`` for different places.
+
+    Every place becomes its ranked lookups and every division the keys it is found by;
+    one join and the least rank give the answer. Of several divisions the one with the
+    least row_key, then place, answers.
+    """
     own = {c: region.text(F.col(c)) for c in REQUEST}
     city = F.col("city_name")
     lookups = F.array(*[
@@ -358,13 +382,12 @@ def admin_centres(requests: DataFrame, divisions: DataFrame) -> DataFrame:
         )
         for rank, (name, _, _, needed) in enumerate(CENTRE_LOOKUPS)
     ])
-    numbered = requests.withColumn("request", F.struct(*requests.columns)).withColumn("request_no", F.monotonically_increasing_id())
     # A request without city still has its lookup by province.
     names = F.when(own["city"] == "", F.array(F.lit(""))).otherwise(region.city_names(F.col("city"), F.col("district")))
     asked = (
-        numbered.withColumn("city_name", F.explode(names))
-        .select("request_no", "request", F.explode_outer(F.filter(lookups, lambda x: x.isNotNull())).alias("ask"))
-        .select("request_no", "request", "ask.*")
+        places.withColumn("city_name", F.explode(names))
+        .select(*REQUEST, F.explode_outer(F.filter(lookups, lambda x: x.isNotNull())).alias("ask"))
+        .select(*REQUEST, "ask.*")
     )
 
     place = {c: region.text(F.col(c)) for c in REQUEST}
@@ -392,17 +415,15 @@ def admin_centres(requests: DataFrame, divisions: DataFrame) -> DataFrame:
     order = F.struct("rank", "later", "row_key", "centre")
     best = (
         asked.join(found, ["rank", "key0", "key1", "key2"], "left")
-        .groupBy("request_no").agg(F.any_value("request").alias("request"), F.min_by("centre", F.when(F.col("row_key").isNotNull(), order)).alias("centre"))
+        .groupBy(*REQUEST).agg(F.min_by("centre", F.when(F.col("row_key").isNotNull(), order)).alias("centre"))
     )
-    filled_part = {c: region.text(F.col(f"request.{c}")) for c in REQUEST}
-    widest = F.when(filled_part["province"] != "", 8).when(filled_part["city"] != "", 11).otherwise(10)
+    widest = F.when(own["province"] != "", 8).when(own["city"] != "", 11).otherwise(10)
     ok = F.col("centre.lng").isNotNull() & F.col("centre.lat").isNotNull()
-    named = F.coalesce(*[F.nullif(filled_part[c], F.lit("")) for c in reversed(REQUEST)], F.lit(""))
+    named = F.coalesce(*[F.nullif(own[c], F.lit("")) for c in reversed(REQUEST)], F.lit(""))
     return best.select(
-        *[F.col(f"request.`{c}`").alias(c) for c in requests.columns],
-        ok.alias("ok"), F.when(ok, F.col("centre.lng")).alias("lng"), F.when(ok, F.col("centre.lat")).alias("lat"),
+        *REQUEST, ok.alias("ok"), F.when(ok, F.col("centre.lng")).alias("lng"), F.when(ok, F.col("centre.lat")).alias("lat"),
         F.coalesce("centre.zoom", widest).alias("zoom"), named.alias("name"),
-        *[F.coalesce(F.col(f"centre.{c}"), filled_part[c]).alias(f"found_{c}") for c in REQUEST],
+        *[F.coalesce(F.col(f"centre.{c}"), own[c]).alias(f"found_{c}") for c in REQUEST],
     )
 
 

@@ -2,6 +2,9 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from leadlake.operators import divisions as div
 from leadlake.operators.divisions import admin_centres
 
 DIVISIONS = "row_key string, level string, province string, city string, district string, street string, center_lng double, center_lat double"
@@ -66,3 +69,24 @@ def test_one_shuffle(spark, tmp_path):
     spark.createDataFrame([p for p, _ in ASKED], "province string, city string, district string, street string").write.parquet(f"{tmp_path}/asked")
     stored = admin_centres(spark.read.parquet(f"{tmp_path}/asked"), spark.read.parquet(f"{tmp_path}/divisions"))
     assert stored._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("sent", [50_000, 0])
+def test_every_place_is_looked_up_once(spark, monkeypatch, sent):
+    looked, keep = [], div.place_centres
+
+    def counted(places, divisions):
+        looked.append(places.count())
+        return keep(places, divisions)
+
+    monkeypatch.setattr(div, "place_centres", counted)
+    monkeypatch.setattr(div, "SENT_PLACES", sent)
+    rows = [(i, *place) for i, (place, _) in enumerate(ASKED)] + [(99, " 浙江省", "杭州市 ", "西湖区", "北山街道"), (99, "", "", None, "")]
+    columns = "`rank` int, province string, city string, district string, street string"
+    asked = spark.createDataFrame(rows, columns).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    found = admin_centres(asked, spark.createDataFrame(TREE, DIVISIONS))
+    assert found.columns[:6] == asked.columns
+    got = [(r["rank"], r["copy"], r["lng"], r["zoom"], r["name"], r["province"]) for r in found.collect()]
+    want = [(i, *expected, place[0]) for i, (place, expected) in enumerate(ASKED)] + [(99, *ASKED[0][1], " 浙江省"), (99, None, 10, "", "")]
+    assert sorted(got, key=repr) == sorted(((w[0], c, *w[1:]) for w in want for c in range(1, 51)), key=repr)
+    assert looked == [len(ASKED) + 2]
