@@ -69,6 +69,15 @@ def test_scan_equals_brute_force(spark):
     assert got == [brute_scan(b) for b in bodies]
 
 
+def test_scan_reads_the_whole_text(spark):
+    filler = "甲，" * 60
+    bodies = [filler + "红旗街道1号", filler + "南湖乡，" + filler + "城关镇", "新华镇" + filler + "城关镇", filler, "", None]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    none = F.array().cast("array<string>")
+    got = [r[0] for r in df.select(street.scanned_street(F.col("body"), F.lit("^$"), none)).collect()]
+    assert got == ["红旗街道", "城关镇", "新华镇", "", "", ""]
+
+
 def test_prefix_and_zone(spark):
     df = spark.createDataFrame(
         [("江苏省·南京市,玄武区高新区新华路", "江苏省", "南京市", "玄武区"), ("江苏南京新华路", "江苏省", "南京市", "玄武区"), ("新华路", None, None, None)],
