@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,18 +119,21 @@ def certificate_rejects(spark, sf_dir):
 # --- workbooks whose sheets differ ------------------------------------------------------
 
 
-def sheet(df: DataFrame, group: str, file: Column, section: str, **cells: Column) -> DataFrame:
-    heads = F.array(*[F.lit(h) for h in cells])
+def sheet(df: DataFrame, group: str, file: Column, section: str, **cells: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows of a section without their header, and the header of the section."""
     values = F.array(*[F.coalesce(c.cast("string"), F.lit("")) for c in cells.values()])
-    return df.select(F.lit(group).alias("src_group"), file.alias("src_file"), F.lit(section).alias("section"), heads.alias("header"), values.alias("cells"))
+    rows = df.select(F.lit(group).alias("src_group"), file.alias("src_file"), F.lit(section).alias("section"), values.alias("cells"))
+    return rows, {section: F.array(*[F.lit(h) for h in cells])}
 
 
-def written(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
-    """Workbooks of the rows, one task per file, read back as rows of sheets."""
+def written(spark: SparkSession, path: str, *sheets: tuple[DataFrame, dict[str, Column]]) -> DataFrame:
+    """Workbooks of the sheets, one task per file, read back in blocks of rows. Rows get their header where they are written."""
     workbooks.register(spark)
+    rows = reduce(DataFrame.unionByName, [r for r, _ in sheets])
     whole = rows.repartition("src_group", "src_file").sortWithinPartitions("src_group", "src_file", "section")
-    whole.write.format(workbooks.FORMAT).mode("append").save(path)
-    return spark.read.format(workbooks.FORMAT).load(path)
+    header = F.coalesce(*[F.when(F.col("section") == section, head) for _, heads in sheets for section, head in heads.items()])
+    whole.withColumn("header", header).write.format(workbooks.FORMAT).mode("append").save(path)
+    return spark.read.format(workbooks.FORMAT).option("blocks", True).load(path)
 
 
 def month(day: Column) -> Column:
@@ -139,19 +144,21 @@ def chain_workbooks(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """A workbook a month with the chain rows, a base sheet with columns of one meaning, and sheets to be left out; in branches."""
     r, o = d.chain_rows(spark, sf_dir), d.table(spark, sf_dir, "orders")
     key, c = F.col("o_orderkey"), F.col("o_custkey")
-    rows = sheet(
+    chain = sheet(
         r, "产业链", month(F.col("src_file").cast("date")), "产业链",
         **{"一级分类": F.col("l1"), "二级分类": F.col("l2"), " 三级分类 ": F.col("l3"), "公司名称": F.col("name"), "统一社会信用代码": F.col("credit"),
            "产业链节点": F.col("node"), "产业位置": F.col("position"), "产业关联性": F.col("relatedness"), "融资上市": F.col("financing"),
            "荣誉": F.col("honors"), "备注": F.col("src_file"), ROW: F.col("row_no")},
-    ).unionByName(sheet(
+    )
+    base = sheet(
         o, "产业链", month(F.col("o_orderdate")), "基础信息",
         **{"公司名称": d.company_name(c), "登记状态": d.pick(v.STATUS_RAW, c * 3 % 8), "注册资本": F.lit("100万元"), "不可用电话": F.lit("19999999999"),
            "可用电话": d.contact_value(F.lit("mobile"), key), "电话": d.contact_value(F.lit("mobile"), key + 1),
            "统一社会信用代码": F.concat(F.lit("91"), F.lpad(c.cast("string"), 16, "0")), ROW: key},
-    )).unionByName(sheet(o.filter(key % 32 == 1), "产业链", month(F.col("o_orderdate")), "Sheet3", 说明=F.lit("x")))
+    )
+    other = sheet(o.filter(key % 32 == 1), "产业链", month(F.col("o_orderdate")), "Sheet3", 说明=F.lit("x"))
     path = work_dir(spark)
-    return files.staged_sections(written(spark, rows, f"{path}/books"), f"{path}/staged")
+    return files.staged_sections(written(spark, f"{path}/books", chain, base, other), f"{path}/staged")
 
 
 @query_like("chain_workbook_tags", "chain_tag_merge")
@@ -211,8 +218,8 @@ def certificate_workbooks(spark, sf_dir):
            "认定年度": F.year(day), "证书有效期": F.concat(F.lit("至"), F.date_format(day, "yyyy年MM月dd日")),
            "是否取消资格": F.when(F.col("l_returnflag") == "N", "否").otherwise("是"), **{o: F.col(o) for o in order}, "day": day},
     )
-    read = written(spark, rows, f"{work_dir(spark)}/books").filter("row_no > 0")
-    fields = files.section_fields(read, {**headers.CERTIFICATE_TABLE, **{o: o for o in order}, "day": "day"})
+    read = written(spark, f"{work_dir(spark)}/books", rows)
+    fields = files.section_fields(read, {**headers.CERTIFICATE_TABLE, **{o: o for o in order}, "day": "day"}).filter("row_no > 0")
     typed = fields.withColumns({"list_year": F.substring("src_file", 1, 4), **{o: F.col(o).cast("long") for o in order}, "day": F.col("day").cast("date")})
     return load.certificates(typed, "table", ["list_year", *order, "day"], limits=True).select("cert_no", "credit_code", "cert_year", "valid_to", "revoked")
 

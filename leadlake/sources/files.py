@@ -167,8 +167,24 @@ def pick_cell(header: Column, cells: Column, *names: str) -> Column:
     return clean(F.coalesce(*[under(n) for n in names]))
 
 
+def block_rows(sections: DataFrame, *carried: str) -> DataFrame:
+    """Rows with their number and cells: of a table in blocks one per row of a block, of any other as they are.
+
+    A block without rows, which tells a problem, gives one row.
+    """
+    if "rows" not in sections.columns:
+        return sections
+    kept = [c for c in (*SOURCE_COLUMNS, "section", "first_row", "header", "problem", *carried) if c in sections.columns]
+    out = sections.select(*kept, F.posexplode_outer("rows").alias("__at", "cells"))
+    return out.withColumn("row_no", F.col("first_row") + F.coalesce("__at", F.lit(0))).drop("first_row", "__at")
+
+
+def stripped_header() -> Column:
+    return F.transform(F.coalesce("header", F.array().cast("array<string>")), strip)
+
+
 def section_fields(sections: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    """Rows of sections as fields, by the header that each row carries.
+    """Rows of sections as fields, by the header that each row or block carries.
 
     Of several columns of a field the first one counts; headers mapped to
     ``headers.SKIP`` or not at all are left out.
@@ -177,16 +193,16 @@ def section_fields(sections: DataFrame, mapping: Mapping[str, str]) -> DataFrame
     for header, field in mapping.items():
         if field != headers.SKIP:
             heads.setdefault(field, []).append(header)
-    named = sections.withColumn("__names", F.transform(F.coalesce("header", F.array().cast("array<string>")), strip))
+    named = sections.withColumn("__names", stripped_header())
 
     def place(names: list[str]) -> Column:
         found = [F.nullif(F.array_position("__names", n), F.lit(0)) for n in names]
         return found[0] if len(found) == 1 else F.least(*found)
 
-    kept = [c for c in (*SOURCE_COLUMNS, "section", "row_no") if c in sections.columns and c not in heads]
-    return named.select(
-        *[F.coalesce(F.get("cells", (place(n) - 1).cast("int")), F.lit("")).alias(f) for f, n in heads.items()], *kept,
-    )
+    at = {f: f"__place_{i}" for i, f in enumerate(heads)}
+    rows = block_rows(named.withColumns({at[f]: (place(n) - 1).cast("int") for f, n in heads.items()}), *at.values())
+    kept = [c for c in (*SOURCE_COLUMNS, "section", "row_no") if c in rows.columns and c not in heads]
+    return rows.select(*[F.coalesce(F.get("cells", F.col(at[f])), F.lit("")).alias(f) for f in heads], *kept)
 
 
 #: Branches of ``staged_sections``; "reject" rows have a reason.
@@ -196,17 +212,24 @@ KINDS = ("base", "base_no_header", "chain", "honor", "reject")
 def staged_sections(sections: DataFrame, path: str) -> dict[str, DataFrame]:
     """Branches by kind of workbook rows, and the rejects, after one pass over the source.
 
-    The rows are written once, in one folder per kind; a branch reads its own folder.
+    The rows, one by one or in blocks, are written once, in one folder per kind; a branch reads its own folder.
     Rejected are sheets that can't be read and chain rows whose code isn't 18 characters
     (the code is looked up in the columns that chain sections keep it in). Header rows
     are left out, but for sections without header, whose first row is data.
     """
-    codes = [h for h, field in headers.CHAIN.items() if field == "credit"]
-    kind = section_kind(F.col("section"), F.col("header"))
-    code = normal_code(pick_cell(F.col("header"), F.col("cells"), *codes))
-    reason = F.when(F.col("problem").isNotNull(), F.col("problem")).when((kind == "chain") & ~F.coalesce(is_credit_code(code), F.lit(False)), "credit_not_18")
-    rows = sections.withColumn("kind", kind).withColumn("reason", reason).filter((F.col("row_no") > 0) | (F.col("kind") == "base_no_header") | F.col("problem").isNotNull())
-    routed = rows.withColumn("kind", F.when(F.col("reason").isNotNull(), "reject").otherwise(F.col("kind"))).drop("problem")
+    codes = F.array(*[F.lit(h) for h, field in headers.CHAIN.items() if field == "credit"])
+    # What depends on the header is found once per block: the kind, and the places of the code, headers in order of preference.
+    names = sections.withColumn("__names", stripped_header())
+    found = F.transform("__names", lambda n, i: F.struct(F.array_position(codes, n).alias("rank"), i.alias("at")))
+    places = F.transform(F.array_sort(F.filter(found, lambda x: x["rank"] > 0)), lambda x: x["at"])
+    kinds = names.withColumns({"kind": section_kind(F.col("section"), F.col("header")), "__places": places}).drop("__names")
+    rows = block_rows(kinds, "kind", "__places")
+    given = F.filter(F.transform("__places", lambda i: F.get("cells", i)), lambda c: ~is_empty(c))
+    code = normal_code(clean(F.get(given, F.lit(0))))
+    reason = F.when(F.col("problem").isNotNull(), F.col("problem")).when((F.col("kind") == "chain") & ~F.coalesce(is_credit_code(code), F.lit(False)), "credit_not_18")
+    rows = rows.withColumn("reason", reason).filter((F.col("row_no") > 0) | (F.col("kind") == "base_no_header") | F.col("problem").isNotNull())
+    routed = rows.withColumn("kind", F.when(F.col("reason").isNotNull(), "reject").otherwise(F.col("kind"))).drop("problem", "__places")
+    routed = routed.select(*[c for c in routed.columns if c not in ("row_no", "header", "cells", "kind", "reason")], "row_no", "header", "cells", "kind", "reason")
     routed.filter(F.col("kind") != "skip").write.mode("errorifexists").partitionBy("kind").parquet(path)
     stored = sections.sparkSession.read.schema(routed.schema).parquet(path)
     return {k: stored.filter(F.col("kind") == k).drop("kind", *(() if k == "reject" else ("reason",))) for k in KINDS}

@@ -131,3 +131,85 @@ def test_writer_and_reader_take_batches_with_one_header(spark, tmp_path):
     want = [["a & b <c>", "x", None, None, "é\n"], ["1"], [None, "second", "]]>"]]
     assert [r["cells"] for r in got] == [want[i % 3] for i in range(len(rows))]
     assert {tuple(r["header"]) for r in got} == {("h1", "h2", None, "h4", "h&5")}
+
+
+MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+SHARED = ["zero", "", "two & more"]
+#: Rows of a sheet; whether they are plain.
+PIECES = [
+    ('<row r="1"><c r="A1" t="inlineStr"><is><t xml:space="preserve"> a &amp;lt; b &lt;甲&gt;\r\n</t></is></c><c r="D1" t="s"><v>2</v></c></row>', True),
+    ('<row><c t="inlineStr"><is><t>x</t></is></c><c/><c><v>1.5</v></c></row>\n<row/><row r="9" ht="3"></row>', True),
+    ('<row><c r="B7" s="3"><v>7</v></c><c r="AA7" s="12" t="str"><v>t</v></c><c r="AB7" s="1"/></row><row><c r="A8" t="s"><v>1</v></c></row>', True),
+    ('<row><c t="b"><v>1</v></c><c t="inlineStr"><is><t></t></is></c><c></c></row>', True),
+    ('<row><c t="str"><f>A1</f><v>f</v></c></row>', False), ('<row><c t="inlineStr"><is><r><t>ri</t></r><r><t>ch</t></r></is></c></row>', False),
+    ('<row><c t="inlineStr"><is><t><![CDATA[<c>]]></t></is></c><!-- <row> --></row>', False), ('<row><c t="inlineStr"><is><t>&#65;</t></is></c></row>', False),
+    ('<row><c r="C1"><v>3</v></c><c r="A1"><v>1</v></c><c><v>4</v></c></row>', False), ('<row><c t="s"><v>9</v></c></row>', False), ('<row><c><v>a > b</v></c></row>', False),
+    ('<row><c t="inlineStr"><is/></c><c t="n"><v/></c></row>', False), ('<row><c><v>\x01</v></c></row>', False), ('<row><cols/></row>', False),
+]
+
+
+def test_pieces_cut_up_are_as_parsed():
+    import io
+    from xml.etree import ElementTree
+
+    import pyarrow as pa
+
+    def parsed(rows):
+        found = [workbooks._cells(row, SHARED) for row in workbooks._elements(io.BytesIO(f"<worksheet {MAIN}><sheetData>{rows}</sheetData></worksheet>".encode()), "row")]
+        return [cells for cells in found if any(cells)]
+
+    for rows, plain in PIECES:
+        got = workbooks._plain(rows.encode(), pa.array(SHARED))
+        assert (got is not None) == plain, rows
+        if plain:
+            assert got.to_pylist() == parsed(rows)
+    together = 50 * (PIECES[1][0] + PIECES[3][0])
+    assert workbooks._plain(together.encode(), pa.array(SHARED)).to_pylist() == parsed(together)
+    with pytest.raises(ElementTree.ParseError):
+        parsed(PIECES[-2][0])
+
+
+@pytest.mark.parametrize("piece", [90, 1 << 22])
+def test_sheets_go_on_where_a_piece_is_not_plain(tmp_path, monkeypatch, piece):
+    monkeypatch.setattr(workbooks, "PIECE", piece)
+    rows = ["<row><c t=\"inlineStr\"><is><t>%d</t></is></c></row>" % i for i in range(40)]
+    rows[25] = '<row><c t="str"><f>x</f><v>25</v></c></row>'
+    with zipfile.ZipFile(tmp_path / "x.xlsx", "w") as book:
+        book.writestr("good", f"<worksheet {MAIN}><sheetData>{''.join(rows)}</sheetData></worksheet>")
+        book.writestr("cut", f"<worksheet {MAIN}><sheetData>{''.join(rows[:20])}<row><c>")
+    with zipfile.ZipFile(tmp_path / "x.xlsx") as book:
+        assert [c for a in workbooks._cell_rows(book, "good", []) for (c,) in a.to_pylist()] == [str(i) for i in range(40)]
+        found = []
+        with pytest.raises(workbooks.ElementTree.ParseError):
+            found.extend(c for a in workbooks._cell_rows(book, "cut", []) for (c,) in a.to_pylist())
+
+
+def test_blocks_hold_the_same_rows_and_branches(spark, tmp_path):
+    code = "91" + "0" * 16
+    head = ["一级分类", " 公司名称", "统一社会信用代码", "ID"]
+    rows = [("g", "f.xlsx", "链", head, [f"a{i}", f"n{i}", "-" if i % 3 else code, "无" if i % 2 else code]) for i in range(3 * workbooks.BLOCK_ROWS)]
+    rows += [("g", "f.xlsx", "无头", ["乙", "存续", "3"], ["丙", "注销", "4"])] + [("g", "f.xlsx", "无头", ["乙", "存续", "3"], [None, ""])]
+    save(spark, rows, tmp_path / "books")
+    (tmp_path / "books" / "g" / "bad.xlsx").write_text("?", encoding="utf-8")
+    blocks = read(spark, tmp_path / "books", blocks=True)
+    assert blocks.agg(F.max(F.size("rows"))).first()[0] == workbooks.BLOCK_ROWS
+    flat = read(spark, tmp_path / "books")
+    as_rows = lambda df: sorted(map(repr, df.select(*flat.columns).collect()))
+    assert as_rows(files.block_rows(blocks)) == as_rows(flat)
+    got = [files.staged_sections(df, f"{tmp_path}/staged{i}") for i, df in enumerate((blocks, flat))]
+    for kind in files.KINDS:
+        assert got[0][kind].columns == got[1][kind].columns and sorted(map(repr, got[0][kind].collect())) == sorted(map(repr, got[1][kind].collect()))
+    assert got[0]["chain"].count() == sum(1 for i in range(3 * workbooks.BLOCK_ROWS) if not i % 3 or not i % 2)
+    assert got[0]["reject"].count() == 1 + sum(1 for i in range(3 * workbooks.BLOCK_ROWS) if i % 3 and i % 2)
+    fields = [files.section_fields(df, headers.CHAIN).filter("row_no > 0").collect() for df in (blocks, flat)]
+    assert sorted(map(repr, fields[0])) == sorted(map(repr, fields[1])) and len(fields[0]) > 3 * workbooks.BLOCK_ROWS
+
+
+def test_rows_without_text_and_blanks_at_the_ends(spark, tmp_path):
+    cells = [[None, ""], ["a", "", " b", "c ", None], None, [], ["d"], ["", "e&"], [""]]
+    save(spark, [("g", "f.xlsx", "s", ["h"], c) for c in cells], tmp_path)
+    with zipfile.ZipFile(tmp_path / "g" / "f.xlsx") as book:
+        sheet = book.read("xl/worksheets/sheet1.xml").decode()
+    assert sheet.count("<row") == 8 and sheet.count("preserve") == 2
+    got = [r["cells"] for r in read(spark, tmp_path).orderBy("row_no").collect()]
+    assert sorted(got, key=repr) == sorted([["h"], ["a", None, " b", "c "], ["d"], [None, "e&"]], key=repr)
