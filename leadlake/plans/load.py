@@ -16,7 +16,7 @@ from leadlake.functions import contacts as ct
 from leadlake.functions import dates, identity, region, tags
 from leadlake.functions.capital import capital_currency, capital_wan
 from leadlake.functions.text import byte_truncate, clean, empty_strings, filled_count, is_empty, split_multi
-from leadlake.operators.lists import distinct_lists, value_rows
+from leadlake.operators.lists import key_lists
 from leadlake.operators.ranking import keep_best, top_per_key
 from leadlake.operators.upsert import fill_blanks
 from leadlake.schemas import CERTIFICATE_KEY, CONTACT_KEY
@@ -374,8 +374,8 @@ def merge_tags(existing: DataFrame, rows: DataFrame, arrival: list[str]) -> Data
         ("new_relatedness", _wrapped(F.when(rank.isNotNull(), F.col("relatedness"))), F.coalesce(-rank, F.lit(0))),
         ("new_financing", _wrapped(F.col("financing")), 0), ("touched", _wrapped(F.when(incoming, F.lit("x"))), 0),
     ]
-    merged = distinct_lists(
-        value_rows(old.unionByName(new), CODE, items, F.struct("incoming", "arrival")), CODE,
+    merged = key_lists(
+        old.unionByName(new), CODE, items, F.struct("incoming", "arrival"),
         ("industries", "nodes", "new_honors", "positions"), ("new_name", "new_relatedness", "touched"), ("new_financing",),
     )
     joined = existing.join(merged, CODE, "full")

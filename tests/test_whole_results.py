@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leadlake.functions import tokens
 from leadlake.operators import upsert
-from leadlake.operators.lists import distinct_lists, value_rows
+from leadlake.operators.lists import distinct_lists, key_lists, value_rows
 from leadlake.operators.search_index import best_any, build_postings, match_all
 from leadlake.plans import load
 from leadlake.sources.exports import export_rows, export_table
@@ -98,3 +98,27 @@ def test_loads_keep_whole_values_unless_limited(spark):
     assert [len(v.encode()) for v in cut[:4]] == [300, 498, 300, 500] and cut["insured_count"] == 2_000_000
     certs = rows.selectExpr("*", "repeat('c', 90) as cert_no")
     assert load.certificates(certs, "table", ["src_file"]).first()["company_name"] == row[0]
+
+
+def test_lists_made_at_the_key_are_those_of_values(spark):
+    import random
+
+    chance = random.Random(7)
+    word = lambda: chance.choice([None, "", "a", "b", "c", "甲", "x\x1ey", "\x1f0", "\x1d\x1fb"])
+    rows = [
+        (chance.choice([None, "hot", "hot", *[f"k{i}" for i in range(30)]]), chance.choice([None, 1, 2, 3]), word(), chance.choice([None, [], [word(), word()]]), chance.randrange(3))
+        for _ in range(3000)
+    ] + [("empty", 1, None, None, 0), ("blank", 2, "", [""], 0)]
+    df = spark.createDataFrame(rows, "key string, at int, x string, xs array<string>, rank int")
+    given = df.withColumn("xs", F.coalesce("xs", F.array().cast("array<string>")))
+    items = [("many", F.array("x"), 1), ("many", F.col("xs"), 0), ("one", F.col("xs"), F.col("rank")), ("last", F.array("x"), 0), ("other", F.array("x"), 2)]
+    args = (F.struct("at"), ("many", "other"), ("one",), ("last",))
+    want = sorted(map(repr, distinct_lists(value_rows(given, "key", items, args[0]), "key", *args[1:]).collect()))
+    usual = key_lists(df, "key", items, *args)
+    assert sorted(map(repr, usual.collect())) == want
+    # One move of the rows as they are, none of their values.
+    plan = lambda df: df.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan(usual) and plan(usual).count("Exchange hash") == 1
+    hot = key_lists(df, "key", items, *args, rows=100)
+    assert sorted(map(repr, hot.collect())) == want
+    assert "Generate" in plan(hot)
