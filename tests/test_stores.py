@@ -5,11 +5,12 @@ import uuid
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Row
 
 from leadlake.operators import profile, stores
 from leadlake.operators.ranking import keep_best
 from leadlake.operators.upsert import upsert_rows
-from leadlake.streaming import increments
+from leadlake.streaming import flags, increments
 
 ROWS = "k int, seq int, v string"
 
@@ -112,3 +113,92 @@ def test_figures_of_a_load_come_from_its_write(spark, tmp_path):
     figures = profile.load_observed(rows, lambda r: keep_best(r, ["credit_code"], "fill_score", []), f"{tmp_path}/out")
     assert figures == {"rows": 6, "bad_rows": 1, "companies": 3, "surrogate": 1, "duplicates": 2}
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+class Stored:
+    """A state store of one key: a value and a map, with the calls that they got."""
+
+    def __init__(self):
+        self.value, self.map, self.calls, self.timers = None, {}, 0, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, key, value, ttl=None):
+        return self
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def _call(self, found=None):
+        self.calls += 1
+        return found
+
+    def get(self):
+        return self._call(self.value)
+
+    def update(self, value):
+        self.value = self._call(value)
+
+    def getValue(self, key):
+        return self._call(self.map.get(key))
+
+    def containsKey(self, key):
+        return self._call(key in self.map)
+
+    def updateValue(self, key, value):
+        self.map[key] = self._call(value)
+
+    def removeKey(self, key):
+        del self.map[self._call(key)]
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_flags_of_a_large_company_touch_few_chunks():
+    change = Row("contact_type", "contact_value", "op", "at")
+    rng, state, processor, last = random.Random(3), Stored(), flags.ContactFlags(), {}
+    processor.init(state)
+    kinds = [*flags.TYPES, "fax"]
+    got = {}
+    for batch in range(6):
+        rows = [change(rng.choice(kinds), rng.choice([None, *map(str, range(3000))]), rng.choice(["add", "add", "delete", "?"]), rng.randrange(2000)) for _ in range(3000 if batch < 4 else 5)]
+        state.calls = 0
+        for out in processor.handleInputRows(("c",), iter(rows), Clock(0)):
+            got = out.asDict()
+        for kind, value, op, at in rows:
+            at_last, was = last.get((kind, value), (-1, "?"))
+            if kind != "fax" and not at_last >= at + (op == "delete" and was == "add"):
+                last[kind, value] = (at, op)
+        want = [sum(k == kind and op == "add" for (k, _), (_, op) in last.items()) for kind in flags.TYPES]
+        assert (got["mobile_count"], got["has_landline"], got["email_count"]) == (want[0], int(want[1] > 0), want[2])
+        assert batch < 4 or state.calls <= 2 + 2 * len(rows)
+    assert len(state.map) > 16 and state.value[4] == len(last) and state.value[5] is None
+    # A small company takes two calls a batch.
+    small = Stored()
+    processor.init(small)
+    (out,) = processor.handleInputRows(("s",), iter([change("mobile", str(i), "add", i) for i in range(flags.CHUNK)]), Clock(0))
+    assert out["mobile_count"] == flags.CHUNK and small.calls == 2
+
+
+def test_deletions_are_forgotten_in_time():
+    change = Row("contact_type", "contact_value", "op", "at")
+    for many in (1, 500):
+        state, processor = Stored(), flags.ContactFlags(forget_ms=100)
+        processor.init(state)
+        kept = [change("email", str(i), "add", 1) for i in range(many)]
+
+        def run(now, *rows):
+            return [r["mobile_count"] for r in processor.handleInputRows(("c",), iter(rows), Clock(now))]
+
+        assert run(0, *kept, change("mobile", "1", "add", 5)) == [1] and state.timers == []
+        assert run(10, change("mobile", "1", "delete", 9)) == [0] and state.timers == [110]
+        assert run(109, change("mobile", "1", "add", 7)) == []
+        assert list(processor.handleExpiredTimer(("c",), Clock(110), None)) == [] and state.value[4] == many
+        assert run(120, change("mobile", "1", "add", 7)) == [1]
